@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe, license_scan, mixing, token_files
 from .common import table
 from .url_filter import RULES, SOFT_LIMIT, SOFT_TERMS, STRICT_TERMS, filter_urls
 
@@ -34,9 +37,65 @@ def _op4_sql() -> str:
            coalesce(by_rule, CASE WHEN n_strict >= 1 OR n_soft >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict FROM c"""
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "n_chars", F.round("rate", 9).alias("rate"), "n_copies", "copy", F.md5("text").alias("text_md5"))
+
+
+def _op8_sql() -> str:
+    k = mixing.HEX_DIGITS
+    return f"""
+    WITH RECURSIVE c AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+    r AS (SELECT source, least({mixing.MAX_RATE}, (SELECT sum(n) FROM c) * power(n, {mixing.POWER}) / (SELECT sum(power(n, {mixing.POWER})) FROM c) / n) AS rate FROM c),
+    cdf(source, rate, k, p, c) AS (
+        SELECT source, rate, 0, exp(-rate), exp(-rate) FROM r
+        UNION ALL SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate) + 24)),
+    u AS (SELECT doc_id, source, n_chars, md5(text) AS text_md5,
+                 ('0x' || substr(md5('{mixing.SEED}:' || doc_id), 1, {k}))::BIGINT / {float(16**k)!r} AS u FROM documents),
+    n AS (SELECT u.doc_id, u.source, any_value(n_chars) AS n_chars, any_value(text_md5) AS text_md5, any_value(rate) AS rate, count(*) AS n_copies
+          FROM u JOIN cdf ON u.source = cdf.source AND u.u >= cdf.c GROUP BY u.doc_id, u.source)
+    SELECT doc_id, source, n_chars, round(rate, 9) AS rate, n_copies, unnest(range(1, n_copies + 1)) AS copy, text_md5 FROM n"""
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = license_scan.scan_licenses(docs)
+    base = F.filter("hits", lambda h: h["base"])
+    names = lambda hits: F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["label"]))), ",")
+    starts = F.transform(base, lambda h: h["start"])
+    return out.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        names(base).alias("base_labels"),
+        names(F.col("hits")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("hits", lambda h: h["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = token_files.token_path(spark)
+    token_files.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return token_files.with_crc32(token_files.read_tokens(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    return {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": _op4_sql()}
+    return {"op4_url_filters": _op4_sql(), "op8_mix_sources": _op8_sql()}
