@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import materialise as stored
+from ..operators.graph import shared_path as shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+__all__ = ["ascii_lower", "byte_texts", "fold_of", "map_arrow", "require", "shared_dir", "slices", "stored", "table"]
 #: Bytes of Python lists built at a time from an Arrow batch.
 SLICE_BYTES = 4 << 20
 
@@ -29,23 +32,6 @@ def fold_of(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))
 
 
-def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new path below the folder the cluster names in spark.checkpoint.dir.
-
-    Only where the session names none (tests, a laptop) the warehouse folder is taken.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/tessera-{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` as Parquet to the shared folder and reads it back: lineage is cut, executors may be lost."""
-    spark = df.sparkSession
-    path = shared_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part holds about SLICE_BYTES of ``column`` (a single longer value stays whole)."""
     n = batch.num_rows

@@ -8,11 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, license_scan, mixing, token_files
+from . import bpe, embedding_dedup, language_id, license_scan, mixing, quality, token_files
 from .common import table
 from .url_filter import RULES, SOFT_LIMIT, SOFT_TERMS, STRICT_TERMS, filter_urls
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.identify_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages).select("page_id", "host", "path", "rule", "n_strict", "n_soft", "verdict")
@@ -37,6 +47,23 @@ def _op4_sql() -> str:
            coalesce(by_rule, CASE WHEN n_strict >= 1 OR n_soft >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict FROM c"""
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = f"""
+    WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
+          AND list_contains(list_transform(embedding, lambda x: x <> 0), true)),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= {embedding_dedup.THRESHOLD}),
+    r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    c AS (SELECT a, min(b) AS m FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+    SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(c.m, vec_id)) AS component_id,
+           vec_id <= coalesce(c.m, vec_id) AS kept
+    FROM embeddings LEFT JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a"""
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -98,4 +125,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": _op4_sql(), "op8_mix_sources": _op8_sql()}
+    return {"op4_url_filters": _op4_sql(), "op8_mix_sources": _op8_sql(), "op5_embedding_dedup": OP5_SQL}
