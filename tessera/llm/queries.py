@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, language_id, license_scan, mixing, quality, token_files
+from . import bpe, embedding_dedup, language_id, license_scan, minhash_dedup, mixing, quality, token_files
 from .common import table
 from .url_filter import RULES, SOFT_LIMIT, SOFT_TERMS, STRICT_TERMS, filter_urls
 
@@ -64,6 +64,26 @@ OP5_SQL = f"""
     FROM embeddings LEFT JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a"""
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+OP6_SQL = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+                 ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    h AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    l AS (SELECT a, b FROM h UNION ALL SELECT b, a FROM h),
+    r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    c AS (SELECT a, min(b) AS m FROM r GROUP BY a)
+    SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, least(documents.doc_id, coalesce(m, documents.doc_id)) AS component_id,
+           documents.doc_id <= coalesce(m, documents.doc_id) AS kept
+    FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id LEFT JOIN c ON c.a = documents.doc_id"""
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -125,4 +145,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filters": _op4_sql(), "op8_mix_sources": _op8_sql(), "op5_embedding_dedup": OP5_SQL}
+    return {"op4_url_filters": _op4_sql(), "op8_mix_sources": _op8_sql(), "op5_embedding_dedup": OP5_SQL, "op6_minhash_dedup": OP6_SQL}
