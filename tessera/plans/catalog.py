@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar
-from ..operators import contracts, gates, graph, journal, policy, selection, series, similarity, stats
+from ..operators import contracts, evidence, gates, graph, journal, network, policy, selection, series, similarity, stats
 from ..sources import text
+from ..streaming import windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -425,3 +426,114 @@ PART = contracts.Contract(
     UNION ALL SELECT 'key:p_brand|p_size', count(*) FROM (SELECT 1 FROM part GROUP BY p_brand, p_size HAVING count(*) > 1)""")
 def contract_violations(spark: SparkSession, d: str) -> DataFrame:
     return PART.violations(_t(spark, d, "part"))
+
+
+_SEATS_SQL = "SELECT p_partkey, list_transform([p_size % 3, CAST(p_partkey % 4 AS INT)], lambda x: CASE x WHEN 0 THEN 'refuse' WHEN 1 THEN 'clear' ELSE 'abstain' END) AS v FROM part"
+
+
+@query(f"SELECT p_partkey, CASE WHEN list_contains(v, 'refuse') AND list_contains(v, 'clear') THEN 'SPLIT' WHEN list_contains(v, 'refuse') THEN 'REFUSED' WHEN list_contains(v, 'clear') THEN 'CLEARED_BUT_UNCERTIFIED' ELSE 'NO_VOTE' END AS outcome FROM ({_SEATS_SQL})")
+def vote_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    word = lambda x: F.when(x == 0, "refuse").when(x == 1, "clear").otherwise("abstain")
+    seats = F.array(word(F.col("p_size") % 3), word(F.col("p_partkey") % 4))
+    return evidence.vote_outcomes(_t(spark, d, "part").select("p_partkey", F.explode(seats).alias("vote")), "p_partkey", "vote")
+
+
+@query("""WITH b(fault, lower, upper) AS (VALUES ('low', 0.0, 3000.0), ('mid', 2000.0, 6000.0), ('any', 8500.0, NULL)), j AS (SELECT c_custkey, c_acctbal, fault FROM customer LEFT JOIN b ON abs(c_acctbal) >= lower AND (upper IS NULL OR abs(c_acctbal) <= upper))
+    SELECT c_custkey, coalesce(string_agg(fault, ',' ORDER BY fault), '') AS candidates, CASE WHEN max(c_acctbal) IS NULL THEN 'NO_FAULT_OBSERVED' WHEN count(fault) = 0 THEN 'UNEXPLAINED' WHEN count(fault) = 1 THEN 'ATTRIBUTED' ELSE 'AMBIGUOUS' END AS verdict FROM j GROUP BY c_custkey""")
+def attribution(spark: SparkSession, d: str) -> DataFrame:
+    bands = spark.createDataFrame([("low", 0.0, 3000.0), ("mid", 2000.0, 6000.0), ("any", 8500.0, None)], "fault string, lower double, upper double")
+    return evidence.attribute(_t(spark, d, "customer"), bands, "c_custkey", "c_acctbal")
+
+
+@query("""WITH s AS (SELECT p_brand AS g, abs(p_retailprice - 1400) / (p_size + 1.0) AS s, p_size + 1.0 AS w FROM part), q AS (SELECT list_sort(list(s))[least(count(*), CAST(ceil((count(*) + 1) * 0.9) AS BIGINT))] AS q, count(*) AS n FROM s),
+    g AS (SELECT g, count(*) AS c, avg(CAST(s <= q AS INT)) AS share, sum(CAST(s <= q AS INT)) AS k FROM s, q GROUP BY g) SELECT any_value(n) AS n, any_value(q) AS quantile, sum(k) / sum(c) AS marginal, coalesce(min(share) FILTER (c >= 50), 1.0) AS worst_group, (SELECT median(w * q) FROM s, q) AS median_half_width FROM g, q""")
+def conformal_coverage(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "part").select("p_brand", F.lit(1400.0).alias("predicted"), "p_retailprice", F.col("p_size").cast("double").alias("spread"))
+    return evidence.conformal(rows, "p_brand", "predicted", "p_retailprice", "spread", 0.1, 1.0, 50)
+
+
+@query("WITH t AS (SELECT p_brand, p_retailprice AS v, count(*) OVER () AS tn, sum(p_retailprice) OVER () AS ts, count(*) OVER (PARTITION BY p_brand) AS gn, sum(p_retailprice) OVER (PARTITION BY p_brand) AS gs FROM part) SELECT p_brand, count(*) AS n, 1 - sum(power(v - (gs - v) / (gn - 1), 2)) / sum(power(v - (ts - v) / (tn - 1), 2)) AS skill FROM t WHERE gn > 1 GROUP BY p_brand")
+def leave_one_out_skill(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.leave_one_out(_t(spark, d, "part"), "p_brand", "p_retailprice")
+
+
+@query("SELECT o_orderpriority, (1 + count(*) FILTER (o_orderstatus = 'F')) / (2 + count(*)) AS rate FROM orders GROUP BY 1")
+def admission_rates(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.admission_rate(_t(spark, d, "orders"), "o_orderpriority", F.col("o_orderstatus") == "F")
+
+
+@query("""WITH p AS (SELECT text FROM benchmark), r AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY n_chars, doc_id) AS n FROM documents)
+    SELECT doc_id, CASE WHEN text IN (SELECT text FROM p) THEN 'KNOWN' WHEN n = 1 THEN 'ACCEPTED' ELSE 'DUPLICATE' END AS status FROM r""")
+def distinct_admit(spark: SparkSession, d: str) -> DataFrame:
+    pool = _t(spark, d, "benchmark").select((-1 - F.col("item_id")).alias("doc_id"), F.md5("text").alias("content"))
+    rows = _t(spark, d, "documents").select("doc_id", F.md5("text").alias("content"), "n_chars")
+    return evidence.admit(rows, pool, "doc_id", "content", "n_chars").select("doc_id", "status")
+
+
+@query("SELECT o_orderpriority, greatest(200000.0, list_sort(list(o_totalprice) FILTER (o_totalprice > 0))[CAST(ceil(count(*) FILTER (o_totalprice > 0) * 9 / 10) AS BIGINT)]) AS quote FROM orders GROUP BY 1")
+def cost_quotes(spark: SparkSession, d: str) -> DataFrame:
+    return evidence.cost_quotes(_t(spark, d, "orders"), "o_orderpriority", "o_totalprice", 200_000.0)
+
+
+@query("SELECT count(*) AS n FROM ((SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') INTERSECT (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A') EXCEPT (SELECT p_partkey FROM part WHERE p_size < 10))")
+def set_operations(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "lineitem").select("l_partkey", "l_returnflag")
+    both = rows.filter("l_returnflag = 'R'").select("l_partkey").intersect(rows.filter("l_returnflag = 'A'").select("l_partkey"))
+    return both.subtract(_t(spark, d, "part").filter("p_size < 10").select("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey, CAST(p_retailprice AS DECIMAL(18, 6)) / 1000000000 AS molar FROM part")
+def unit_conversion(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "part").select("p_partkey", scalar.molar(F.col("p_retailprice"), F.lit("nM")).cast("double").alias("molar"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT n_regionkey AS a, 100 + n_nationkey AS b FROM nation UNION SELECT 100 + s_nationkey, 1000 + s_suppkey FROM supplier), r(node, hops) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.b, hops + 1 FROM r JOIN e ON e.a = node WHERE hops < 3)
+    SELECT node, min(hops) AS hops FROM r GROUP BY node""")
+def graph_reachable(spark: SparkSession, d: str) -> DataFrame:
+    a = _t(spark, d, "nation").select(F.col("n_regionkey").cast("bigint").alias("a"), (100 + F.col("n_nationkey")).cast("bigint").alias("b"))
+    b = _t(spark, d, "supplier").select((100 + F.col("s_nationkey")).cast("bigint").alias("a"), (1000 + F.col("s_suppkey")).alias("b"))
+    return network.reachable(a.unionByName(b), spark.createDataFrame([(0,)], "node bigint"), 3)
+
+
+@query("WITH e AS (SELECT DISTINCT l_suppkey AS u, 1000000 + l_partkey AS v FROM lineitem WHERE l_quantity > 49) SELECT count(*) AS edges, (SELECT count(*) FROM (SELECT u FROM e UNION SELECT v FROM e)) AS nodes FROM e")
+def graph_size(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("a"), (1_000_000 + F.col("l_partkey")).alias("b"))
+    return network.cycle_rank(e, graph.connected_components(e)).select("edges", "nodes")
+
+
+@query()
+def graph_cycle_rank(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("a"), (1_000_000 + F.col("l_partkey")).alias("b"))
+    return network.cycle_rank(e, graph.connected_components(e))
+
+
+@query("""WITH z AS (SELECT p_partkey, (p_retailprice - 1500.0) AS d, p_size * 10.0 AS s FROM part), y AS (SELECT *, abs(d) / s AS z, 1 / (1 + 0.2316419 * abs(d) / s) AS t FROM z)
+    SELECT p_partkey, greatest(d, 0) + s * exp(-z * z / 2) / sqrt(2 * pi()) * (1 - z * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))) AS improvement FROM y""")
+def expected_improvement(spark: SparkSession, d: str) -> DataFrame:
+    ei = selection.expected_improvement(F.col("p_retailprice"), F.col("p_size") * 10.0, 1500.0)
+    return _t(spark, d, "part").select("p_partkey", ei.alias("improvement"))
+
+
+@query("SELECT window_start AS start, event_type, count(*) AS n, sum(value) AS total FROM (SELECT date_trunc('hour', ts) AS window_start, event_type, value FROM events) GROUP BY ALL")
+def event_windows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return windows.windowed(rows, "ts", "event_type", "value").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS roles, sum(length(text)) AS n_chars FROM conversations GROUP BY conv_id")
+def ordered_fold(spark: SparkSession, d: str) -> DataFrame:
+    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
+    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.array_join(F.transform(turns, lambda t: t["role"]), ">").alias("roles"), F.sum("n").alias("n_chars"))
+
+
+@query("SELECT l_partkey, count(*) FILTER (l_quantity < 10) / count(*) AS proportion, avg(l_quantity) FILTER (l_quantity < 10) AS mean_in_contact, min(l_quantity) AS low, max(l_quantity) AS high, median(l_quantity) AS mid FROM lineitem GROUP BY l_partkey")
+def contact_proportions(spark: SparkSession, d: str) -> DataFrame:
+    q, near = F.col("l_quantity"), F.col("l_quantity") < 10
+    return _t(spark, d, "lineitem").groupBy("l_partkey").agg((F.count_if(near) / F.count(F.lit(1))).alias("proportion"), F.avg(F.when(near, q)).alias("mean_in_contact"), F.min(q).alias("low"), F.max(q).alias("high"), F.median(q).alias("mid"))
+
+
+@query("SELECT event_id, 100 - (row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)) AS score FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
+def trailing_window(spark: SparkSession, d: str) -> DataFrame:
+    top = selection.top_per_group(_t(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", [F.desc("ts"), F.desc("event_id")], 5)
+    return top.select("event_id", (100 - F.col("rank")).alias("score"))
