@@ -5,9 +5,8 @@ read). A byte moves down the trie; where the node is itself a token that may fol
 finish it. A sequence of tokens is the BPE encoding of its bytes exactly if every adjacent pair is (that is, if merging
 the bytes of the two by rank ends in just these two), so at each position one guess has finished a token, and the
 others are inside one. The deterministic machine holds all guesses at once; tokens on which they all agree are emitted,
-the others wait. As no token is longer than the longest vocabulary entry, the wait is bounded. A transition is made when
-texts need it for the second time (the first time, the guesses are run as they are), and all are forgotten when there
-are too many.
+the others wait. As no token is longer than the longest vocabulary entry, the wait is bounded. Transitions are made for
+parts of text that recur; for those that come once, or when the table is full, the guesses are run as they are.
 """
 
 from __future__ import annotations
@@ -15,12 +14,13 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
-import re
 from array import array
 from collections.abc import Callable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import map_arrow, require
@@ -92,17 +92,17 @@ class Transducer:
                 node = nxt
             ends[node] = rank
         self.token_at = [ends.get(i, -1) for i in range(nodes)]
+        self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for token, rank in ranks.items():
+            self.trie.add_word(token.decode("latin-1"), rank)
+        self.begun: dict[str, tuple[tuple[int, int], ...]] = {}
         self.edges: dict[int, tuple | None] = {}
         self.pairs: dict[int, bool] = {}
-        self._forget()
-
-    def _forget(self) -> None:
         start = ((-1, 0, ()),)
         self.states: list[tuple] = [start]
         self.number = {start: 0}
         self.finals: list[tuple[int, ...]] = [()]
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.asked: set[int] = set()
 
     def _edges(self, token: int):
         if token not in self.edges:
@@ -163,21 +163,20 @@ class Transducer:
         move = self.moves[state << 8 | byte] = (n, out)
         return move
 
-    def encode(self, piece: bytes) -> list[int]:
+    def encode(self, piece: bytes, recurs: bool = True) -> list[int]:
         """Ids of one match of the split pattern."""
         token = self.ranks.get(piece)
         if token is not None:
             return [token]
-        if len(self.moves) > MAX_TRANSITIONS or len(self.asked) > MAX_TRANSITIONS:
-            self._forget()
+        if not recurs:
+            return self.run(piece)
         ids: list[int] = []
         state, moves = 0, self.moves
         for b in piece:
             move = moves.get(state << 8 | b)
             if move is None:
-                if state << 8 | b not in self.asked:
-                    self.asked.add(state << 8 | b)
-                    return self._run(piece)
+                if len(moves) >= MAX_TRANSITIONS:
+                    return self.run(piece)
                 move = self._make(state, b)
             state, out = move
             if out:
@@ -185,101 +184,147 @@ class Transducer:
         ids += self.finals[state]
         return ids
 
-    def _run(self, piece: bytes) -> list[int]:
+    def _guesses(self, prefix: str) -> tuple[tuple[int, int], ...]:
+        """(token, length) of the tokens that begin ``prefix``, a path of the trie; longest first."""
+        data = prefix.encode("latin-1")
+        found = tuple((self.ranks[data[:k]], k) for k in range(len(data), 0, -1) if data[:k] in self.ranks)
+        self.begun[prefix] = found
+        return found
+
+    def run(self, piece: bytes) -> list[int]:
         """The nondeterministic machine, longest guesses first; a position that leads nowhere is not tried again."""
-        n, child, token_at, pairs = len(piece), self.child, self.token_at, self.pairs
+        text, begun, longest, pairs = piece.decode("latin-1"), self.begun, self.trie.longest_prefix, self.pairs
+        n, at, last = len(text), 0, -1
         ids: list[int] = []
-        at, last, dead = 0, -1, set()
-        open_: list[tuple[int, int, list]] = []
-        guesses: list[tuple[int, int]] | None = None
-        while at < n:
-            if guesses is None:
-                guesses, node = [], 0
-                for i in range(at, n):
-                    node = child.get(node << 8 | piece[i])
-                    if node is None:
-                        break
-                    if token_at[node] >= 0:
-                        guesses.append((token_at[node], i + 1))
-            while guesses:
-                token, end = guesses.pop()
-                if end in dead:
+        dead: set[int] = set()
+        open_: list[tuple] = []
+        path = text[: longest(text)]
+        guesses = iter(begun.get(path) or self._guesses(path))
+        while True:
+            for token, k in guesses:
+                if dead and at + k in dead:
                     continue
                 ok = pairs.get(last << 32 | token)
                 if ok if ok is not None else self._may_follow(last, token):
                     open_.append((at, last, guesses))
                     ids.append(token)
-                    at, last, guesses = end, token, None
+                    at, last = at + k, token
+                    if at == n:
+                        return ids
+                    rest = text[at:]
+                    path = rest[: longest(rest)]
+                    guesses = iter(begun.get(path) or self._guesses(path))
                     break
             else:
                 dead.add(at)
                 at, last, guesses = open_.pop()
                 ids.pop()
-        return ids
 
 
-class TwoGenerations(dict):
-    """A bounded cache: when the young half is full it becomes the old one; what is still used moves on."""
+class TwoGenerations:
+    """A bounded cache: when the young half is full it becomes the old one, and what is used again becomes young."""
 
-    def __init__(self, make: Callable[[str], bytes], half: int) -> None:
-        super().__init__()
-        self.make, self.half, self.old = make, half, {}
+    def __init__(self, half: int) -> None:
+        self.half, self.young, self.old = half, {}, {}
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-            if len(key) > 40:
-                return value
-        self.put(key, value)
+    def get(self, key: str) -> bytes | None:
+        value = self.young.get(key)
+        if value is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
         return value
 
     def put(self, key: str, value: bytes) -> None:
-        if len(self) >= self.half:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
+        if len(self.young) >= self.half:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
 
 
-#: A blank that white space or the end follows; then the text is matched against the pattern as it is.
-_GAP = re.compile(r" (?:\s|\Z)")
+#: A blank that white space or the end follows; such texts are matched against the pattern as a whole.
+GAP = r" ([\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]|$)"
 
 
 class Splitter:
-    """Splits texts by the tokenizer's pattern and joins cached encodings of the parts.
+    """Splits texts by the tokenizer's pattern and joins remembered encodings of the parts.
 
-    Every blank that a non-blank follows starts a match of the pattern, so texts without other blanks are cut there
-    first and whole cuts are looked up; only unknown ones are matched against the pattern. Both caches are bounded.
+    Every blank that a non-blank follows starts a match of the pattern, so texts without other blanks are cut there,
+    and the distinct cuts of many texts are encoded once. What is remembered is bounded.
     """
 
-    def __init__(self, pattern: str, encode_piece: Callable[[str], list[int]]) -> None:
+    def __init__(self, pattern: str, encode_piece: Callable[[str, bool], list[int]], encode_cuts: Callable[[list[str]], list[bytes]] | None = None) -> None:
         import regex
 
         self.find = regex.compile(pattern).findall
-        self.pieces = TwoGenerations(lambda p: array("I", encode_piece(p)).tobytes(), MAX_CACHED)
-        self.chunks = TwoGenerations(lambda p: self.chunk(" " + p), MAX_CACHED)
-
-    def chunk(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(text)))
-
-    def learn(self, texts: list[str | None], encode_batch: Callable[[list[str]], list[list[int]]]) -> None:
-        """Encodes the unknown cuts of many texts in one call, ahead of ``encode``."""
-        young, old, new = self.chunks, self.chunks.old, set()
-        for text in texts:
-            if text and not _GAP.search(text):
-                new.update(text.split(" ")[1:])
-        new = [p for p in new if len(p) <= 40 and p not in young and p not in old]
-        for part, ids in zip(new, encode_batch([" " + p for p in new]), strict=True):
-            young.put(part, array("I", ids).tobytes())
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if _GAP.search(text):
-            return self.chunk(text)
-        first, *rest = text.split(" ")
-        return self.chunk(first) + b"".join(map(self.chunks.__getitem__, rest))
+        self.encode_piece = encode_piece
+        self.encode_cuts = encode_cuts
+        self.known = TwoGenerations(MAX_CACHED)
+
+    def whole(self, text: str, pieces: dict[str, bytes], recurs: bool = False) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers. ``pieces``: matches of the pattern encoded so far."""
+        out = []
+        for p in self.find(text):
+            ids = pieces.get(p)
+            if ids is None:
+                ids = pieces[p] = array("I", self.encode_piece(p, recurs)).tobytes()
+            out.append(ids)
+        return b"".join(out)
+
+    def _learn(self, cuts: list[str], recurs: list[bool], pieces: dict[str, bytes]) -> list[bytes]:
+        """Encodings of distinct cuts (each with the blank before it); those that recur are remembered."""
+        get, put, whole = self.known.get, self.known.put, self.whole
+        got = [get(c) for c in cuts]
+        new = [i for i, g in enumerate(got) if g is None]
+        if self.encode_cuts:
+            values = self.encode_cuts([cuts[i] for i in new]) if new else []
+        else:
+            values = [whole(" " + cuts[i], pieces, recurs[i]) for i in new]
+        for i, value in zip(new, values, strict=True):
+            got[i] = value
+            if recurs[i] and len(cuts[i]) <= 40:
+                put(cuts[i], value)
+        return got
+
+    def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts, one after the other, and where each text's ids begin (and the last end)."""
+        n = len(texts)
+        if not n:
+            return np.empty(0, np.uint32), np.zeros(1, np.int64)
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, GAP)
+        lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+        first = lists.offsets.to_numpy()[:-1].astype(np.int64)
+        cuts = lists.flatten().dictionary_encode()
+        at = cuts.indices.to_numpy().astype(np.int64)
+        used = np.ones(len(at), dtype=bool)
+        first -= first[0]
+        used[first] = False  # no blank stands before a text's first cut
+        times = np.bincount(at[used], minlength=len(cuts.dictionary))
+        seen = times > 0
+        at = (np.cumsum(seen) - 1)[at]
+        pieces: dict[str, bytes] = {}
+        values = self._learn(cuts.dictionary.filter(pa.array(seen)).to_pylist(), (times[seen] > 1).tolist(), pieces)
+        known = len(values)
+        head = texts.to_pylist() if pc.any(odd).as_py() else None
+        starts = lists.flatten().take(pa.array(first)).to_pylist()
+        values += [self.whole(head[i] if head and o else s, pieces) for i, (s, o) in enumerate(zip(starts, odd.to_pylist(), strict=True))]
+        at[first] = known + np.arange(n)
+        size = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        flat = np.frombuffer(b"".join(values), dtype="<u4")
+        each = size[at]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        return ragged(flat, np.cumsum(size) - size, size, at), np.concatenate([ends[first], ends[-1:]])
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return self.encode_many(pa.array([text], pa.string()))[0]
+
+
+def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """flat[start[i] : start[i] + size[i]] for each i of ``at``, one after the other."""
+    each = size[at]
+    ends = np.cumsum(each)
+    total = int(ends[-1]) if len(ends) else 0
+    index = np.repeat(start[at] - (ends - each), each)
+    index += np.arange(total)
+    return flat[index]
 
 
 class Utf8Stream:
@@ -294,6 +339,9 @@ class Utf8Stream:
     def __init__(self, bytes_of: dict[int, bytes]) -> None:
         self.bytes_of = bytes_of
         self.table = [bytes_of.get(i, b"") for i in range(max(bytes_of, default=0) + 1)]
+        self.size = np.array([len(b) for b in self.table], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.flat = np.frombuffer(b"".join(self.table), dtype=np.uint8)
         self.complete = np.array([self._run(self.START, b) == self.START for b in self.table], dtype=bool)
         self.known: dict[tuple[tuple[int, int, int], int], tuple[int, int, int] | None] = {}
         self.state: tuple[int, int, int] | None = self.START
@@ -321,7 +369,7 @@ class Utf8Stream:
 
     def feed(self, ids: np.ndarray) -> bytes:
         """Bytes of the characters that are complete now."""
-        data = self.tail + b"".join(map(self.table.__getitem__, ids.tolist()))
+        data = self.tail + ragged(self.flat, self.start, self.size, ids).tobytes()
         if not self.bad and not (self.state == self.START and self.complete[ids].all()):
             for i in ids.tolist():
                 key = (self.state, i)
@@ -355,11 +403,11 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.machine = Transducer(ranks)
-        self.splitter = Splitter(pattern, lambda piece: self.machine.encode(piece.encode()))
+        self.splitter = Splitter(pattern, lambda piece, recurs: self.machine.encode(piece.encode(), recurs))
         self.stream = Utf8Stream(self.machine.bytes_of)
 
     def encode(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(self.splitter.encode(text), dtype="<u4")
+        return self.splitter.encode(text)
 
     def decode(self, ids: np.ndarray, portion: int = 1 << 16) -> bytes:
         parts = [self.stream.feed(ids[i : i + portion]) for i in range(0, len(ids), portion)]
@@ -379,30 +427,34 @@ def worker_codec(ranks: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def list_array(parts: list[np.ndarray]) -> pa.ListArray:
-    """One list<int32> per array, without a copy per id in Python."""
-    offsets = np.zeros(len(parts) + 1, dtype=np.int32)
-    np.cumsum([len(p) for p in parts], out=offsets[1:])
-    flat = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32, copy=False)))
+def list_array(ids: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+    """list<int32> from all ids and where each list begins; no id becomes a Python object."""
+    return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32, copy=False)))
 
 
-def encode_decode(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
+def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, check: bool = False) -> DataFrame:
     """doc_id, ids (array<int>) and decoded (binary, from the ids alone) of every row.
 
-    Narrow: no shuffle. The vocabulary file (under 1 MB) is read once on the driver and broadcast. A null text counts
-    as empty: no ids, empty bytes. Texts of any length are encoded whole; repeated rows and null ids stay; an empty
-    table gives an empty result; columns other than doc_id and text are ignored.
+    With ``check``, same_text instead of decoded: whether decoding gave the text's bytes. Narrow: no shuffle. The
+    vocabulary file (under 1 MB) is read once on the driver and broadcast. A null text counts as empty: no ids, empty
+    bytes. Texts of any length are encoded whole; repeated rows and null ids stay; an empty table gives an empty
+    result; columns other than doc_id and text are ignored.
     """
     require(docs, "doc_id", "text")
     with open(ranks_file, "rb") as f:
         data = docs.sparkSession.sparkContext.broadcast(f.read())
+    last = "same_text" if check else "decoded"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = worker_codec(data.value, pattern)
         for batch in batches:
-            ids = [codec.encode(t) for t in batch.column("text").to_pylist()]
-            decoded = pa.array([codec.decode(i) for i in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), list_array(ids), decoded], ["doc_id", "ids", "decoded"])
-
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>, decoded binary")
+            texts = batch.column("text")
+            ids, starts = codec.splitter.encode_many(texts)
+            decoded: list = [codec.decode(ids[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            if check:
+                decoded = [d == (t or b"") for d, t in zip(decoded, texts.cast(pa.binary()).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), list_array(ids, starts), pa.array(decoded, pa.bool_() if check else pa.binary())], ["doc_id", "ids", last]
+            )
+
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id bigint, ids array<int>, {last} {'boolean' if check else 'binary'}")

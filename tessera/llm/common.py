@@ -15,7 +15,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 __all__ = ["ascii_lower", "byte_texts", "fold_of", "map_arrow", "require", "shared_dir", "slices", "stored", "table"]
 #: Bytes of Python lists built at a time from an Arrow batch.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

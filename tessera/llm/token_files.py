@@ -11,7 +11,8 @@ from __future__ import annotations
 import gc
 import os
 import zlib
-from collections.abc import Callable, Iterator
+from array import array
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,10 +51,10 @@ class Layout:
 
 
 #: One splitter a worker process and tokenizer; tasks of the worker share it.
-_SPLITTERS: dict[tuple[int, str], tuple[Splitter, Callable[[list[str]], list[list[int]]]]] = {}
+_SPLITTERS: dict[tuple[int, str], Splitter] = {}
 
 
-def worker_splitter(model: str, pattern: str) -> tuple[Splitter, Callable[[list[str]], list[list[int]]]]:
+def worker_splitter(model: str, pattern: str) -> Splitter:
     """Parts of texts encoded by the tokenizers library; strings of special tokens are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
     from tokenizers import Tokenizer
@@ -62,10 +63,27 @@ def worker_splitter(model: str, pattern: str) -> tuple[Splitter, Callable[[list[
     if key not in _SPLITTERS:
         tok = Tokenizer.from_str(model)
         tok.encode_special_tokens = True
+        size = np.ones(tok.get_vocab_size(), dtype=np.int64)
+        for token, i in tok.get_vocab(with_added_tokens=False).items():
+            size[i] = len(token)  # in the byte-level alphabet a character is a byte
+
+        def piece(text: str, recurs: bool = False) -> list[int]:
+            return tok.encode(text, add_special_tokens=False).ids
+
+        def cuts(parts: list[str]) -> list[bytes]:
+            # a text made of the cuts splits at their borders, and a token's bytes tell where they are
+            ids = np.array(tok.encode_batch_fast([" " + " ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+            place = np.cumsum(size[ids])
+            border = np.searchsorted(place, ends)
+            if border[-1] >= len(place) or (place[border] != ends).any():
+                return [array("I", piece(" " + p)).tobytes() for p in parts]
+            raw, stop = ids.tobytes(), ((border + 1) * 4).tolist()
+            return [raw[a:b] for a, b in zip([0, *stop], stop, strict=False)]
+
         gc.disable()  # see worker_codec
         _SPLITTERS.clear()
-        batch = lambda parts: [e.ids for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
-        _SPLITTERS[key] = Splitter(pattern, lambda piece: batch([piece])[0]), batch
+        _SPLITTERS[key] = Splitter(pattern, piece, cuts)
     return _SPLITTERS[key]
 
 
@@ -87,20 +105,18 @@ def write_tokens(
     ordered = keyed.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, encode_batch = worker_splitter(model.value, pattern)
-        end = np.array([end_id], dtype="<u4").tobytes()
+        splitter = worker_splitter(model.value, pattern)
         no, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            splitter.learn(texts, encode_batch)
-            ids = [np.frombuffer(splitter.encode(t) + end, dtype="<u4") for t in texts]
-            n = np.array([len(x) for x in ids], dtype=np.int64)
-            start = before + np.cumsum(n) - n
-            before += int(n.sum())
+            ids, starts = splitter.encode_many(batch.column("text"))
+            ids = np.insert(ids, starts[1:], end_id)
+            starts = starts + np.arange(len(starts))
+            n = np.diff(starts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(start), pa.array(np.full(len(n), no, np.int32)), list_array(ids)],
+                [batch.column("doc_id"), pa.array(n), pa.array(starts[:-1] + before), pa.array(np.full(len(n), no, np.int32)), list_array(ids, starts)],
                 ["doc_id", "n_tokens", "local_start", "file_no", "ids"],
             )
+            before += len(ids)
 
     map_arrow(ordered, run, FILE_SCHEMA).write.options(**layout.options()).parquet(path)
 
