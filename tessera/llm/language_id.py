@@ -186,30 +186,49 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # landmarks x their n-grams: bounded by the fit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, seen = shared.value, np.zeros(SIZE, dtype=bool)
-        folder = Folder(m.table) if m else None
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-            for lo in range(0, len(texts) if m else 0, BLOCK):
-                at, grams = [], []
-                for i in range(lo, min(lo + BLOCK, len(texts))):
-                    if texts[i]:
-                        c = folder.classes(texts[i])
-                        if c.any():
-                            at.append(i)
-                            grams.append(ngrams(c, seen))
-                if not at:
-                    continue
-                s = m.scores(grams)
-                best = s.argmax(1)
-                for i, b, row in zip(at, best.tolist(), s, strict=True):
-                    langs[i], scores[i] = m.labels[b], float(row[b])
+            langs, scores = predict(shared.value, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     return map_arrow(docs.select("doc_id", "text"), run, "doc_id bigint, lang_pred string, score double")
 
 
+def predict(model: LanguageModel | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and score of each text, BLOCK texts a matrix product."""
+    langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    if model is None:
+        return langs, scores
+    seen, folder = np.zeros(SIZE, dtype=bool), Folder(model.table)
+    for lo in range(0, len(texts), BLOCK):
+        at, grams = [], []
+        for i in range(lo, min(lo + BLOCK, len(texts))):
+            if texts[i]:
+                c = folder.classes(texts[i])
+                if c.any():
+                    at.append(i)
+                    grams.append(ngrams(c, seen))
+        if at:
+            s = model.scores(grams)
+            for i, best, row in zip(at, s.argmax(1).tolist(), s, strict=True):
+                langs[i], scores[i] = model.labels[best], float(row[best])
+    return langs, scores
+
+
+def keep_identified(docs: DataFrame, least: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is identified with at least that score.
+
+    Learns from ``docs`` itself; where nothing can be learnt every row would be ``und``, and all go.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
+
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        langs, scores = predict(shared.value, texts.to_pylist())
+        return pa.array([lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_())
+
+    return docs.filter(known("text"))
+
+
 def identify_languages(docs: DataFrame) -> DataFrame:
     """Learns from ``docs`` and predicts every row; adds held_out (crc32 of the id as text mod 3 is 1).
 

@@ -263,3 +263,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     out = out.join(about, F.col("digest") == F.col("k"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that near_duplicates keeps: one of each group.
+
+    Of rows that repeat both id and text one stays. Rows with a null id link with nothing, and stay.
+    """
+    verdict = stored(near_duplicates(docs, words, percent).filter("kept").select(F.col("doc_id").cast("bigint").alias("k")), "kept")
+    ids = verdict.filter("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    once, more = ids.filter("n = 1").select("k"), ids.filter("n > 1").select("k")
+    key = F.col("doc_id").cast("bigint") == F.col("k")
+    repeated = docs.join(more, key, "left_semi").withColumn("__h", F.md5(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["doc_id", "__h"]).drop("__h")
+    return docs.join(once, key, "left_semi").unionByName(repeated).unionByName(docs.filter("doc_id is null"))

@@ -249,3 +249,23 @@ def judge(stats: DataFrame, labels: DataFrame) -> DataFrame:
     out = with_base(stats)
     out = out.withColumn("score", F.lit(0.0)) if model.forest is None else _scored(out, model.forest)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") <= F.lit(model.threshold)))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that quality_rules keeps; no row is shuffled.
+
+    The model is fitted on the statistics of all rows; a second narrow pass judges every text by it.
+    """
+    model = fit_quality(stored(rule_stats(docs), "quality"), labels)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        m = shared.value
+        rows = pd.DataFrame([text_stats(t) for t in texts.cast(pa.binary()).to_pylist()], columns=list(STAT_COLUMNS))
+        ok = ((rows["n_words"] >= MIN_WORDS) & (100 * rows["n_repeat_words"] <= REPEAT_PERCENT * rows["n_words"])).to_numpy()
+        if m.forest is not None and len(rows):
+            ok &= m.forest.score(features(rows)) <= m.threshold
+        return pa.array(ok)
+
+    return docs.filter(good("text"))
