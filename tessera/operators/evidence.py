@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def vote_outcomes(votes: DataFrame, record: str, vote: str) -> DataFrame:
     """record, outcome: agreement can only add a refusal, and clearing never certifies."""
-    n = votes.groupBy(record).agg(F.count_if(F.col(vote) == "refuse").alias("r"), F.count_if(F.col(vote) == "clear").alias("c"))
-    outcome = F.when((F.col("r") > 0) & (F.col("c") > 0), "SPLIT").when(F.col("r") > 0, "REFUSED").when(F.col("c") > 0, "CLEARED_BUT_UNCERTIFIED").otherwise("NO_VOTE")
+    n = votes.groupBy(record).agg(F.count_if(F.col(vote) == "refuse").alias("__r"), F.count_if(F.col(vote) == "clear").alias("__c"))
+    outcome = F.when((F.col("__r") > 0) & (F.col("__c") > 0), "SPLIT").when(F.col("__r") > 0, "REFUSED").when(F.col("__c") > 0, "CLEARED_BUT_UNCERTIFIED").otherwise("NO_VOTE")
     return n.select(record, outcome.alias("outcome"))
 
 

@@ -53,12 +53,13 @@ def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
 def auc_se(a: Column, positives: Column, negatives: Column) -> Column:
     q1, q2 = a / (2 - a), 2 * a * a / (1 + a)
     variance = (a * (1 - a) + (positives - 1) * (q1 - a * a) + (negatives - 1) * (q2 - a * a)) / (positives * negatives)
-    return F.sqrt(F.greatest(F.lit(0.0), variance))
+    return F.when(a.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), variance)))
 
 
 def wilson(hits: Column, trials: Column, z: float = Z95) -> tuple[Column, Column]:
     """Interval of a share; exactly 0 and 1 at the ends, null without trials."""
-    n, p = trials.cast("double"), hits / trials
+    n = F.nullif(trials.cast("double"), F.lit(0.0))
+    p = hits / n
     centre, scale = p + z * z / (2 * n), 1 + z * z / n
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
     low = F.when(trials == 0, None).when(hits == 0, 0.0).otherwise(F.greatest(F.lit(0.0), (centre - half) / scale))
@@ -93,7 +94,7 @@ def fleiss_kappa(votes: DataFrame, record: str, vote: str) -> DataFrame:
     """records, raters, kappa; null unless every record has the same number of at least two raters."""
     cells = votes.groupBy(record, vote).agg(F.count(F.lit(1)).alias("c"))
     per = cells.groupBy(record).agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("sq"))
-    agreed = per.agg(F.count(F.lit(1)).alias("records"), F.min("m").alias("lo"), F.max("m").alias("hi"), F.avg((F.col("sq") - F.col("m")) / (F.col("m") * (F.col("m") - 1))).alias("p"))
+    agreed = per.agg(F.count(F.lit(1)).alias("records"), F.min("m").alias("lo"), F.max("m").alias("hi"), F.avg((F.col("sq") - F.col("m")) / F.nullif(F.col("m") * (F.col("m") - 1), F.lit(0))).alias("p"))
     shares = cells.groupBy(vote).agg(F.sum("c").alias("c"))
     total = shares.agg((F.sum(F.col("c").cast("double") * F.col("c")) / (F.sum("c") * F.sum("c"))).alias("pe"))
     out = agreed.crossJoin(total)  # one row each

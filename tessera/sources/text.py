@@ -16,13 +16,17 @@ def read_table(spark: SparkSession, path: str, columns: list[str] | None = None,
 def delimited(spark: SparkSession, path: str, columns: list[str], sep: str = ",", quote: str = '"', header: bool = True) -> tuple[DataFrame, DataFrame]:
     """Records with all their columns, and decisions (entity_id, outcome, reason_code) for the malformed ones.
 
-    Lines are split by the CSV reader with one column more for what doesn't parse; columns are strings.
+    A record is a line; with ``header`` each file's column line is dropped. Columns are strings. What doesn't parse
+    into just the columns is malformed: it becomes a decision, not an error.
     """
     schema = ", ".join(f"`{c}` string" for c in columns) + ", _malformed string"
-    raw = spark.read.schema(schema).option("sep", sep).option("quote", quote).option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_malformed").csv(path)
-    raw = raw.withColumn("record_id", F.sha2(F.concat_ws("\x1f", F.col("_metadata.file_path"), F.coalesce("_malformed", F.concat_ws("\x1f", *columns))).cast("binary"), 256))
-    bad = raw.filter("_malformed is not null").select(F.col("record_id").alias("entity_id"), F.lit("REJECT").alias("outcome"), F.lit("MALFORMED_RECORD").alias("reason_code"))
-    return raw.filter("_malformed is null").select("record_id", *columns), bad
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("source_uri"), F.col("value").alias("line")).filter(F.trim("line") != "")
+    if header:
+        lines = lines.filter(F.translate("line", quote, "") != sep.join(columns))
+    options = {"sep": sep, "quote": quote, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"}
+    raw = lines.withColumn("r", F.from_csv("line", schema, options)).withColumn("record_id", F.sha2(F.concat_ws("\x1f", "source_uri", "line").cast("binary"), 256))
+    bad = raw.filter("r._malformed is not null").select(F.col("record_id").alias("entity_id"), F.lit("REJECT").alias("outcome"), F.lit("MALFORMED_RECORD").alias("reason_code"))
+    return raw.filter("r._malformed is null").select("record_id", *[F.col(f"r.`{c}`").alias(c) for c in columns]), bad
 
 
 def framed(spark: SparkSession, path: str, separator: str = "$$$$\n") -> DataFrame:
