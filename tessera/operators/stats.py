@@ -120,7 +120,7 @@ def spearman(df: DataFrame, x: str, y: str, least: int = 10) -> DataFrame:
     """n, rho, low, high over complete pairs; null with fewer than ``least``."""
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double"))).select(x, y)
     ranked = mid_ranks(mid_ranks(pairs, x, "__rx"), y, "__ry")
-    out = ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("__rx", "__ry").alias("rho")).withColumn("rho", F.when(F.col("n") >= least, F.col("rho")))
+    out = ranked.agg(F.count(F.lit(1)).alias("n"), (F.covar_pop("__rx", "__ry") / F.nullif(F.stddev_pop("__rx") * F.stddev_pop("__ry"), F.lit(0.0))).alias("rho")).withColumn("rho", F.when(F.col("n") >= least, F.col("rho")))
     z, se = F.atanh(F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), F.col("rho")))), 1 / F.sqrt(F.greatest(F.col("n") - 3, F.lit(1)))
     return out.withColumn("low", F.tanh(z - 1.96 * se)).withColumn("high", F.tanh(z + 1.96 * se))
 
