@@ -12,6 +12,7 @@ from ..functions import scalar
 from ..operators import contracts, evidence, gates, graph, journal, network, policy, selection, series, similarity, stats
 from ..sources import text
 from ..streaming import windows
+from . import cascade
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -537,3 +538,52 @@ def contact_proportions(spark: SparkSession, d: str) -> DataFrame:
 def trailing_window(spark: SparkSession, d: str) -> DataFrame:
     top = selection.top_per_group(_t(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", [F.desc("ts"), F.desc("event_id")], 5)
     return top.select("event_id", (100 - F.col("rank")).alias("score"))
+
+
+def _cascade(spark: SparkSession, d: str) -> cascade.Run:
+    judge = lambda column, low, high, name: lambda df: df.withColumn("reason_code", gates.verdict(F.col(column), gates.Bounds(low, high), name)).withColumn("passed", F.col("reason_code") == f"{name}_PASS")
+    tiers = [
+        cascade.Tier("cheap", {"size": judge("p_size", 5, 45, "SIZE"), "price": judge("p_retailprice", 950, None, "PRICE")}),
+        cascade.Tier("vote", {"low": judge("p_retailprice", None, 1500, "LOW"), "small": judge("p_size", None, 25, "SMALL"), "large": judge("p_size", 35, None, "LARGE")}, "AT_LEAST", 2),
+    ]
+    return cascade.run_cascade(_t(spark, d, "part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey", tiers)
+
+
+_CASCADE_SQL = "a AS (SELECT * FROM part WHERE p_size BETWEEN 5 AND 45), b AS (SELECT * FROM a WHERE p_retailprice >= 950), c AS (SELECT * FROM b WHERE CAST(p_retailprice <= 1500 AS INT) + CAST(p_size <= 25 AS INT) + CAST(p_size >= 35 AS INT) >= 2)"
+
+
+@query(f"WITH {_CASCADE_SQL} SELECT p_partkey, p_size, p_retailprice FROM c")
+def cascade_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return _cascade(spark, d).survivors
+
+
+@query(f"WITH {_CASCADE_SQL}, f AS (SELECT 0 AS tier_no, 'cheap' AS tier, (SELECT count(*) FROM part) AS entering, (SELECT count(*) FROM b) AS surviving UNION ALL SELECT 1, 'vote', (SELECT count(*) FROM b), (SELECT count(*) FROM c)) SELECT *, entering - surviving AS removed FROM f")
+def cascade_funnel(spark: SparkSession, d: str) -> DataFrame:
+    return _cascade(spark, d).funnel
+
+
+@query(f"""WITH {_CASCADE_SQL} SELECT stage_id, outcome, count(*) AS n FROM (SELECT 'cheap.size' AS stage_id, CASE WHEN p_size BETWEEN 5 AND 45 THEN 'PASS' ELSE 'REJECT' END AS outcome FROM part
+    UNION ALL SELECT 'cheap.price', CASE WHEN p_retailprice >= 950 THEN 'PASS' ELSE 'REJECT' END FROM a UNION ALL SELECT 'vote.low', CASE WHEN p_retailprice <= 1500 THEN 'PASS' ELSE 'REJECT' END FROM b
+    UNION ALL SELECT 'vote.small', CASE WHEN p_size <= 25 THEN 'PASS' ELSE 'REJECT' END FROM b UNION ALL SELECT 'vote.large', CASE WHEN p_size >= 35 THEN 'PASS' ELSE 'REJECT' END FROM b) GROUP BY ALL""")
+def cascade_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return _cascade(spark, d).decisions.groupBy("stage_id", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+class ScaleKernel:
+    """A fixture behind the seam: price per size, two rows an entity."""
+
+    schema = "p_partkey bigint, pose int, score double"
+    config = {"name": "scale", "version": 1}
+
+    def __call__(self, rows):
+        out = rows.loc[rows.index.repeat(2)].reset_index(drop=True)
+        out["pose"] = [0, 1] * len(rows)
+        out["score"] = out["p_retailprice"] / out["p_size"] * (1 + out["pose"])
+        return out[["p_partkey", "pose", "score"]].astype({"pose": "int32"})
+
+
+@query("SELECT p_partkey, CAST(pose AS INT) AS pose, p_retailprice / p_size * (1 + pose) AS score FROM part, (VALUES (0), (1)) t(pose)")
+def kernel_seam(spark: SparkSession, d: str) -> DataFrame:
+    kernels = cascade.KernelRegistry()
+    kernels.register("scale", ScaleKernel())
+    return kernels.apply("scale", _t(spark, d, "part"), ["p_partkey", "p_size", "p_retailprice"])

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import scalar
-from tessera.operators import contracts, evidence, gates, graph, journal, network, policy, selection, series, similarity, stats
+from tessera.operators import contracts, evidence, gates, graph, journal, network, planning, policy, selection, series, similarity, stats
+from tessera.plans import cascade
 from tessera.sources import text
 from tessera.streaming import windows
 
@@ -255,3 +256,41 @@ def test_streams(spark, tmp_path):
     last = {r["user_id"]: r["s"] for r in spent.groupBy("user_id").agg(F.max("spent").alias("s")).collect()}
     total = {r["user_id"]: r["s"] for r in events.groupBy("user_id").agg(F.sum("value").alias("s")).collect()}
     assert last.keys() == total.keys() and all(math.isclose(last[k], total[k], rel_tol=1e-9) for k in total)
+
+
+def test_planning():
+    assert planning.retention(0.0, 0.1, 0.01) == 0.1 and planning.retention(1.0, 0.1, 0.2) == 0.5
+    values = [planning.retention(r, 0.1, 0.01) for r in (0.05, 0.3, 0.6, 0.9, 0.99)]
+    assert values == sorted(values) and 0.1 < values[0] and values[-1] <= 1
+    rho = planning.rho_for_multiplier(0.3, 1.5, 0.1, 0.01)
+    assert math.isclose(planning.retention(rho, 0.1, 0.01), 1.5 * planning.retention(0.3, 0.1, 0.01), rel_tol=1e-6)
+    assert math.isclose(planning.normal_quantile(0.975), 1.959963984540054, rel_tol=1e-9)
+    parabola = [x * x / 7.0 for x in range(20)]
+    assert all(math.isclose(a, b, abs_tol=1e-9) for a, b in zip(planning.savitzky_golay(parabola, 7, 2), parabola, strict=True))
+    assert planning.merge_json({"a": {"b": 1, "c": 2}, "d": 3}, {"a": {"b": 9}}) == {"a": {"b": 9, "c": 2}, "d": 3}
+    assert planning.at_pointer({"a/b": [1, {"~": 2}]}, "/a~1b/1/~0") == 2
+
+
+def test_gaussian_process():
+    import numpy as np
+
+    pool = np.linspace(0, 1, 40)[:, None] ** np.array([[1, 2]])
+    mean, spread = planning.gaussian_process(pool, [0, 20, 39], [0.0, 1.0, 0.0], 1e-6)
+    assert abs(mean[20] - 1) < 1e-2 and spread[20] < 1e-2 < spread[10]
+    mean, spread = planning.gaussian_process(pool, [], [], 0.1)
+    assert (mean == 0).all() and (spread == 1).all()
+
+
+def test_cascade_modes(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(10)], "k int, v double")
+    gate = lambda lo: lambda x: x.withColumn("reason_code", F.when(F.col("v") >= lo, "P").otherwise("R")).withColumn("passed", F.col("v") >= lo)
+    ids = lambda mode, n=0: {r["k"] for r in cascade.run_cascade(df, "k", [cascade.Tier("t", {"a": gate(3), "b": gate(6)}, mode, n)]).survivors.collect()}
+    assert ids("SERIAL") == ids("ALL") == ids("AT_LEAST", 2) == set(range(6, 10)) and ids("ANY") == set(range(3, 10))
+    run = cascade.run_cascade(df, "k", [cascade.Tier("t", {"a": gate(3), "b": gate(6)})])
+    assert run.decisions.count() == 17 and run.funnel.first()["removed"] == 6
+    with pytest.raises(policy.CoverageError):
+        cascade.run_cascade(df, "k", [cascade.Tier("t", {"a": lambda x: gate(3)(x).filter("k > 0"), "b": gate(6)}, "ALL")])
+    for wrong in ({"gates": {}}, {"gates": {"a": gate(1)}, "mode": "SOME"}, {"gates": {"a": gate(1)}, "mode": "AT_LEAST", "at_least": 2}):
+        with pytest.raises(ValueError):
+            cascade.Tier("t", **wrong)
+    assert cascade.plan_id("k", [cascade.Tier("t", {"a": gate(1)})], {"a": 1}) != cascade.plan_id("k", [cascade.Tier("t", {"a": gate(1)})], {"a": 2})
