@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar
-from ..operators import contracts, evidence, gates, graph, journal, network, policy, selection, series, similarity, stats
+from ..operators import contracts, evidence, gates, graph, journal, lookup, network, policy, selection, series, similarity, stats
 from ..sources import text
 from ..streaming import windows
 from . import cascade
@@ -587,3 +587,29 @@ def kernel_seam(spark: SparkSession, d: str) -> DataFrame:
     kernels = cascade.KernelRegistry()
     kernels.register("scale", ScaleKernel())
     return kernels.apply("scale", _t(spark, d, "part"), ["p_partkey", "p_size", "p_retailprice"])
+
+
+@query("""WITH k AS (SELECT DISTINCT l_partkey AS k, l_partkey % 4 AS lane FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 30)), r AS (SELECT k, lane, (row_number() OVER (PARTITION BY lane ORDER BY k) - 1) // 50 AS batch FROM k)
+    SELECT lane, batch, array_to_string(list_sort(list(CAST(k AS VARCHAR))), ',') AS keys, sha256('chembl' || chr(10) || array_to_string(list_sort(list(CAST(k AS VARCHAR))), chr(10))) AS request_id FROM r GROUP BY lane, batch""")
+def lookup_batches(spark: SparkSession, d: str) -> DataFrame:
+    keys = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("k"))
+    known = _t(spark, d, "part").filter("p_size > 30").select(F.col("p_partkey").alias("k"))
+    return lookup.plan_lookups(keys, known, "k", F.col("k") % 4, 50, "chembl").withColumn("keys", F.array_join("keys", ","))
+
+
+@query("SELECT p_partkey AS k, count(l_orderkey) AS n, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN l_orderkey END) AS n_documents, count(*) FILTER (l_returnflag = 'R') AS n_kind FROM part LEFT JOIN lineitem ON l_partkey = p_partkey LEFT JOIN orders ON o_orderkey = l_orderkey GROUP BY p_partkey")
+def dossier_inventory(spark: SparkSession, d: str) -> DataFrame:
+    m = _t(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_orderkey").alias("doc"), "l_returnflag")
+    docs = _t(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc"))
+    return lookup.dossier(m, _t(spark, d, "part").select(F.col("p_partkey").alias("k")), docs, "k", "doc", F.col("l_returnflag") == "R")
+
+
+@query("SELECT event_id FROM events WHERE json_extract_string(props, '$.k') IN ('1', '69', '42')")
+def evidence_facets(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.facets(_t(spark, d, "events"), "props", {"k": ["1", "69", "42"]}).select("event_id")
+
+
+@query("SELECT n_nationkey, position, position + n_regionkey AS mapped FROM (SELECT n_nationkey, n_regionkey, unnest(range(n_nationkey, n_nationkey + 4)) AS position FROM nation)")
+def residue_map(spark: SparkSession, d: str) -> DataFrame:
+    r = _t(spark, d, "nation").select("n_nationkey", "n_regionkey", F.col("n_nationkey").alias("low"), (F.col("n_nationkey") + 3).alias("high"))
+    return lookup.ranges_to_rows(r, "low", "high", "n_regionkey").select("n_nationkey", "position", "mapped")

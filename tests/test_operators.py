@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import scalar
-from tessera.operators import contracts, evidence, gates, graph, journal, network, planning, policy, selection, series, similarity, stats
+from tessera.operators import contracts, evidence, gates, graph, journal, lookup, network, planning, policy, selection, series, similarity, stats
 from tessera.plans import cascade
-from tessera.sources import text
+from tessera.sources import artifacts, text
 from tessera.streaming import windows
 
 
@@ -294,3 +294,27 @@ def test_cascade_modes(spark):
         with pytest.raises(ValueError):
             cascade.Tier("t", **wrong)
     assert cascade.plan_id("k", [cascade.Tier("t", {"a": gate(1)})], {"a": 1}) != cascade.plan_id("k", [cascade.Tier("t", {"a": gate(1)})], {"a": 2})
+
+
+def test_artifacts(spark, tmp_path):
+    root = str(tmp_path / "store")
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    one = artifacts.commit(spark, root, "table", {"name": "x"}, [], {"primary": df})
+    again = artifacts.commit(spark, root, "table", {"name": "x"}, [], {"primary": df.orderBy(F.desc("k")).repartition(3)})
+    other = artifacts.commit(spark, root, "table", {"name": "y"}, [one.id], {"primary": df})
+    assert one.id == again.id != other.id and artifacts.resolve(spark, root, one.id).manifest["ports"]["primary"]["rows"] == 2
+    assert artifacts.read_port(spark, one, "primary", verify=True).count() == 2
+    df.filter("k = 1").write.mode("overwrite").parquet(f"{one.path}/primary")
+    with pytest.raises(artifacts.ArtifactError, match="manifest says"):
+        artifacts.read_port(spark, one, "primary", verify=True)
+    for bad in (lambda: artifacts.resolve(spark, root, "0" * 64), lambda: artifacts.read_port(spark, one, "none")):
+        with pytest.raises(artifacts.ArtifactError):
+            bad()
+
+
+def test_facets_and_ranges(spark):
+    df = spark.createDataFrame([(1, '{"task":"a","role":["x","y"]}'), (2, '{"task":"b","role":"x"}'), (3, "not json"), (4, None)], "k int, body string")
+    assert [r["k"] for r in lookup.facets(df, "body", {"role": ["x"], "task": ["a", "b"]}).orderBy("k").collect()] == [1, 2]
+    assert lookup.facets(df, "body", {"role": ["y"]}).count() == 1
+    with pytest.raises(Exception, match="range too long"):
+        lookup.ranges_to_rows(spark.createDataFrame([(1, 9, 0)], "a int, b int, s int"), "a", "b", "s", limit=5).collect()
