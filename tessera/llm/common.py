@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,9 +15,13 @@ from ..operators.graph import shared_path as shared_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-__all__ = ["ascii_lower", "byte_texts", "fold_of", "map_arrow", "require", "shared_dir", "slices", "stored", "table"]
+__all__ = ["ascii_lower", "byte_texts", "flag_texts", "fold_of", "hash_share", "held", "lean", "map_arrow", "require", "shared_dir", "slices", "stored", "table", "trim"]
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:  # another C library; memory is then given back when the worker ends
+    _libc = None
 #: Bytes of Python lists built at a time from an Arrow batch.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,13 +38,42 @@ def fold_of(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(parts))
 
 
-def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts a batch so that each part holds about SLICE_BYTES of ``column`` (a single longer value stays whole)."""
-    n = batch.num_rows
+#: What a worker process keeps from task to task, by name: (key, value). One operator's at a time.
+HELD: dict[str, tuple[object, object]] = {}
+
+
+def held(name: str, key: object, make: Callable[[], object]):
+    """A value that tasks of a worker share (a codec with its caches), made when first needed."""
+    got = HELD.get(name)
+    if got is None or got[0] != key:
+        HELD.clear()
+        got = HELD[name] = (key, make())
+    return got[1]
+
+
+def trim() -> None:
+    """Gives freed memory back to the system; a worker lives longer than a task."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def lean(keep: str | None = None) -> None:
+    """Drops what other operators' tasks left in this worker."""
+    if any(name != keep for name in HELD):
+        HELD.clear()
+        gc.enable()
+        gc.collect()
+        trim()
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch so that each part holds about ``limit`` bytes of ``column`` (a single longer value stays whole)."""
+    n, limit = batch.num_rows, limit or SLICE_BYTES
     if not n:
         return
     size = max(1, batch.column(column).nbytes)
-    step = max(1, int(n * SLICE_BYTES / size)) if size > SLICE_BYTES else n
+    step = max(1, int(n * limit / size)) if size > limit else n
     for i in range(0, n, step):
         yield batch.slice(i, step)
 
@@ -48,15 +83,43 @@ def byte_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes | None
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow whose function sees bounded slices of the ``text`` column."""
+def map_arrow(
+    df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, keep: str | None = None, limit: int | None = None
+) -> DataFrame:
+    """mapInArrow whose function sees bounded slices of the ``text`` column. ``keep``: the name of what it holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return fn(part for b in batches for part in slices(b))
+        def parts() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield from slices(b, limit=limit)
+                trim()
+
+        lean(keep)
+        return fn(parts())
 
     return df.mapInArrow(run, schema)
 
 
+def flag_texts(test: Callable[[list], list[bool]], binary: bool = False):
+    """A boolean function of a text column, tested slice by slice."""
+
+    @F.arrow_udf("boolean")
+    def flags(texts: pa.Array) -> pa.Array:
+        lean()
+        out: list[bool] = []
+        for part in slices(pa.RecordBatch.from_arrays([texts.cast(pa.binary()) if binary else texts], ["text"])):
+            out += test(part.column("text").to_pylist())
+        trim()
+        return pa.array(out, pa.bool_())
+
+    return flags
+
+
+def hash_share(*columns: str) -> Column:
+    """Even in [0, 1], the same for equal values: rows below n / count are a sample of about n, without a sort."""
+    return F.xxhash64(*columns) / F.lit(float(1 << 64)) + 0.5
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

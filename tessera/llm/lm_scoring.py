@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, fold_of, map_arrow, require, stored
+from .common import byte_texts, fold_of, hash_share, map_arrow, require, stored
 
 #: The token after a text's last word; no word is empty.
 END = b""
@@ -263,10 +263,22 @@ class Model:
     net: Network
 
 
+def frequent(vocab: DataFrame) -> DataFrame:
+    """Words of the highest counts, at most KNOWN of them: those above a count read off a histogram of eighths of octaves."""
+    octave = F.floor(F.log2(F.col("c").cast("double")) * 8).cast("int")
+    sizes = sorted((r["o"], r["n"]) for r in vocab.groupBy(octave.alias("o")).agg(F.count(F.lit(1)).alias("n")).collect())
+    least, held = (sizes[-1][0] + 1 if sizes else 0), 0
+    for o, n in reversed(sizes):
+        if held + n > KNOWN:
+            break
+        least, held = o, held + n
+    return vocab.filter(octave >= least)
+
+
 def learn(docs: DataFrame, vocab: DataFrame) -> Model:
     """Fits on learning rows. ``vocab`` is their count_words."""
     n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = vocab.orderBy(F.desc("c"), "word").limit(KNOWN).collect()
+    top = sorted(frequent(vocab).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
     words, counts = [bytes(r["word"]) for r in top], np.array([r["c"] for r in top], dtype=np.int64)
     model_words = words[: WORDS - 1] if END in words[: WORDS - 1] else [END, *words[: WORDS - 2]]
     chosen = {w: i for i, w in enumerate(model_words)}
@@ -292,14 +304,12 @@ def learn(docs: DataFrame, vocab: DataFrame) -> Model:
 
 def sample(docs: DataFrame, model: Model) -> list[np.ndarray]:
     """Whole documents with the smallest hashes of their ids, until they hold FIT_TOKENS tokens."""
-    u = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text").cast("double")).alias("chars")).first()
     if not size["n"]:
         return []
     mean = max(1.0, (size["chars"] or 0.0) / size["n"] / 7)
-    wanted = int(FIT_TOKENS / mean) + 1
-    cut = docs.select(u.alias("u")).orderBy("u").limit(wanted).agg(F.max("u")).first()[0]
-    rows = docs.filter(u <= cut).select(u.alias("u"), "text").toLocalIterator()
+    u = hash_share("doc_id")
+    rows = docs.filter(u <= (FIT_TOKENS / mean + 1) / size["n"]).select(u.alias("u"), "text").toLocalIterator()
     texts = sorted(((r["u"], r["text"] or "") for r in rows))
     out, total = [], 0
     for _, text in texts:
