@@ -71,11 +71,15 @@ def admission_rate(rows: DataFrame, group: str, admitted: Column) -> DataFrame:
 
 
 def admit(candidates: DataFrame, known: DataFrame, key: str, content: str, order: str) -> DataFrame:
-    """Candidates with status: KNOWN if key or content is in the pool, DUPLICATE after the first of its content, else ACCEPTED."""
-    first = F.row_number().over(Window.partitionBy(content).orderBy(order, key)) == 1
+    """Candidates with status: KNOWN if key or content is in the pool, DUPLICATE after the first of its content, else ACCEPTED.
+
+    The first of a content is an aggregate with partial results, so very many copies don't meet in one task.
+    """
+    least = candidates.groupBy(content).agg(F.max(content).alias("__cc"), F.min(F.struct(order, key)).alias("__f")).drop(content)
+    first = F.col(order).eqNullSafe(F.col(f"__f.{order}")) & F.col(key).eqNullSafe(F.col(f"__f.{key}"))
     keys = known.select(F.col(key).alias("__k")).distinct().withColumn("__has_key", F.lit(True))
     contents = known.select(F.col(content).alias("__c")).distinct().withColumn("__has_content", F.lit(True))
-    out = candidates.join(keys, F.col(key) == F.col("__k"), "left").join(contents, F.col(content) == F.col("__c"), "left")
+    out = candidates.join(least, F.col(content) == F.col("__cc"), "left").join(keys, F.col(key) == F.col("__k"), "left").join(contents, F.col(content) == F.col("__c"), "left")
     pool = F.coalesce("__has_key", "__has_content", F.lit(False))
     return out.withColumn("status", F.when(pool, "KNOWN").when(first, "ACCEPTED").otherwise("DUPLICATE")).select(*candidates.columns, "status")
 
