@@ -23,12 +23,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import map_arrow, require
+from .common import held, map_arrow, require
 
 #: Bounds of what a worker remembers; beyond them it forgets and starts anew.
-MAX_TRANSITIONS = 300_000
-MAX_PAIRS = 300_000
-MAX_CACHED = 150_000
+MAX_TRANSITIONS = 40_000
+MAX_PAIRS = 200_000
+CUT_ROWS = 1_000_000
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -104,6 +104,10 @@ class Transducer:
         self.finals: list[tuple[int, ...]] = [()]
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
 
+    def table(self) -> list[bytes]:
+        """Bytes of each id."""
+        return [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of, default=0) + 1)]
+
     def _edges(self, token: int):
         if token not in self.edges:
             self.edges[token] = edges(self.bytes_of[token], self.ranks)
@@ -221,22 +225,71 @@ class Transducer:
                 ids.pop()
 
 
-class TwoGenerations:
-    """A bounded cache: when the young half is full it becomes the old one, and what is used again becomes young."""
-
-    def __init__(self, half: int) -> None:
-        self.half, self.young, self.old = half, {}, {}
+class CutTable:
+    """Encodings of parts of text met so far, in a few arrays: about 30 bytes a part.
 
-    def get(self, key: str) -> bytes | None:
-        value = self.young.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.put(key, value)
-        return value
+    A part is looked up by a 64-bit hash of its bytes, and what is found counts only if its tokens' bytes are the
+    part's, so a collision costs time, not correctness. When ``rows`` parts are held the table starts anew.
+    """
 
-    def put(self, key: str, value: bytes) -> None:
-        if len(self.young) >= self.half:
-            self.young, self.old = {}, self.young
-        self.young[key] = value
+    LONGEST = 48
+
+    def __init__(self, token_bytes: list[bytes], rows: int) -> None:
+        self.rows = rows
+        self.token_size = np.array([len(b) for b in token_bytes], dtype=np.int64)
+        self.token_start = np.cumsum(self.token_size) - self.token_size
+        self.token_flat = np.frombuffer(b"".join(token_bytes), dtype=np.uint8)
+        self.odd = np.random.default_rng(1).integers(1 << 62, 1 << 63, self.LONGEST, dtype=np.uint64) | np.uint64(1)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys = np.empty(0, np.uint64)
+        self.row = np.empty(0, np.int32)
+        self.start, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint32)
+
+    def hashes(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """One per part; of parts that are not longer than LONGEST."""
+        size = np.diff(offsets)
+        place = np.arange(offsets[-1] - offsets[0]) - np.repeat(offsets[:-1] - offsets[0], size)
+        each = (data[offsets[0] : offsets[-1]].astype(np.uint64) + np.uint64(1)) * self.odd[np.minimum(place, self.LONGEST - 1)]
+        out = np.add.reduceat(each, offsets[:-1] - offsets[0]) if len(size) else np.empty(0, np.uint64)
+        return out ^ (out >> np.uint64(29))
+
+    def find(self, keys: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Row of each part (it stands for the part with a blank before it), or -1."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        if not len(self.keys):
+            return out
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        hit = np.flatnonzero(self.keys[at] == keys)
+        row = self.row[at[hit]].astype(np.int64)
+        size = self.size[row].astype(np.int64)
+        ids = ragged(self.ids, self.start[row], size, slice(None))
+        length = np.add.reduceat(self.token_size[ids], np.cumsum(size) - size) if len(row) else size
+        want = np.diff(offsets)[hit] + 1
+        fits = length == want
+        hit, row, size, want = hit[fits], row[fits], size[fits], want[fits]
+        ids = ragged(self.ids, self.start[row], size, slice(None))
+        have = ragged(self.token_flat, self.token_start, self.token_size, ids)
+        begin = np.cumsum(want) - want
+        text = np.full(int(want.sum()), 0x20, dtype=np.uint8)
+        inner = np.ones(len(text), dtype=bool)
+        inner[begin] = False
+        text[inner] = ragged(data, offsets[:-1][hit].astype(np.int64), want - 1, slice(None))
+        same = np.logical_and.reduceat(have == text, begin) if len(hit) else np.empty(0, bool)
+        out[hit[same]] = row[same]
+        return out
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        if len(self.start) + len(keys) > self.rows:
+            self._empty()
+        first = len(self.start)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size.astype(np.int32)])
+        self.ids = np.concatenate([self.ids, ids])
+        every, row = np.concatenate([self.keys, keys]), np.concatenate([self.row, np.arange(first, first + len(keys), dtype=np.int32)])
+        order = np.argsort(every, kind="stable")
+        self.keys, self.row = every[order], row[order]
 
 
 #: A blank that white space or the end follows; such texts are matched against the pattern as a whole.
@@ -244,19 +297,21 @@ GAP = r" ([\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]|$)"
 
 
 class Splitter:
-    """Splits texts by the tokenizer's pattern and joins remembered encodings of the parts.
+    """Splits texts by the tokenizer's pattern and joins encodings of the parts.
 
     Every blank that a non-blank follows starts a match of the pattern, so texts without other blanks are cut there,
-    and the distinct cuts of many texts are encoded once. What is remembered is bounded.
+    and distinct cuts are encoded once and remembered in a bounded table.
     """
 
-    def __init__(self, pattern: str, encode_piece: Callable[[str, bool], list[int]], encode_cuts: Callable[[list[str]], list[bytes]] | None = None) -> None:
+    def __init__(
+        self, pattern: str, token_bytes: list[bytes], encode_piece: Callable[[str, bool], list[int]], encode_cuts: Callable[[list[str]], list[bytes]] | None = None, rows: int | None = None
+    ) -> None:
         import regex
 
         self.find = regex.compile(pattern).findall
         self.encode_piece = encode_piece
         self.encode_cuts = encode_cuts
-        self.known = TwoGenerations(MAX_CACHED)
+        self.table = CutTable(token_bytes, rows or CUT_ROWS)
 
     def whole(self, text: str, pieces: dict[str, bytes], recurs: bool = False) -> bytes:
         """Ids as little-endian unsigned 32-bit integers. ``pieces``: matches of the pattern encoded so far."""
@@ -268,21 +323,6 @@ class Splitter:
             out.append(ids)
         return b"".join(out)
 
-    def _learn(self, cuts: list[str], recurs: list[bool], pieces: dict[str, bytes]) -> list[bytes]:
-        """Encodings of distinct cuts (each with the blank before it); those that recur are remembered."""
-        get, put, whole = self.known.get, self.known.put, self.whole
-        got = [get(c) for c in cuts]
-        new = [i for i, g in enumerate(got) if g is None]
-        if self.encode_cuts:
-            values = self.encode_cuts([cuts[i] for i in new]) if new else []
-        else:
-            values = [whole(" " + cuts[i], pieces, recurs[i]) for i in new]
-        for i, value in zip(new, values, strict=True):
-            got[i] = value
-            if recurs[i] and len(cuts[i]) <= 40:
-                put(cuts[i], value)
-        return got
-
     def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, one after the other, and where each text's ids begin (and the last end)."""
         n = len(texts)
@@ -292,33 +332,58 @@ class Splitter:
         odd = pc.match_substring_regex(texts, GAP)
         lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         first = lists.offsets.to_numpy()[:-1].astype(np.int64)
-        cuts = lists.flatten().dictionary_encode()
+        flat_cuts = lists.flatten()
+        first -= first[0]
+        starts = flat_cuts.take(pa.array(first)).to_pylist()
+        cuts = flat_cuts.dictionary_encode()
         at = cuts.indices.to_numpy().astype(np.int64)
         used = np.ones(len(at), dtype=bool)
-        first -= first[0]
         used[first] = False  # no blank stands before a text's first cut
         times = np.bincount(at[used], minlength=len(cuts.dictionary))
         seen = times > 0
         at = (np.cumsum(seen) - 1)[at]
+        distinct, times = cuts.dictionary.filter(pa.array(seen)), times[seen]
+        del lists, flat_cuts, cuts, used, seen
+        known = len(distinct)
+        offsets = np.frombuffer(distinct.buffers()[1], dtype=np.int32, count=known + 1, offset=4 * distinct.offset) if known else np.zeros(1, np.int32)
+        data = np.frombuffer(distinct.buffers()[2], dtype=np.uint8) if known and distinct.buffers()[2] is not None else np.empty(0, np.uint8)
+        keys = self.table.hashes(data, offsets)
+        row = self.table.find(keys, data, offsets)
+        new = np.flatnonzero(row < 0)
         pieces: dict[str, bytes] = {}
-        values = self._learn(cuts.dictionary.filter(pa.array(seen)).to_pylist(), (times[seen] > 1).tolist(), pieces)
-        known = len(values)
+        words = distinct.take(pa.array(new)).to_pylist()
+        if self.encode_cuts:
+            values = self.encode_cuts(words) if words else []
+        else:
+            values = [self.whole(" " + w, pieces, r) for w, r in zip(words, (times[new] > 1).tolist(), strict=True)]
         head = texts.to_pylist() if pc.any(odd).as_py() else None
-        starts = lists.flatten().take(pa.array(first)).to_pylist()
         values += [self.whole(head[i] if head and o else s, pieces) for i, (s, o) in enumerate(zip(starts, odd.to_pylist(), strict=True))]
+        fresh_size = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
+        fresh = np.frombuffer(b"".join(values), dtype="<u4")
+        fresh_start = np.cumsum(fresh_size) - fresh_size
+        # encodings of the known cuts, then of the new ones, then of the texts' beginnings
+        old = np.flatnonzero(row >= 0)
+        size = np.empty(known + n, np.int64)
+        size[old], size[new], size[known:] = self.table.size[row[old]], fresh_size[: len(new)], fresh_size[len(new) :]
+        found = ragged(self.table.ids, self.table.start[row[old]], size[old], slice(None))
+        flat = np.concatenate([found, fresh])
+        start = np.empty(known + n, np.int64)
+        start[old], start[new], start[known:] = np.cumsum(size[old]) - size[old], fresh_start[: len(new)] + len(found), fresh_start[len(new) :] + len(found)
         at[first] = known + np.arange(n)
-        size = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
-        flat = np.frombuffer(b"".join(values), dtype="<u4")
         each = size[at]
         ends = np.concatenate([[0], np.cumsum(each)])
-        return ragged(flat, np.cumsum(size) - size, size, at), np.concatenate([ends[first], ends[-1:]])
+        out = ragged(flat, start, size, at), np.concatenate([ends[first], ends[-1:]])
+        short = np.diff(offsets)[new] <= self.table.LONGEST if len(new) else np.empty(0, bool)
+        kept = np.flatnonzero(short)
+        self.table.add(keys[new][kept], ragged(fresh, fresh_start, fresh_size, kept), fresh_size[kept])
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_many(pa.array([text], pa.string()))[0]
 
 
-def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """flat[start[i] : start[i] + size[i]] for each i of ``at``, one after the other."""
+def ragged(flat: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray | slice) -> np.ndarray:
+    """flat[start[i] : start[i] + size[i]] for each i of ``at`` (a slice takes all), one after the other."""
     each = size[at]
     ends = np.cumsum(each)
     total = int(ends[-1]) if len(ends) else 0
@@ -336,9 +401,8 @@ class Utf8Stream:
 
     START = (0, 0x80, 0xBF)
 
-    def __init__(self, bytes_of: dict[int, bytes]) -> None:
-        self.bytes_of = bytes_of
-        self.table = [bytes_of.get(i, b"") for i in range(max(bytes_of, default=0) + 1)]
+    def __init__(self, token_bytes: list[bytes]) -> None:
+        self.table = token_bytes
         self.size = np.array([len(b) for b in self.table], dtype=np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(self.table), dtype=np.uint8)
@@ -403,8 +467,8 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.machine = Transducer(ranks)
-        self.splitter = Splitter(pattern, lambda piece, recurs: self.machine.encode(piece.encode(), recurs))
-        self.stream = Utf8Stream(self.machine.bytes_of)
+        self.splitter = Splitter(pattern, self.machine.table(), lambda piece, recurs: self.machine.encode(piece.encode(), recurs))
+        self.stream = Utf8Stream(self.machine.table())
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.splitter.encode(text)
@@ -414,17 +478,18 @@ class Codec:
         return b"".join([*parts, self.stream.close()])
 
 
-#: One codec a worker process and vocabulary; tasks of the worker share it.
-_CODECS: dict[tuple[bytes, str], Codec] = {}
+#: Bytes of text encoded at a time: distinct cuts are encoded once a slice.
+ENCODE_BYTES = 3 << 19
 
 
 def worker_codec(ranks: bytes, pattern: str) -> Codec:
-    key = (hashlib.sha256(ranks).digest(), pattern)
-    if key not in _CODECS:
-        gc.disable()  # millions of small tuples without cycles: walking them costs more than all else
-        _CODECS.clear()
-        _CODECS[key] = Codec(parse_ranks(ranks), pattern)
-    return _CODECS[key]
+    """The codec that this worker's tasks share."""
+
+    def make() -> Codec:
+        gc.disable()  # millions of small objects without cycles: walking them costs more than all else
+        return Codec(parse_ranks(ranks), pattern)
+
+    return held("bpe", (hashlib.sha256(ranks).digest(), pattern), make)
 
 
 def list_array(ids: np.ndarray, starts: np.ndarray) -> pa.ListArray:
@@ -457,4 +522,4 @@ def encode_decode(docs: DataFrame, ranks_file: str, pattern: str, check: bool =
                 [batch.column("doc_id"), list_array(ids, starts), pa.array(decoded, pa.bool_() if check else pa.binary())], ["doc_id", "ids", last]
             )
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id bigint, ids array<int>, {last} {'boolean' if check else 'binary'}")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id bigint, ids array<int>, {last} {'boolean' if check else 'binary'}", keep="bpe", limit=ENCODE_BYTES)

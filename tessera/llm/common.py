@@ -91,8 +91,9 @@ def map_arrow(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts() -> Iterator[pa.RecordBatch]:
             for b in batches:
-                yield from slices(b, limit=limit)
-                trim()
+                for part in slices(b, limit=limit):
+                    yield part
+                    trim()
 
         lean(keep)
         return fn(parts())

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import Splitter, list_array
-from .common import map_arrow, require, shared_dir
+from .common import held, map_arrow, require, shared_dir, trim
 
 FILE_SCHEMA = "doc_id bigint, n_tokens bigint, local_start bigint, file_no int, ids array<int>"
 
@@ -50,27 +50,42 @@ class Layout:
         }
 
 
-#: One splitter a worker process and tokenizer; tasks of the worker share it.
-_SPLITTERS: dict[tuple[int, str], Splitter] = {}
+#: Cuts that the library encodes at a time; its working memory is many times their text.
+CUTS = 20_000
+#: Bytes of text encoded at a time, and cuts that a worker remembers.
+SLICE_BYTES = 8 << 20
+CUT_ROWS = 2_000_000
+
+
+def byte_alphabet() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable Latin-1 for itself, the others from U+0100."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
 def worker_splitter(model: str, pattern: str) -> Splitter:
-    """Parts of texts encoded by the tokenizers library; strings of special tokens are ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
-    from tokenizers import Tokenizer
+    """Parts of texts encoded by the tokenizers library, shared by this worker's tasks; strings of special tokens are ordinary text."""
+
+    def make() -> Splitter:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
+        from tokenizers import Tokenizer
 
-    key = (zlib.crc32(model.encode()), pattern)
-    if key not in _SPLITTERS:
         tok = Tokenizer.from_str(model)
         tok.encode_special_tokens = True
-        size = np.ones(tok.get_vocab_size(), dtype=np.int64)
+        byte = byte_alphabet()
+        token_bytes = [b""] * tok.get_vocab_size()
         for token, i in tok.get_vocab(with_added_tokens=False).items():
-            size[i] = len(token)  # in the byte-level alphabet a character is a byte
+            token_bytes[i] = bytes(byte.get(c, 0) for c in token)
+        size = np.array([max(1, len(b)) for b in token_bytes], dtype=np.int64)
 
         def piece(text: str, recurs: bool = False) -> list[int]:
             return tok.encode(text, add_special_tokens=False).ids
 
         def cuts(parts: list[str]) -> list[bytes]:
+            return [x for i in range(0, len(parts), CUTS) for x in some(parts[i : i + CUTS])]
+
+        def some(parts: list[str]) -> list[bytes]:
             # a text made of the cuts splits at their borders, and a token's bytes tell where they are
             ids = np.array(tok.encode_batch_fast([" " + " ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.cumsum([len(p.encode()) + 1 for p in parts])
@@ -82,9 +97,9 @@ def worker_splitter(model: str, pattern: str) -> Splitter:
             return [raw[a:b] for a, b in zip([0, *stop], stop, strict=False)]
 
         gc.disable()  # see worker_codec
-        _SPLITTERS.clear()
-        _SPLITTERS[key] = Splitter(pattern, piece, cuts)
-    return _SPLITTERS[key]
+        return Splitter(pattern, token_bytes, piece, cuts, CUT_ROWS)
+
+    return held("token_files", (zlib.crc32(model.encode()), pattern), make)
 
 
 def write_tokens(
@@ -117,8 +132,9 @@ def write_tokens(
                 ["doc_id", "n_tokens", "local_start", "file_no", "ids"],
             )
             before += len(ids)
+            trim()
 
-    map_arrow(ordered, run, FILE_SCHEMA).write.options(**layout.options()).parquet(path)
+    map_arrow(ordered, run, FILE_SCHEMA, keep="token_files", limit=SLICE_BYTES).write.options(**layout.options()).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
