@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_texts, map_arrow, require, stored
+from .common import byte_texts, flag_texts, hash_share, map_arrow, require, stored
 
 _CONTINUATION = bytes(range(0x80, 0xC0))
 _BLANKS = b" \t\n\x0b\x0c\r"
@@ -207,8 +207,15 @@ def _scored(stats: DataFrame, forest: IsolationForest) -> DataFrame:
     return stats.withColumn("score", score(F.struct(*STAT_COLUMNS)))
 
 
+def _sample(rows: DataFrame) -> pd.DataFrame:
+    """About FIT_ROWS rows by the hash of their id, in its order."""
+    u = hash_share("doc_id")
+    n = max(1, rows.count())
+    return rows.filter(u <= FIT_ROWS / n).select(u.alias("u"), *STAT_COLUMNS).toPandas().sort_values(["u", *STAT_COLUMNS]).drop(columns="u")
+
+
 def fit_quality(stats: DataFrame, labels: DataFrame) -> QualityModel:
-    """Forest from at most FIT_ROWS rows of either kind (those with the smallest hash of their id), threshold from all.
+    """Forest from about FIT_ROWS rows of either kind (those with the smallest hash of their id), threshold from all.
 
     Rows with quality 1 are clean, with 0 not; an id that is labelled both ways counts as not clean. The threshold
     is the score with the best balance of kept clean and rejected other rows among those that lose at most CLEAN_LOSS
@@ -216,11 +223,11 @@ def fit_quality(stats: DataFrame, labels: DataFrame) -> QualityModel:
     """
     kind = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = with_base(stats).join(kind, "doc_id").filter(~F.col("base_failed"))
-    pick = lambda df: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select(*STAT_COLUMNS).toPandas()
-    clean = pick(known.filter("quality = 1"))
+    known = stored(known, "known")  # counts only
+    clean = _sample(known.filter("quality = 1"))
     if len(clean) < 2:
         return QualityModel(None, math.inf)
-    forest = IsolationForest().fit(features(clean), features(pick(stats.filter(f"n_words >= {MIN_WORDS}"))))
+    forest = IsolationForest().fit(features(clean), features(_sample(stats.filter(f"n_words >= {MIN_WORDS}"))))
     scored = _scored(known, forest).withColumn("bin", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int"))
     hist = scored.groupBy("bin").agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") == 1, 0).otherwise(1)).alias("bad")).toPandas()
     good, bad = np.zeros(BINS), np.zeros(BINS)
@@ -259,13 +266,12 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit_quality(stored(rule_stats(docs), "quality"), labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("boolean")
-    def good(texts: pa.Array) -> pa.Array:
+    def good(texts: list[bytes | None]) -> list[bool]:
         m = shared.value
-        rows = pd.DataFrame([text_stats(t) for t in texts.cast(pa.binary()).to_pylist()], columns=list(STAT_COLUMNS))
+        rows = pd.DataFrame([text_stats(t) for t in texts], columns=list(STAT_COLUMNS))
         ok = ((rows["n_words"] >= MIN_WORDS) & (100 * rows["n_repeat_words"] <= REPEAT_PERCENT * rows["n_words"])).to_numpy()
         if m.forest is not None and len(rows):
             ok &= m.forest.score(features(rows)) <= m.threshold
-        return pa.array(ok)
+        return ok.tolist()
 
-    return docs.filter(good("text"))
+    return docs.filter(flag_texts(good, binary=True)("text"))
