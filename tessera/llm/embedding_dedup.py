@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import require, stored
+from .common import hash_share, require, stored
 
 THRESHOLD = 0.93
 BLOCK = 1024
@@ -119,7 +119,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     kept). Equal vectors of a label are compared once, as a class, and counted as often as they occur. An empty table
     gives an empty result; further columns are ignored.
 
-    Centroids are fitted on at most FIT_ROWS classes; every class is assigned. Blocks bound a task at 2 * BLOCK
+    Centroids are fitted on about FIT_ROWS classes; every class is assigned. Blocks bound a task at 2 * BLOCK
     vectors; links go out as counts and spanning stars, never as pairs.
     """
     require(vectors, "vec_id", "embedding", "label")
@@ -138,7 +138,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     k = min(MAX_CELLS, max(1, math.ceil(most / CELL_ROWS)))
     centroids = None
     if k > 1:
-        sample = classes.filter(F.col("dim") == shape["dim"]).orderBy(F.xxhash64("rep"), "rep").limit(FIT_ROWS).select("vec").toPandas()
+        u = hash_share("rep")
+        sample = classes.filter((F.col("dim") == shape["dim"]) & (u <= FIT_ROWS / shape["n"])).select(u.alias("u"), "vec").toPandas().sort_values("u")
         centroids = spherical_kmeans(_matrix(sample["vec"]), k)
     shared = spark.sparkContext.broadcast(centroids)  # at most MAX_CELLS rows
 
