@@ -45,10 +45,12 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, size: flo
             raise ValueError("weights must be finite and not negative")
         given = F.create_map(*[F.lit(x) for kv in weights.items() for x in (kv[0], float(kv[1]))]) if weights else F.create_map().cast("map<string,double>")
         weighed = counts.withColumn("weight", F.coalesce(given[F.col("source")], F.lit(0.0)))
-    total = weighed.agg(F.sum("n_rows").alias("all_rows"), F.sum("weight").alias("all_weight"))
-    out = weighed.crossJoin(F.broadcast(total))  # a single row
-    rate = F.when(F.col("all_weight") > 0, F.lit(float(size)) * F.col("all_rows") * F.col("weight") / F.col("all_weight") / F.col("n_rows")).otherwise(0.0)
-    out = out.select("source", "n_rows", F.least(rate, F.lit(MAX_RATE)).alias("rate"))
+    total = weighed.agg(F.sum("n_rows").alias("rows"), F.sum("weight").alias("weight")).first()
+    if total["weight"]:
+        rate = F.lit(float(size)) * F.lit(total["rows"]) * F.col("weight") / F.lit(total["weight"]) / F.col("n_rows")
+    else:
+        rate = F.lit(0.0)
+    out = weighed.select("source", "n_rows", F.least(rate, F.lit(MAX_RATE)).alias("rate"))
     cdf = F.expr(
         "transform(aggregate(sequence(1, cast(ceil(rate + 12 * sqrt(rate) + 24) as int)),"
         " array(named_struct('p', exp(-rate), 'c', exp(-rate))),"
