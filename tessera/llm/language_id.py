@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, map_arrow, require
+from .common import flag_texts, fold_of, hash_share, map_arrow, require
 
 #: Classes of the folded alphabet: 0 is a run of non-letters, 1 any other letter, 2.. the frequent letters.
 ALPHABET = 64
@@ -157,7 +157,7 @@ def learn(docs: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS)
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return None
-    keyed = known.select("doc_id", "lang", (F.xxhash64("doc_id") / F.lit(float(1 << 64)) + 0.5).alias("u"))
+    keyed = known.select("doc_id", "lang", hash_share("doc_id").alias("u"))
     sizes = {r["lang"]: r["n"] for r in counts}
     # rows are even in u, so twice the expected share surely holds enough of them; the rest is cut on the driver
     share = {lang: min(1.0, (2 * fit_rows + 200) / n) for lang, n in sizes.items()}
@@ -169,7 +169,7 @@ def learn(docs: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS)
     wanted = [(lang, u, i) for lang in sorted(chosen) for u, i in sorted(set(chosen[lang]))[:fit_rows]]
     cut = {lang: max(u for x, u, _ in wanted if x == lang) for lang in chosen}
     most = F.create_map(*[F.lit(x) for kv in cut.items() for x in kv])
-    u = F.xxhash64("doc_id") / F.lit(float(1 << 64)) + 0.5
+    u = hash_share("doc_id")
     rows = known.filter(u <= most[F.col("lang")]).select("doc_id", "lang", "text", u.alias("u")).collect()
     rows = sorted(rows, key=lambda r: (r["lang"], r["u"], r["doc_id"], r["text"]))
     rows = [r for r in rows if any(c.isalpha() for c in r["text"])]
@@ -221,12 +221,11 @@ def keep_identified(docs: DataFrame, least: float) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
-    @F.arrow_udf("boolean")
-    def known(texts: pa.Array) -> pa.Array:
-        langs, scores = predict(shared.value, texts.to_pylist())
-        return pa.array([lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)], pa.bool_())
+    def known(texts: list[str | None]) -> list[bool]:
+        langs, scores = predict(shared.value, texts)
+        return [lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)]
 
-    return docs.filter(known("text"))
+    return docs.filter(flag_texts(known)("text"))
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:
