@@ -268,11 +268,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 def keep_representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, with all their columns, that near_duplicates keeps: one of each group.
 
-    Of rows that repeat both id and text one stays. Rows with a null id link with nothing, and stay.
+    Of rows that repeat both id and text one stays; an id goes if none of its rows is kept. Rows with a null id link
+    with nothing, and stay. Texts meet only the ids that go, usually far fewer than those that stay.
     """
-    verdict = stored(near_duplicates(docs, words, percent).filter("kept").select(F.col("doc_id").cast("bigint").alias("k")), "kept")
-    ids = verdict.filter("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    once, more = ids.filter("n = 1").select("k"), ids.filter("n > 1").select("k")
+    verdict = near_duplicates(docs, words, percent).filter("doc_id is not null").groupBy("doc_id").agg(F.count_if("kept").alias("n"))
+    verdict = verdict.filter("n <> 1").select(F.col("doc_id").cast("bigint").alias("k"), "n")
+    settled = stored(verdict, "not-once")
+    gone, more = settled.select("k"), settled.filter("n > 1").select("k")
     key = F.col("doc_id").cast("bigint") == F.col("k")
     repeated = docs.join(more, key, "left_semi").withColumn("__h", F.md5(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["doc_id", "__h"]).drop("__h")
-    return docs.join(once, key, "left_semi").unionByName(repeated).unionByName(docs.filter("doc_id is null"))
+    return docs.join(gone, key, "left_anti").unionByName(repeated)
