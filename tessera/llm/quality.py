@@ -1,8 +1,8 @@
 """Quality rules: rule statistics of a text, and an isolation forest over them.
 
 Random splits isolate documents whose statistics lie where few clean ones do: their path from the root is short. The
-forest is grown from a bounded sample of labelled clean rows inside the box of a bounded sample of all rows, so empty
-regions have short paths. The threshold on the score is calibrated on all labelled rows.
+forest is grown from a bounded sample of labelled clean rows inside the exact box of all rows, so empty regions have
+short paths. The threshold on the score is calibrated on all labelled rows.
 """
 
 from __future__ import annotations
@@ -127,7 +127,7 @@ class IsolationForest:
     seed: int = 7
 
     def fit(self, clean: np.ndarray, box: np.ndarray) -> IsolationForest:
-        """``clean``: rows to grow from. ``box``: rows whose range the splits are drawn from."""
+        """``clean``: rows to grow from. ``box``: rows whose range the splits are drawn from; the two ends will do."""
         rng = np.random.default_rng(self.seed)
         low, high = np.minimum(box.min(0), clean.min(0)), np.maximum(box.max(0), clean.max(0))
         self.forest = []
@@ -184,7 +184,7 @@ class QualityModel:
     threshold: float
 
 
-#: Bounds of the fit: labelled clean rows to grow trees from, rows of all kinds for the box. Bins of the calibration.
+#: Bounds of the fit: labelled clean rows to grow trees from. Bins of the calibration.
 FIT_ROWS = 20_000
 BINS = 2_000
 #: The share of labelled clean rows that the threshold may reject.
@@ -214,8 +214,24 @@ def _sample(rows: DataFrame) -> pd.DataFrame:
     return rows.filter(u <= FIT_ROWS / n).select(u.alias("u"), *STAT_COLUMNS).toPandas().sort_values(["u", *STAT_COLUMNS]).drop(columns="u")
 
 
+def _box(stats: DataFrame) -> np.ndarray:
+    """The least and the largest value of each feature over all rows: a row a batch, then one in all."""
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            if len(s):
+                x = features(s)
+                yield pd.DataFrame([[*x.min(0), *x.max(0)]], columns=[*lows, *highs])
+
+    lows, highs = [f"low_{f}" for f in FEATURES], [f"high_{f}" for f in FEATURES]
+    found = stats.select(*STAT_COLUMNS).mapInPandas(ends, ", ".join(f"{c} double" for c in [*lows, *highs]))
+    row = found.agg(*(F.min(c).alias(c) for c in lows), *(F.max(c).alias(c) for c in highs)).first()
+    return np.array(row, dtype=float).reshape(2, len(FEATURES))
+
+
 def fit_quality(stats: DataFrame, labels: DataFrame) -> QualityModel:
-    """Forest from about FIT_ROWS rows of either kind (those with the smallest hash of their id), threshold from all.
+    """Forest from about FIT_ROWS clean rows (those with the smallest hash of their id) in the box of all rows that have
+    MIN_WORDS words; threshold from all labelled ones.
 
     Rows with quality 1 are clean, with 0 not; an id that is labelled both ways counts as not clean. The threshold
     is the score with the best balance of kept clean and rejected other rows among those that lose at most CLEAN_LOSS
@@ -227,7 +243,7 @@ def fit_quality(stats: DataFrame, labels: DataFrame) -> QualityModel:
     clean = _sample(known.filter("quality = 1"))
     if len(clean) < 2:
         return QualityModel(None, math.inf)
-    forest = IsolationForest().fit(features(clean), features(_sample(stats.filter(f"n_words >= {MIN_WORDS}"))))
+    forest = IsolationForest().fit(features(clean), _box(stats.filter(f"n_words >= {MIN_WORDS}")))
     scored = _scored(known, forest).withColumn("bin", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int"))
     hist = scored.groupBy("bin").agg(F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("quality") == 1, 0).otherwise(1)).alias("bad")).toPandas()
     good, bad = np.zeros(BINS), np.zeros(BINS)

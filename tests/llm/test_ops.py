@@ -176,6 +176,23 @@ def test_quality_forest_rejects_junk(spark):
     assert kept == {i for i, k in got.items() if k}
 
 
+def test_quality_box_is_of_all_rows(spark, monkeypatch):
+    rng = random.Random(4)
+    clean = [" ".join("".join(rng.choice("etaoin") for _ in range(rng.randint(2, 8))) for _ in range(40)) for _ in range(400)]
+    rare = " ".join("w" * (i % 7 + 2) + "#" for i in range(40))  # one of its kind, and without a label
+    rows = [*enumerate(clean), (400, " ".join(clean[0].split()[:39]) + " n!?"), (401, rare)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    stats = quality.rule_stats(docs)
+    monkeypatch.setattr(quality, "FIT_ROWS", 60)
+    labels = spark.createDataFrame([(i, int(i < 400), 0) for i in range(401)], "doc_id bigint, quality int, toxic int")
+    model = quality.fit_quality(stats, labels)
+    assert any((f == quality.FEATURES.index("symbols")).any() for f, *_ in model.forest.forest)
+    kept = {r["doc_id"]: r["kept"] for r in quality.quality_rules(docs, labels).collect()}
+    assert not kept[401] and sum(kept[i] for i in range(400)) >= 398
+    every = quality.features(stats.toPandas())
+    assert np.array_equal(quality._box(stats), [every.min(0), every.max(0)])
+
+
 def test_quality_without_labels_or_rows(spark, docs, none):
     labels = spark.createDataFrame([(None, None, None)], "doc_id bigint, quality int, toxic int")
     out = quality.quality_rules(docs, labels)
