@@ -3,9 +3,11 @@
 Counts of all learning tokens come from the whole corpus. The most frequent words are words of the model; any other
 word is one of BUCKETS buckets (by its last bytes), and inside its bucket it has its share of the corpus counts plus
 one, the rest being left to unseen words. So the model gives a proper probability to every text. The network learns by
-truncated backpropagation through time on a bounded, hashed sample of learning documents; its output biases start from
-the corpus counts. Documents are scored whole: lanes run through them in windows, and the state is carried from window
-to window until the document ends.
+truncated backpropagation through time; its output biases start from the corpus counts. It starts on a bounded, hashed
+sample of learning documents, then learns from every token of all of them in ROUNDS rounds: each task trains a copy on its
+part of the round's documents, and the copies are averaged by their tokens in the shared folder. So the weights depend a
+little on how the table is cut into files. Documents are learned from and scored whole: lanes run through them in
+windows, and the state is carried from window to window until the document ends.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ import math
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from copy import copy
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,19 +32,24 @@ from .common import byte_texts, fold_of, hash_share, map_arrow, require, stored
 END = b""
 #: Words the workers know with their counts (a table of bounded size); the rest are looked up by a join.
 KNOWN = 200_000
-#: Words of the model (END among them), and buckets for all other words.
+#: Words of the model (END among them) at least, and buckets for all other words; words_for has the growth.
 WORDS = 4_096
 BUCKETS = 256
 TAIL = 3
 HIDDEN = 24
 CLASSES = 72
-#: Learning: tokens of the sample, lanes and steps of a window, passes, learning rate.
+#: The start of learning: tokens of the sample, lanes and steps of a window, passes, learning rate.
 FIT_TOKENS = 600_000
 FIT_LANES = 64
 FIT_STEPS = 24
 PASSES = 1
 RATE = 0.01
-#: Scoring: documents at a time and steps of a window.
+#: Learning from all rows: rounds, the first one's rate, lanes of a window, and copies that a task adds up.
+ROUNDS = 3
+ROUND_RATE = 0.005
+ROUND_LANES = 256
+FAN = 4
+#: Scoring, and learning from all rows: documents at a time and steps of a window.
 LANES = 384
 STEPS = 32
 #: Distinct words that a counting task holds before it passes them on.
@@ -195,10 +204,34 @@ class Network:
             grad["u"] += h.T @ g
             grad["b"] += (dc * r).sum(0)
             carry = d * z + g @ par["u"].T
-        np.add.at(grad["x"], inputs.ravel(), dx.reshape(-1, 3 * k))
+        at = inputs.ravel()
+        order = np.argsort(at, kind="stable")
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        grad["x"][at[order[first]]] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], first, axis=0)
         return grad, last, loss / total
 
 
+class Adam:
+    """Steps of bounded norm; the rate rises over the first 20."""
+
+    def __init__(self, net: Network) -> None:
+        self.net, self.count = net, 0
+        self.m = {n: np.zeros_like(v) for n, v in net.par.items()}
+        self.s = {n: np.zeros_like(v) for n, v in net.par.items()}
+
+    def update(self, grad: dict, rate: float) -> None:
+        self.count += 1
+        norm = math.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+        scale = min(1.0, 1.0 / (norm + 1e-9))
+        lr = rate * min(1.0, self.count / 20)
+        m, s = self.m, self.s
+        for n, g in grad.items():
+            g = g * scale
+            m[n] = 0.9 * m[n] + 0.1 * g
+            s[n] = 0.99 * s[n] + 0.01 * g * g
+            self.net.par[n] -= (lr * (m[n] / (1 - 0.9**self.count)) / (np.sqrt(s[n] / (1 - 0.99**self.count)) + 1e-6)).astype(np.float32)
+
+
 def train(net: Network, docs: list[np.ndarray], start: int, lanes: int = FIT_LANES, steps: int = FIT_STEPS, passes: int = PASSES, rate: float = RATE) -> list[float]:
     """Truncated backpropagation through time: each lane is a run of documents whose state starts anew with each."""
     if not docs:
@@ -219,9 +252,7 @@ def train(net: Network, docs: list[np.ndarray], start: int, lanes: int = FIT_LAN
             targets[at : at + len(d), i], inputs[at + 1 : at + len(d), i] = d, d[:-1]
             mask[at : at + len(d), i], fresh[at, i] = True, True
             at += len(d)
-    m = {n: np.zeros_like(v) for n, v in net.par.items()}
-    s = {n: np.zeros_like(v) for n, v in net.par.items()}
-    losses, count = [], 0
+    adam, losses = Adam(net), []
     n_windows = max(1, -(-longest // steps)) * passes
     for _ in range(passes):
         h = np.zeros((width, net.hidden), np.float32)
@@ -233,19 +264,42 @@ def train(net: Network, docs: list[np.ndarray], start: int, lanes: int = FIT_LAN
                 break
             grad, last, loss = net.backward(inputs[sl][:, on], targets[sl][:, on], mask[sl][:, on], h[on])
             h[on] = last
-            count += 1
-            norm = math.sqrt(sum(float((g * g).sum()) for g in grad.values()))
-            scale = min(1.0, 1.0 / (norm + 1e-9))
-            lr = rate * min(1.0, count / 20) * max(0.05, 1 - count / n_windows)
-            for n, g in grad.items():
-                g = g * scale
-                m[n] = 0.9 * m[n] + 0.1 * g
-                s[n] = 0.99 * s[n] + 0.01 * g * g
-                net.par[n] -= (lr * (m[n] / (1 - 0.9**count)) / (np.sqrt(s[n] / (1 - 0.99**count)) + 1e-6)).astype(np.float32)
+            adam.update(grad, rate * max(0.05, 1 - (adam.count + 1) / n_windows))
             losses.append(loss)
     return losses
 
 
+def train_lanes(net: Network, start: int, docs: Iterable[np.ndarray], rate: float, lanes: int = ROUND_LANES, steps: int = STEPS) -> int:
+    """Truncated backpropagation through every token of a stream of documents, in lanes like run_lanes; their number.
+
+    A window that is not full makes a step that is shorter in proportion.
+    """
+    source, adam, n = iter(docs), Adam(net), 0
+    texts: list[np.ndarray] = []
+    at: list[int] = []
+    h = np.empty((0, net.hidden), np.float32)
+    while True:
+        fresh = list(islice(source, lanes - len(texts)))
+        texts, at = texts + fresh, at + [0] * len(fresh)
+        if not texts:
+            return n
+        h = np.concatenate([h, np.zeros((len(fresh), net.hidden), np.float32)])
+        parts = [t[p : p + steps] for t, p in zip(texts, at, strict=True)]
+        shape = (max(map(len, parts)), len(texts))
+        targets, inputs, mask = np.zeros(shape, np.int64), np.full(shape, start, np.int64), np.zeros(shape, bool)
+        for i, (text, p, part) in enumerate(zip(texts, at, parts, strict=True)):
+            targets[: len(part), i], inputs[1 : len(part), i], mask[: len(part), i] = part, part[:-1], True
+            if p:
+                inputs[0, i] = text[p - 1]
+        grad, h, _ = net.backward(inputs, targets, mask, h)
+        tokens = int(mask.sum())
+        adam.update(grad, rate * tokens / (lanes * steps))
+        n += tokens
+        at = [p + len(part) for p, part in zip(at, parts, strict=True)]
+        left = [i for i, (t, p) in enumerate(zip(texts, at, strict=True)) if p < len(t)]
+        texts, at, h = [texts[i] for i in left], [at[i] for i in left], h[left]
+
+
 @dataclass
 class Model:
     """``index``: known word to its row; ``ids``: model word or bucket (after the words) of a row; ``c``: its count.
@@ -275,12 +329,18 @@ def frequent(vocab: DataFrame) -> DataFrame:
     return vocab.filter(octave >= least)
 
 
+def words_for(n: int) -> int:
+    """Words of the model for n learning tokens: they grow with the root of n, much as a corpus' words do."""
+    return min(KNOWN, max(WORDS, math.isqrt(n) // 2))
+
+
 def learn(docs: DataFrame, vocab: DataFrame) -> Model:
     """Fits on learning rows. ``vocab`` is their count_words."""
     n, v = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = sorted(frequent(vocab).collect(), key=lambda r: (-r["c"], bytes(r["word"])))
     words, counts = [bytes(r["word"]) for r in top], np.array([r["c"] for r in top], dtype=np.int64)
-    model_words = words[: WORDS - 1] if END in words[: WORDS - 1] else [END, *words[: WORDS - 2]]
+    size = words_for(int(n))
+    model_words = words[: size - 1] if END in words[: size - 1] else [END, *words[: size - 2]]
     chosen = {w: i for i, w in enumerate(model_words)}
     tail = F.pmod(F.crc32(F.expr(f"substring(word, -{TAIL}, {TAIL})")), F.lit(BUCKETS)).cast("int")
     sums = {r["b"]: (r["n"], r["v"]) for r in vocab.groupBy(tail.alias("b")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
@@ -293,15 +353,72 @@ def learn(docs: DataFrame, vocab: DataFrame) -> Model:
             bn[bucket_of(w)] -= count_of[w]
             bv[bucket_of(w)] -= 1
     ids = np.array([chosen.get(w, len(model_words) + bucket_of(w)) for w in words], dtype=np.int32)
-    net = Network(np.concatenate([[count_of.get(w, 0) for w in model_words], bn]).astype(float))
+    net = Network(np.concatenate([[count_of.get(w, 0) for w in model_words], bn]).astype(float), classes=int(CLASSES * max(1.0, size / WORDS) ** 0.5))
     model = Model({w: i for i, w in enumerate(words)}, ids, counts, np.log10(bn + bv + 1), len(model_words), int(n), int(v), net)
     if END not in model.index:
         model.index[END] = len(words)
         model.ids, model.c = np.append(model.ids, np.int32(0)), np.append(model.c, 0)
     train(net, sample(docs, model), chosen[END])
+    for k in range(ROUNDS):
+        train_round(docs, model, k)
     return model
 
 
+_COPY = "tokens bigint, weights binary"
+
+
+def train_round(docs: DataFrame, model: Model, k: int) -> int:
+    """Learns from all tokens of the rows whose hash falls to round k, and sets the weights' mean; the number of tokens.
+
+    The copies, a few a core, go to the shared folder and are added up FAN at a time until the driver gets FAN at most.
+    """
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(model)
+    names = list(model.net.par)
+    rate, lanes = ROUND_RATE * (1 - k / ROUNDS), ROUND_LANES
+
+    def packed(tokens: int, weights: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([weights.astype(np.float32).tobytes()], pa.binary())], ["tokens", "weights"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        net = copy_of(m.net)
+        texts = (encode(m, tokens_of(t))[0].astype(np.int64) for batch in batches for t in byte_texts(batch))
+        if n := train_lanes(net, int(m.ids[m.index[END]]), texts, rate, lanes):
+            yield packed(n, np.concatenate([net.par[x].ravel() for x in names]))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, 0.0
+        for batch in batches:
+            for tokens, weights in zip(batch.column("tokens").to_pylist(), batch.column("weights"), strict=True):
+                n, total = n + tokens, total + tokens * np.frombuffer(weights.as_buffer(), np.float32).astype(float)
+        if n:
+            yield packed(n, total / n)
+
+    mine = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k).select("text").coalesce(2 * context.defaultParallelism)
+    copies = stored(map_arrow(mine, run, _COPY), "weights")
+    while (count := copies.count()) > FAN:
+        copies = stored(copies.coalesce(-(-count // FAN)).mapInArrow(add, _COPY), "weights")
+    n, total = 0, 0.0
+    for r in copies.toLocalIterator():
+        n, total = n + r["tokens"], total + r["tokens"] * np.frombuffer(bytes(r["weights"]), np.float32).astype(float)
+    if n:
+        at = 0
+        for x in names:
+            old = model.net.par[x]
+            model.net.par[x] = (total[at : at + old.size] / n).astype(np.float32).reshape(old.shape)
+            at += old.size
+    shared.unpersist()
+    return n
+
+
+def copy_of(net: Network) -> Network:
+    """The network with weights of its own, as workers share the broadcast one."""
+    out = copy(net)
+    out.par = {n: v.copy() for n, v in net.par.items()}
+    return out
+
+
 def sample(docs: DataFrame, model: Model) -> list[np.ndarray]:
     """Whole documents with the smallest hashes of their ids, until they hold FIT_TOKENS tokens."""
     size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text").cast("double")).alias("chars")).first()

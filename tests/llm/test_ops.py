@@ -134,6 +134,39 @@ def test_lm_learns():
     assert np.mean(losses[-5:]) < 0.6 * losses[0]
 
 
+def test_lm_learns_from_rows_outside_the_first_sample(spark, monkeypatch):
+    rng = random.Random(8)
+    names = [f"w{j}" for j in range(12)]
+    texts = [" ".join(names[(a + j) % 12] for j in range(40)) for a in (rng.randrange(12) for _ in range(1200))]  # the next word follows from the last
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    monkeypatch.setattr(lm_scoring, "FIT_TOKENS", 40)
+    monkeypatch.setattr(lm_scoring, "ROUND_LANES", 4, raising=False)
+    monkeypatch.setattr(lm_scoring, "ROUND_RATE", 0.02, raising=False)
+    got = lm_scoring.score_documents(docs).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > 0.7 * got[1]
+
+
+def test_lm_rounds_take_every_token_once(docs, monkeypatch):
+    taken, one = [], lm_scoring.train_round
+    monkeypatch.setattr(lm_scoring, "FAN", 2)  # copies are added up in the shared folder
+    monkeypatch.setattr(lm_scoring, "train_round", lambda *a: taken.append(one(*a)))
+    model = lm_scoring.learn(docs, lm_scoring.count_words(docs))
+    assert sum(taken) == model.n and len(taken) == lm_scoring.ROUNDS and all(np.isfinite(v).all() for v in model.net.par.values())
+    assert lm_scoring.words_for(10**6) == lm_scoring.WORDS < lm_scoring.words_for(10**9) < lm_scoring.words_for(4 * 10**9)
+
+
+def test_lm_lanes_learn_and_carry_state():
+    net, rng = small_net()
+    texts = [rng.integers(0, 40, n) for n in [1, 2, 7, 8, 9, 200, 64, 5, 90]]
+    before = {k: v.copy() for k, v in net.par.items()}
+    assert lm_scoring.train_lanes(net, 0, texts, 0.0, lanes=2, steps=8) == sum(map(len, texts))
+    assert all((net.par[k] == v).all() for k, v in before.items())
+    score = lambda: sum(x for _, x in lm_scoring.run_lanes(net, 0, list(enumerate(texts))))
+    old = score()
+    lm_scoring.train_lanes(net, 0, texts, 0.05, lanes=2, steps=8)
+    assert score() > old
+
+
 def test_lm_empty(none):
     assert lm_scoring.score_documents(none).count() == 0
 
