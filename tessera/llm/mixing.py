@@ -19,7 +19,7 @@ from .common import require
 SEED = 20_240_229
 #: Without given targets a source weighs its rows to this power: large sources are thinned, small ones repeated.
 POWER = 0.7
-#: Rates above this would need too long tables; the source is then too small for its weight.
+#: Rates above this would need too long tables: their whole part is copied as it is, and only the rest is drawn.
 MAX_RATE = 500.0
 #: Up to so many sources their rates are broadcast; beyond it both sides are shuffled.
 BROADCAST_SOURCES = 10_000
@@ -32,7 +32,7 @@ def hashed(*parts: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, size: float = 1.0, power: float = POWER) -> DataFrame:
-    """source, n_rows, rate, and cdf: P(copies <= k) for k = 0, 1, ... as far as a double tells it from 1.
+    """source, n_rows, rate, whole, and cdf: P(copies - whole <= k) for k = 0, 1, ... as far as a double tells it from 1.
 
     ``size`` is the wanted size as a multiple of the input's rows. With ``weights``, sources that it doesn't name get
     rate 0. Null is a source of its own.
@@ -50,14 +50,15 @@ def rates(docs: DataFrame, weights: Mapping[str, float] | None = None, size: flo
         rate = F.lit(float(size)) * F.lit(total["rows"]) * F.col("weight") / F.lit(total["weight"]) / F.col("n_rows")
     else:
         rate = F.lit(0.0)
-    out = weighed.select("source", "n_rows", F.least(rate, F.lit(MAX_RATE)).alias("rate"))
+    out = weighed.select("source", "n_rows", rate.alias("rate"))
+    out = out.withColumn("whole", F.when(F.col("rate") > MAX_RATE, F.floor("rate")).otherwise(0).cast("bigint")).withColumn("drawn", F.col("rate") - F.col("whole"))
     cdf = F.expr(
-        "transform(aggregate(sequence(1, cast(ceil(rate + 12 * sqrt(rate) + 24) as int)),"
-        " array(named_struct('p', exp(-rate), 'c', exp(-rate))),"
-        " (a, k) -> concat(a, array(named_struct('p', element_at(a, -1).p * rate / k,"
-        " 'c', element_at(a, -1).c + element_at(a, -1).p * rate / k)))), x -> x.c)"
+        "transform(aggregate(sequence(1, cast(ceil(drawn + 12 * sqrt(drawn) + 24) as int)),"
+        " array(named_struct('p', exp(-drawn), 'c', exp(-drawn))),"
+        " (a, k) -> concat(a, array(named_struct('p', element_at(a, -1).p * drawn / k,"
+        " 'c', element_at(a, -1).c + element_at(a, -1).p * drawn / k)))), x -> x.c)"
     )
-    return out.withColumn("cdf", cdf)
+    return out.withColumn("cdf", cdf).drop("drawn")
 
 
 def mix_sources(
@@ -79,7 +80,7 @@ def mix_sources(
     docs = docs.select(*names)
     table = rates(docs.select("source"), weights, size)
     few = table.select("source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    side = table.select(F.col("source").alias("__source"), "rate", "cdf")
+    side = table.select(F.col("source").alias("__source"), "rate", F.col("whole").alias("__whole"), "cdf")
     side = F.broadcast(side) if few else side
     text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))) if "text" in names else F.lit("")
     ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null-"), text))
@@ -88,7 +89,7 @@ def mix_sources(
         docs.withColumn("__ident", ident)
         .withColumn("__u", hashed(seeded, F.col("__ident")))
         .join(side, F.col("source").eqNullSafe(F.col("__source")))
-        .withColumn("n_copies", F.size(F.filter("cdf", lambda c: F.col("__u") >= c)).cast("bigint"))
+        .withColumn("n_copies", F.col("__whole") + F.size(F.filter("cdf", lambda c: F.col("__u") >= c)).cast("bigint"))
         .filter("n_copies > 0")
     )
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_copies"))))

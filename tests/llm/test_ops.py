@@ -509,6 +509,13 @@ def test_mixing_many_sources(docs, monkeypatch):
     assert sorted(mixing.mix_sources(docs).select("doc_id", "copy").collect(), key=str) == want
 
 
+def test_mix_reaches_weights_of_small_sources(spark):
+    docs = spark.range(4002).selectExpr("id as doc_id", "if(id < 2, 'small', 'large') as source", "'x' as text")
+    mixed = mixing.mix_sources(docs, {"small": 0.5, "large": 0.5})
+    n = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert abs(n["small"] - 2001) <= 12 and abs(n["large"] - 2001) < 300
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 
