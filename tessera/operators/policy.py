@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +12,11 @@ class CoverageError(ValueError):
     """Branches that don't decide on exactly the population, or contradict themselves."""
 
 
-def branch_problems(parents: DataFrame, branches: DataFrame, key: str) -> DataFrame:
-    """branch, problem, n: unknown parents, missing parents, parents both passed and rejected. Empty if all is well.
+def branch_problems(parents: DataFrame, branches: DataFrame, key: str, names: Sequence[str]) -> DataFrame:
+    """branch, problem, n: unknown branches and parents, missing parents, parents both passed and rejected. Empty if all is well.
 
-    ``branches`` has branch, key, outcome for all branches; one aggregation by (branch, parent) serves all checks.
+    ``branches`` has branch, key, outcome for all branches; one aggregation by (branch, parent) serves all checks. A
+    branch of ``names`` without rows misses every parent, which is no problem where the population is empty.
     """
     per = branches.filter("outcome <> 'WARN'").groupBy("branch", key).agg(F.countDistinct("outcome").alias("kinds"))
     known = parents.select(F.col(key).alias("p")).withColumn("known", F.lit(1))
@@ -24,24 +25,25 @@ def branch_problems(parents: DataFrame, branches: DataFrame, key: str) -> DataFr
     sums = seen.groupBy("branch").agg(
         F.count_if(F.col("known").isNull()).alias("unknown_parent"), F.count_if(F.col("kinds") > 1).alias("contradiction"), F.count_if(F.col("known").isNotNull()).alias("covered")
     )
-    sums = sums.crossJoin(F.broadcast(total)).withColumn("missing_parent", F.col("total") - F.col("covered"))  # one row
-    names = ["unknown_parent", "missing_parent", "contradiction"]
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("problem"), F.col(n).alias("n")) for n in names])).alias("x")
+    expected = parents.sparkSession.createDataFrame([(n,) for n in names], "branch string").withColumn("expected", F.lit(1))
+    sums = sums.join(expected, "branch", "full").crossJoin(F.broadcast(total)).na.fill(0, ["unknown_parent", "contradiction", "covered", "expected"])  # one row a branch
+    sums = sums.withColumn("missing_parent", F.when(F.col("expected") == 1, F.col("total") - F.col("covered")).otherwise(0)).withColumn("unknown_branch", 1 - F.col("expected"))
+    problems = ["unknown_branch", "unknown_parent", "missing_parent", "contradiction"]
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("problem"), F.col(n).cast("bigint").alias("n")) for n in problems])).alias("x")
     return sums.select("branch", pairs).select("branch", "x.problem", "x.n").filter("n > 0")
 
 
-def decision_join(parents: DataFrame, branches: DataFrame, key: str, n_branches: int, mode: str = "ALL", at_least: int = 0) -> DataFrame:
-    """Every parent with passes, rejects and passed by policy: ALL, ANY or AT_LEAST k of the branches.
+def decision_join(parents: DataFrame, branches: DataFrame, key: str, names: Sequence[str], mode: str = "ALL", at_least: int = 0) -> DataFrame:
+    """Every parent with passes, rejects and passed by policy: ALL, ANY or AT_LEAST k of the branches called ``names``.
 
     Fails closed: raises CoverageError before any row is decided if a branch is incomplete or contradicts itself.
+    An empty population has no decisions, and that is complete.
     """
-    if mode == "AT_LEAST" and not 1 <= at_least <= n_branches:
+    if mode == "AT_LEAST" and not 1 <= at_least <= len(names):
         raise ValueError("at_least is out of range")
-    problems = [tuple(r) for r in branch_problems(parents, branches, key).limit(20).collect()]
-    found = branches.select("branch").distinct().count()
-    if problems or found != n_branches:
-        raise CoverageError(f"{found} of {n_branches} branches; problems: {problems}")
-    return count_votes(parents, branches, key, n_branches, mode, at_least)
+    if problems := [tuple(r) for r in branch_problems(parents, branches, key, names).limit(20).collect()]:
+        raise CoverageError(f"branches {list(names)}: {problems}")
+    return count_votes(parents, branches, key, len(names), mode, at_least)
 
 
 def count_votes(parents: DataFrame, branches: DataFrame, key: str, n_branches: int, mode: str = "ALL", at_least: int = 0) -> DataFrame:

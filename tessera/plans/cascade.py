@@ -95,7 +95,7 @@ def run_cascade(population: DataFrame, key: str, tiers: Sequence[Tier]) -> Run:
             votes = parts[0][1]
             for _, b in parts[1:]:
                 votes = votes.unionByName(b)
-            joined = policy.decision_join(entering, votes, key, len(tier.gates), tier.mode, tier.at_least)
+            joined = policy.decision_join(entering, votes, key, list(tier.gates), tier.mode, tier.at_least)
             alive = materialise(joined.filter("passed").select(*columns), "tier")
             parts = [p for p, _ in parts]
         decided += parts

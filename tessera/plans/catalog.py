@@ -97,7 +97,7 @@ def decision_join(spark: SparkSession, d: str) -> DataFrame:
     parts = _t(spark, d, "part")
     branch = F.explode(F.array(*[F.struct(F.lit(n).alias("branch"), F.when(c, "PASS").otherwise("REJECT").alias("outcome")) for n, c in _rules().items()])).alias("x")
     votes = parts.select("p_partkey", branch).select("p_partkey", "x.branch", "x.outcome")
-    return policy.decision_join(parts.select("p_partkey"), votes, "p_partkey", 3, "AT_LEAST", 2)
+    return policy.decision_join(parts.select("p_partkey"), votes, "p_partkey", list(_rules()), "AT_LEAST", 2)
 
 
 _FUNNEL_SQL = "SELECT 0 AS tier_no, 'size' AS tier, count(*) AS entering, count(*) FILTER (p_size <= 40) AS surviving FROM p UNION ALL SELECT 1, 'price', count(*) FILTER (p_size <= 40), count(*) FILTER (p_size <= 40 AND p_retailprice < 1500) FROM p UNION ALL SELECT 2, 'type', count(*) FILTER (p_size <= 40 AND p_retailprice < 1500), count(*) FILTER (p_size <= 40 AND p_retailprice < 1500 AND contains(p_type, 'STANDARD')) FROM p"

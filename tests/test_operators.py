@@ -69,11 +69,14 @@ def test_decision_join_fails_closed(spark):
     parents = spark.createDataFrame([("p",), ("q",)], "k string")
     good = [("x", "p", "PASS"), ("x", "q", "REJECT"), ("y", "p", "PASS"), ("y", "p", "WARN"), ("y", "q", "PASS")]
     frame = lambda rows: spark.createDataFrame(rows, "branch string, k string, outcome string")
-    passed = lambda mode, n=0: {r["k"] for r in policy.decision_join(parents, frame(good), "k", 2, mode, n).filter("passed").collect()}
+    passed = lambda mode, n=0: {r["k"] for r in policy.decision_join(parents, frame(good), "k", ["x", "y"], mode, n).filter("passed").collect()}
     assert passed("ALL") == {"p"} and passed("ANY") == {"p", "q"} and passed("AT_LEAST", 2) == {"p"}
-    for wrong in (good[:-1], [*good, ("y", "z", "PASS")], [*good, ("x", "p", "REJECT")], good[:2]):
+    for wrong in (good[:-1], [*good, ("y", "z", "PASS")], [*good, ("x", "p", "REJECT")], good[:2], [*good, ("w", "p", "PASS")]):
         with pytest.raises(policy.CoverageError):
-            policy.decision_join(parents, frame(wrong), "k", 2)
+            policy.decision_join(parents, frame(wrong), "k", ["x", "y"])
+    assert policy.decision_join(parents.limit(0), frame(good).limit(0), "k", ["x", "y"]).count() == 0
+    with pytest.raises(policy.CoverageError):
+        policy.decision_join(parents.limit(0), frame(good), "k", ["x", "y"])
 
 
 def test_only_identity(spark):
