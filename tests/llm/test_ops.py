@@ -130,8 +130,28 @@ def test_lm_learns():
     docs = [np.array([(a + j) % 12 for j in range(40)] + [12]) for a in rng.integers(0, 12, 200)]  # the next token follows from the last
     counts = np.bincount(np.concatenate(docs), minlength=13).astype(float)
     net = lm_scoring.Network(counts, hidden=16, classes=4)
-    losses = lm_scoring.train(net, docs, 12, lanes=16, passes=4)
-    assert np.mean(losses[-5:]) < 0.6 * losses[0]
+    score = lambda: sum(x for _, x in lm_scoring.run_lanes(net, 12, enumerate(docs)))
+    before = score()
+    for _ in range(4):
+        lm_scoring.train_lanes(net, 12, docs, 0.02, lanes=16, steps=24)
+    assert score() > 0.6 * before
+
+
+def test_lm_segments_cover_texts_once(monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SEGMENT", 10)
+    monkeypatch.setattr(lm_scoring, "WARM", 3)
+    for n in (1, 9, 10, 11, 35):
+        text = np.arange(100, 100 + n)
+        parts = list(lm_scoring.segments([text], 7))
+        assert np.concatenate([p[len(p) - k :] for p, k in parts]).tolist() == text.tolist()
+        assert parts[0][0][0] == 7 and all(p[0] == text[10 * i - 4] and len(p) == k + 4 for i, (p, k) in enumerate(parts[1:], 1))
+
+
+def test_lm_large_weights_do_not_overflow():
+    net, rng = small_net()
+    state = rng.standard_normal((40, 5)).clip(-1, 1)
+    net.par["wc"] *= 1000
+    assert not net.bounded() and np.isfinite(net.log_probs(state, np.arange(40))).all()
 
 
 def test_lm_learns_from_rows_outside_the_first_sample(spark, monkeypatch):
