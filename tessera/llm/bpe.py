@@ -1,23 +1,21 @@
 """Byte-level BPE as a lazily determinised finite-state transducer, and a streaming UTF-8 decoder.
 
-The nondeterministic machine guesses a segmentation: its states are (last finished token, trie node of the token being
-read). A byte moves down the trie; where the node is itself a token that may follow the last one, the machine may also
-finish it. A sequence of tokens is the BPE encoding of its bytes exactly if every adjacent pair is (that is, if merging
-the bytes of the two by rank ends in just these two), so at each position one guess has finished a token, and the
-others are inside one. The deterministic machine holds all guesses at once; tokens on which they all agree are emitted,
-the others wait. As no token is longer than the longest vocabulary entry, the wait is bounded. Transitions are made for
-parts of text that recur; for those that come once, or when the table is full, the guesses are run as they are.
+The nondeterministic machine guesses a segmentation: a guess is (last finished token, trie node of the token being read).
+A byte moves down the trie; where the node is itself a token that may follow the last one, a guess may also finish it. A
+sequence of tokens is the BPE encoding of its bytes exactly if every adjacent pair is (that is, if merging the bytes of
+the two by rank ends in just these two), so after each byte exactly one guess has finished a token, and the others are
+inside one. A deterministic state is the set of all guesses; it tells the token that the prefix read so far ends with.
+States and transitions are made when first needed, every byte goes through them, and the least recently used ones are
+forgotten when there are too many. Tokens go out once all guesses descend from the same place: no token is longer than
+the longest entry of the vocabulary, so the machine looks ahead a few tokens at most.
 """
 
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
-from array import array
 from collections.abc import Callable, Iterator
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,10 +23,15 @@ from pyspark.sql import DataFrame
 
 from .common import held, map_arrow, require
 
-#: Bounds of what a worker remembers; beyond them it forgets and starts anew.
-MAX_TRANSITIONS = 40_000
-MAX_PAIRS = 200_000
+#: Bounds of what a worker remembers; beyond them it forgets what it has not used for longest, or starts anew.
+MAX_STATES = 200_000
+MAX_PAIRS = 400_000
+MAX_MOVES = 200_000
 CUT_ROWS = 1_000_000
+#: Pieces up to so many bytes run side by side, a byte of each at a time; longer ones one by one.
+SIDE_BY_SIDE = 256
+#: Bytes of a long piece after which its tokens go out as far as they are settled.
+PORTION = 4096
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -76,38 +79,48 @@ class Transducer:
     """Feeds on bytes; see the module's text."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
+        if missing := [i for i in range(256) if bytes([i]) not in ranks]:
+            raise ValueError(f"the vocabulary lacks bytes {missing[:5]}")
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.child: dict[int, int] = {}
-        ends: dict[int, int] = {}
-        nodes = 1
+        ends, depth, inner = {}, [0], {0}
         for token, rank in ranks.items():
             node = 0
             for b in token:
+                inner.add(node)
                 key = node << 8 | b
                 nxt = self.child.get(key)
                 if nxt is None:
-                    nxt = self.child[key] = nodes
-                    nodes += 1
+                    nxt = self.child[key] = len(depth)
+                    depth.append(depth[node] + 1)
                 node = nxt
             ends[node] = rank
-        self.token_at = [ends.get(i, -1) for i in range(nodes)]
-        self.trie = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for token, rank in ranks.items():
-            self.trie.add_word(token.decode("latin-1"), rank)
-        self.begun: dict[str, tuple[tuple[int, int], ...]] = {}
+        self.depth = depth
+        self.token_at = [ends.get(i, -1) for i in range(len(depth))]
+        self.inner = bytearray(i in inner for i in range(len(depth)))
+        self.size = np.array([len(b) for b in self.table()], dtype=np.int64)
         self.edges: dict[int, tuple | None] = {}
         self.pairs: dict[int, bool] = {}
-        start = ((-1, 0, ()),)
-        self.states: list[tuple] = [start]
-        self.number = {start: 0}
-        self.finals: list[tuple[int, ...]] = [()]
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.bytes_read = 0  # through transitions
+        self.start = (0,)
+        self._empty([self.start])
 
     def table(self) -> list[bytes]:
         """Bytes of each id."""
         return [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of, default=0) + 1)]
 
+    def _empty(self, states: list[tuple[int, ...]]) -> None:
+        """Only these states, without transitions. A guess is (last token + 1) << 32 | node; the finished one is the last."""
+        self.states = states
+        self.number = {s: i for i, s in enumerate(states)}
+        self.last = np.zeros(max(1024, 2 * len(states)), np.int32)
+        self.last[: len(states)] = [(s[-1] >> 32) - 1 for s in states]
+        self.seen = np.zeros(len(self.last), np.int32)  # the round in which a state was last reached
+        self.round = 0
+        self.moves: dict[int, int] = {}
+        self.keys, self.next, self.n_moves = np.full(4096, -1, np.int64), np.zeros(4096, np.int32), 0
+
     def _edges(self, token: int):
         if token not in self.edges:
             self.edges[token] = edges(self.bytes_of[token], self.ranks)
@@ -140,89 +153,183 @@ class Transducer:
             self.pairs[key] = ok
         return ok
 
-    def _make(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        guesses: list[tuple[int, int, tuple[int, ...]]] = []
-        for last, node, waiting in self.states[state]:
-            nxt = self.child.get(node << 8 | byte)
+    def _make(self, state: int, byte: int) -> int:
+        """The state that a byte leads to: all guesses moved on; nodes without children have nothing more to read."""
+        child, token_at, inner, may_follow, done = self.child, self.token_at, self.inner, self._may_follow, 0
+        guesses = []
+        for code in self.states[state]:
+            nxt = child.get((code & 0xFFFFFFFF) << 8 | byte)
             if nxt is None:
                 continue
-            guesses.append((last, nxt, waiting))
-            token = self.token_at[nxt]
-            if token >= 0 and self._may_follow(last, token):
-                guesses.append((token, 0, (*waiting, token)))
-        done = next(w for _, node, w in guesses if node == 0)
-        agreed = min(len(w) for _, _, w in guesses)
-        for _, _, w in guesses:
-            k = 0
-            while k < agreed and w[k] == done[k]:
-                k += 1
-            agreed = k
-        out = done[:agreed]
-        new = tuple((last, node, w[agreed:]) for last, node, w in guesses)
+            if inner[nxt]:
+                guesses.append(code >> 32 << 32 | nxt)
+            token = token_at[nxt]
+            if token >= 0 and not done and may_follow((code >> 32) - 1, token):
+                done = token + 1
+        guesses.append(done << 32)
+        new = tuple(guesses)
         n = self.number.get(new)
         if n is None:
             n = self.number[new] = len(self.states)
             self.states.append(new)
-            self.finals.append(done[agreed:])
-        move = self.moves[state << 8 | byte] = (n, out)
-        return move
+            if n == len(self.last):
+                self.last, self.seen = np.concatenate([self.last, np.zeros_like(self.last)]), np.concatenate([self.seen, np.zeros_like(self.seen)])
+            self.last[n] = done - 1
+        return n
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (len(self.keys).bit_length() - 1))).astype(np.int64)
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Next states by transition keys (state << 8 | byte); -1 where none is made yet. Open addressing."""
+        slot, mask = self._slots(keys), len(self.keys) - 1
+        held = self.keys[slot]
+        out = np.where(held == keys, self.next[slot], -1)
+        open_ = np.flatnonzero((held != keys) & (held >= 0))
+        while open_.size:
+            slot[open_] = (slot[open_] + 1) & mask
+            held = self.keys[slot[open_]]
+            same = held == keys[open_]
+            out[open_[same]] = self.next[slot[open_[same]]]
+            open_ = open_[~same & (held >= 0)]
+        return out
 
-    def encode(self, piece: bytes, recurs: bool = True) -> list[int]:
+    def _insert(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Distinct new transitions."""
+        if 2 * (self.n_moves + len(keys)) > len(self.keys):
+            old = self.keys >= 0
+            keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.next[old], values])
+            size = 1 << (4 * len(keys) - 1).bit_length()
+            self.keys, self.next, self.n_moves = np.full(size, -1, np.int64), np.zeros(size, np.int32), 0
+        self.n_moves += len(keys)
+        slot, mask = self._slots(keys), len(self.keys) - 1
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]] = keys[free]  # of several for one slot the last one gets it
+            got = self.keys[slot] == keys
+            self.next[slot[got]] = values[got]
+            keys, values, slot = keys[~got], values[~got], (slot[~got] + 1) & mask
+
+    def _forget(self, current: np.ndarray) -> np.ndarray:
+        """Keeps the start, ``current`` states and the half of MAX_STATES that were reached last; the new numbers of ``current``."""
+        n = len(self.states)
+        seen = self.seen[:n].copy()
+        seen[0] = seen[current] = self.round + 1
+        kept = np.sort(np.argsort(-seen, kind="stable")[: max(MAX_STATES // 2, len(np.unique(current)) + 1)])
+        renumber = np.full(n, -1, np.int32)
+        renumber[kept] = np.arange(len(kept))
+        used = self.keys >= 0
+        keys, values, round_, seen = self.keys[used], self.next[used], self.round, self.seen[kept]
+        self._empty([self.states[i] for i in kept.tolist()])
+        self.round, self.seen[: len(kept)] = round_, seen
+        source, target = renumber[keys >> 8], renumber[values]
+        on = (source >= 0) & (target >= 0)
+        self._insert(source[on].astype(np.int64) << 8 | keys[on] & 0xFF, target[on])
+        return renumber[current].astype(np.int64)
+
+    def encode(self, piece: bytes) -> list[int]:
         """Ids of one match of the split pattern."""
-        token = self.ranks.get(piece)
-        if token is not None:
-            return [token]
-        if not recurs:
-            return self.run(piece)
-        ids: list[int] = []
-        state, moves = 0, self.moves
-        for b in piece:
-            move = moves.get(state << 8 | b)
-            if move is None:
-                if len(moves) >= MAX_TRANSITIONS:
-                    return self.run(piece)
-                move = self._make(state, b)
-            state, out = move
-            if out:
-                ids += out
-        ids += self.finals[state]
-        return ids
-
-    def _guesses(self, prefix: str) -> tuple[tuple[int, int], ...]:
-        """(token, length) of the tokens that begin ``prefix``, a path of the trie; longest first."""
-        data = prefix.encode("latin-1")
-        found = tuple((self.ranks[data[:k]], k) for k in range(len(data), 0, -1) if data[:k] in self.ranks)
-        self.begun[prefix] = found
-        return found
-
-    def run(self, piece: bytes) -> list[int]:
-        """The nondeterministic machine, longest guesses first; a position that leads nowhere is not tried again."""
-        text, begun, longest, pairs = piece.decode("latin-1"), self.begun, self.trie.longest_prefix, self.pairs
-        n, at, last = len(text), 0, -1
-        ids: list[int] = []
-        dead: set[int] = set()
-        open_: list[tuple] = []
-        path = text[: longest(text)]
-        guesses = iter(begun.get(path) or self._guesses(path))
-        while True:
-            for token, k in guesses:
-                if dead and at + k in dead:
-                    continue
-                ok = pairs.get(last << 32 | token)
-                if ok if ok is not None else self._may_follow(last, token):
-                    open_.append((at, last, guesses))
-                    ids.append(token)
-                    at, last = at + k, token
-                    if at == n:
-                        return ids
-                    rest = text[at:]
-                    path = rest[: longest(rest)]
-                    guesses = iter(begun.get(path) or self._guesses(path))
-                    break
-            else:
-                dead.add(at)
-                at, last, guesses = open_.pop()
-                ids.pop()
+        return self.encode_all([piece])[0].tolist()
+
+    def encode_all(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of matches of the split pattern, one after the other, and how many each has.
+
+        A piece that is a token is that; all others go through the transitions.
+        """
+        rank_of = self.ranks.get
+        direct = np.fromiter((rank_of(p, -1) for p in pieces), dtype=np.int64, count=len(pieces))
+        length = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        rest = np.flatnonzero((direct < 0) & (length > 0))
+        short, long = rest[length[rest] <= SIDE_BY_SIDE], rest[length[rest] > SIDE_BY_SIDE]
+        short = short[np.argsort(-length[short], kind="stable")]
+        back, at = self._side_by_side([pieces[i] for i in short.tolist()], length[short])
+        size = (direct >= 0).astype(np.int64)
+        size[short] = np.bincount(at, minlength=len(short)) if len(short) else 0
+        alone = [np.fromiter(self.tokens(pieces[i]), dtype=np.int64) for i in long.tolist()]
+        size[long] = [len(x) for x in alone]
+        ends = np.cumsum(size)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint32)
+        out[(ends - size)[direct >= 0]] = direct[direct >= 0]
+        for i, x in zip(long.tolist(), alone, strict=True):
+            out[ends[i] - size[i] : ends[i]] = x
+        # tokens of the short ones were found from their ends
+        order = np.argsort(at, kind="stable")
+        first = np.cumsum(size[short]) - size[short]
+        out[ends[short][at[order]] - 1 - (np.arange(len(order)) - first[at[order]])] = back[order]
+        return out, size
+
+    def _side_by_side(self, pieces: list[bytes], length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For pieces in order of falling length: their tokens, each piece's from its end on, and whose each is."""
+        if not pieces:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        start = np.cumsum(length) - length
+        ends_with = np.empty(len(data), np.int32)
+        state = np.zeros(len(pieces), np.int64)
+        self.round += 1
+        self.bytes_read += len(data)
+        for k in range(int(length[0])):
+            on = int(np.searchsorted(-length, -k, side="left"))  # pieces longer than k
+            keys = state[:on] << 8 | data[start[:on] + k]
+            nxt = self._find(keys)
+            missing = np.flatnonzero(nxt < 0)
+            if missing.size:
+                new, which = np.unique(keys[missing], return_inverse=True)
+                made = np.fromiter((self._make(x >> 8, x & 0xFF) for x in new.tolist()), dtype=np.int32, count=len(new))
+                self._insert(new, made)
+                nxt[missing] = made[which]
+            state[:on] = nxt
+            self.seen[nxt] = self.round
+            ends_with[start[:on] + k] = self.last[nxt]
+            if len(self.states) > 2 * MAX_STATES:
+                state[:on] = self._forget(state[:on])
+        if len(self.states) > MAX_STATES:
+            self._forget(np.zeros(1, np.int64))
+        tokens, whose = [], []
+        at, who = start + length - 1, np.arange(len(pieces))
+        while who.size:
+            token = ends_with[at]
+            tokens.append(token)
+            whose.append(who)
+            at = at - self.size[token]
+            left = at >= start[who]
+            at, who = at[left], who[left]
+        return np.concatenate(tokens).astype(np.int64), np.concatenate(whose)
+
+    def tokens(self, piece: bytes, portion: int = PORTION) -> Iterator[int]:
+        """Ids of one piece as they become certain, asked after every ``portion`` of bytes."""
+        state, moves, begun = 0, self.moves, 0  # ``begun``: bytes whose tokens went out
+        ends_with: list[int] = []  # by byte since then, the token that the prefix ends with
+        size = self.size
+        self.bytes_read += len(piece)
+        for lo in range(0, len(piece), portion):
+            for b in piece[lo : lo + portion]:
+                nxt = moves.get(state << 8 | b)
+                if nxt is None:
+                    nxt = moves[state << 8 | b] = self._make(state, b)
+                state = nxt
+                ends_with.append(int(self.last[state]))
+            read = min(len(piece), lo + portion)
+            if len(self.states) > MAX_STATES:
+                self.round += 1
+                state = int(self._forget(np.array([state]))[0])
+                moves = self.moves
+            elif len(moves) > MAX_MOVES:
+                moves.clear()
+            # every guess began somewhere; tokens before the place that all of them come from are settled
+            places = {read - begun - self.depth[code & 0xFFFFFFFF] for code in self.states[state]} if read < len(piece) else {read - begun}
+            while len(places) > 1:
+                latest = max(places)
+                places.remove(latest)
+                places.add(latest - int(size[ends_with[latest - 1]]))
+            settled = at = places.pop()
+            out = []
+            while at > 0:
+                out.append(ends_with[at - 1])
+                at -= int(size[out[-1]])
+            yield from reversed(out)
+            del ends_with[:settled]
+            begun += settled
 
 
 class CutTable:
@@ -294,35 +401,23 @@ class CutTable:
 
 #: A blank that white space or the end follows; such texts are matched against the pattern as a whole.
 GAP = r" ([\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]|$)"
+#: Ids of some strings, one after the other, and how many each has.
+Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
 
 class Splitter:
-    """Splits texts by the tokenizer's pattern and joins encodings of the parts.
+    """Cuts texts at blanks and joins the encodings of the cuts.
 
-    Every blank that a non-blank follows starts a match of the pattern, so texts without other blanks are cut there,
-    and distinct cuts are encoded once and remembered in a bounded table.
+    Every blank that a non-blank follows starts a match of the tokenizer's pattern, so texts without other blanks are cut
+    there, and distinct cuts are encoded once and remembered in a bounded table. ``cuts`` encodes parts that a blank
+    stands before, ``others`` beginnings of texts, and texts that are not cut: those with other blanks, and those that
+    ``special`` (a regular expression) finds something in.
     """
 
-    def __init__(
-        self, pattern: str, token_bytes: list[bytes], encode_piece: Callable[[str, bool], list[int]], encode_cuts: Callable[[list[str]], list[bytes]] | None = None, rows: int | None = None
-    ) -> None:
-        import regex
-
-        self.find = regex.compile(pattern).findall
-        self.encode_piece = encode_piece
-        self.encode_cuts = encode_cuts
+    def __init__(self, token_bytes: list[bytes], cuts: Encoder, others: Encoder, special: str | None = None, rows: int | None = None) -> None:
+        self.encode_cuts, self.encode_others, self.special = cuts, others, special
         self.table = CutTable(token_bytes, rows or CUT_ROWS)
 
-    def whole(self, text: str, pieces: dict[str, bytes], recurs: bool = False) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers. ``pieces``: matches of the pattern encoded so far."""
-        out = []
-        for p in self.find(text):
-            ids = pieces.get(p)
-            if ids is None:
-                ids = pieces[p] = array("I", self.encode_piece(p, recurs)).tobytes()
-            out.append(ids)
-        return b"".join(out)
-
     def encode_many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts, one after the other, and where each text's ids begin (and the last end)."""
         n = len(texts)
@@ -330,6 +425,8 @@ class Splitter:
             return np.empty(0, np.uint32), np.zeros(1, np.int64)
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, GAP)
+        if self.special:
+            odd = pc.or_(odd, pc.match_substring_regex(texts, self.special))
         lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
         first = lists.offsets.to_numpy()[:-1].astype(np.int64)
         flat_cuts = lists.flatten()
@@ -339,10 +436,9 @@ class Splitter:
         at = cuts.indices.to_numpy().astype(np.int64)
         used = np.ones(len(at), dtype=bool)
         used[first] = False  # no blank stands before a text's first cut
-        times = np.bincount(at[used], minlength=len(cuts.dictionary))
-        seen = times > 0
+        seen = np.bincount(at[used], minlength=len(cuts.dictionary)) > 0
         at = (np.cumsum(seen) - 1)[at]
-        distinct, times = cuts.dictionary.filter(pa.array(seen)), times[seen]
+        distinct = cuts.dictionary.filter(pa.array(seen))
         del lists, flat_cuts, cuts, used, seen
         known = len(distinct)
         offsets = np.frombuffer(distinct.buffers()[1], dtype=np.int32, count=known + 1, offset=4 * distinct.offset) if known else np.zeros(1, np.int32)
@@ -350,16 +446,10 @@ class Splitter:
         keys = self.table.hashes(data, offsets)
         row = self.table.find(keys, data, offsets)
         new = np.flatnonzero(row < 0)
-        pieces: dict[str, bytes] = {}
-        words = distinct.take(pa.array(new)).to_pylist()
-        if self.encode_cuts:
-            values = self.encode_cuts(words) if words else []
-        else:
-            values = [self.whole(" " + w, pieces, r) for w, r in zip(words, (times[new] > 1).tolist(), strict=True)]
+        fresh, fresh_size = self.encode_cuts(distinct.take(pa.array(new)).to_pylist()) if len(new) else (np.empty(0, np.uint32), np.empty(0, np.int64))
         head = texts.to_pylist() if pc.any(odd).as_py() else None
-        values += [self.whole(head[i] if head and o else s, pieces) for i, (s, o) in enumerate(zip(starts, odd.to_pylist(), strict=True))]
-        fresh_size = np.fromiter(map(len, values), dtype=np.int64, count=len(values)) // 4
-        fresh = np.frombuffer(b"".join(values), dtype="<u4")
+        rest, rest_size = self.encode_others([head[i] if head and o else s for i, (s, o) in enumerate(zip(starts, odd.to_pylist(), strict=True))])
+        fresh, fresh_size = np.concatenate([fresh, rest]), np.concatenate([fresh_size, rest_size])
         fresh_start = np.cumsum(fresh_size) - fresh_size
         # encodings of the known cuts, then of the new ones, then of the texts' beginnings
         old = np.flatnonzero(row >= 0)
@@ -466,10 +556,35 @@ class Codec:
     """Encoder and decoder of one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+        import regex
+
         self.machine = Transducer(ranks)
-        self.splitter = Splitter(pattern, self.machine.table(), lambda piece, recurs: self.machine.encode(piece.encode(), recurs))
+        self.find = regex.compile(pattern).findall
+        self.splitter = Splitter(self.machine.table(), self._cuts, self._others)
         self.stream = Utf8Stream(self.machine.table())
 
+    def _cuts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Matches of the pattern in a text made of all parts end where the parts do."""
+        pieces = self.find(" " + " ".join(words))
+        ends = np.cumsum(np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)))
+        borders = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+        return self._joined(pieces, np.searchsorted(ends, borders) + 1)
+
+    def _others(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        pieces, ends = [], []
+        for text in texts:
+            pieces += self.find(text)
+            ends.append(len(pieces))
+        return self._joined(pieces, np.array(ends, dtype=np.int64))
+
+    def _joined(self, pieces: list[str], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, distinct ones encoded once, and how many there are up to each end."""
+        coded = pa.array(pieces, pa.string()).dictionary_encode()
+        ids, size = self.machine.encode_all(coded.dictionary.cast(pa.binary()).to_pylist())
+        at = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(size[at])])
+        return ragged(ids, np.cumsum(size) - size, size, at), np.diff(total[np.concatenate([[0], ends])])
+
     def encode(self, text: str | None) -> np.ndarray:
         return self.splitter.encode(text)
 
@@ -485,11 +600,7 @@ ENCODE_BYTES = 3 << 19
 def worker_codec(ranks: bytes, pattern: str) -> Codec:
     """The codec that this worker's tasks share."""
 
-    def make() -> Codec:
-        gc.disable()  # millions of small objects without cycles: walking them costs more than all else
-        return Codec(parse_ranks(ranks), pattern)
-
-    return held("bpe", (hashlib.sha256(ranks).digest(), pattern), make)
+    return held("bpe", (hashlib.sha256(ranks).digest(), pattern), lambda: Codec(parse_ranks(ranks), pattern))
 
 
 def list_array(ids: np.ndarray, starts: np.ndarray) -> pa.ListArray:

@@ -140,7 +140,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = token_files.token_path(spark)
-    token_files.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    token_files.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_files.with_crc32(token_files.read_tokens(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 

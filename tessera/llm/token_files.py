@@ -8,10 +8,9 @@ columns without any ids.
 
 from __future__ import annotations
 
-import gc
 import os
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -64,48 +63,54 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
-def worker_splitter(model: str, pattern: str) -> Splitter:
-    """Parts of texts encoded by the tokenizers library, shared by this worker's tasks; strings of special tokens are ordinary text."""
+def worker_splitter(model: str) -> Splitter:
+    """Parts of texts encoded by the tokenizers library, shared by this worker's tasks.
+
+    Texts that hold an added token's string (such as an end mark) go to the library whole, which makes it that token.
+    """
 
     def make() -> Splitter:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_str(model)
-        tok.encode_special_tokens = True
         byte = byte_alphabet()
         token_bytes = [b""] * tok.get_vocab_size()
         for token, i in tok.get_vocab(with_added_tokens=False).items():
             token_bytes[i] = bytes(byte.get(c, 0) for c in token)
         size = np.array([max(1, len(b)) for b in token_bytes], dtype=np.int64)
+        added = [t.content for t in tok.get_added_tokens_decoder().values()]
+
+        def joined(parts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+            return np.array([i for p in parts for i in p], dtype=np.uint32), np.array([len(p) for p in parts], dtype=np.int64)
 
-        def piece(text: str, recurs: bool = False) -> list[int]:
-            return tok.encode(text, add_special_tokens=False).ids
+        def others(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            return joined([tok.encode(t, add_special_tokens=False).ids for t in texts])
 
-        def cuts(parts: list[str]) -> list[bytes]:
-            return [x for i in range(0, len(parts), CUTS) for x in some(parts[i : i + CUTS])]
+        def cuts(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            some_ = [some(parts[i : i + CUTS]) for i in range(0, len(parts), CUTS)]
+            return np.concatenate([i for i, _ in some_]), np.concatenate([n for _, n in some_])
 
-        def some(parts: list[str]) -> list[bytes]:
+        def some(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             # a text made of the cuts splits at their borders, and a token's bytes tell where they are
-            ids = np.array(tok.encode_batch_fast([" " + " ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ids = np.array(tok.encode_batch_fast([" " + " ".join(parts)], add_special_tokens=False)[0].ids, dtype=np.uint32)
             ends = np.cumsum([len(p.encode()) + 1 for p in parts])
             place = np.cumsum(size[ids])
             border = np.searchsorted(place, ends)
             if border[-1] >= len(place) or (place[border] != ends).any():
-                return [array("I", piece(" " + p)).tobytes() for p in parts]
-            raw, stop = ids.tobytes(), ((border + 1) * 4).tolist()
-            return [raw[a:b] for a, b in zip([0, *stop], stop, strict=False)]
+                return others([" " + p for p in parts])
+            return ids, np.diff(border + 1, prepend=0)
 
-        gc.disable()  # see worker_codec
-        return Splitter(pattern, token_bytes, piece, cuts, CUT_ROWS)
+        return Splitter(token_bytes, cuts, others, "|".join(map(re.escape, added)) or None, CUT_ROWS)
 
-    return held("token_files", (zlib.crc32(model.encode()), pattern), make)
+    return held("token_files", zlib.crc32(model.encode()), make)
 
 
 def write_tokens(
-    docs: DataFrame, path: str, tokenizer_file: str, pattern: str, end_id: int = 2, files: int | None = None, layout: Layout = Layout()
+    docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, files: int | None = None, layout: Layout = Layout()
 ) -> None:
-    """Encodes every whole text and writes the files.
+    """Encodes every whole text and writes the files. The tokenizer's pattern must start a match at every blank that a
+    non-blank follows, as byte-level ones do.
 
     One range exchange by (doc_id, text hash) puts documents in order; each task then encodes its range. A null text
     is empty and yields the end id alone. Null ids come first; rows that share an id follow each other in the order of
@@ -120,7 +125,7 @@ def write_tokens(
     ordered = keyed.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = worker_splitter(model.value, pattern)
+        splitter = worker_splitter(model.value)
         no, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, starts = splitter.encode_many(batch.column("text"))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, embedding_dedup, language_id, license_scan, lm_scoring, minhash_dedup, mixing, quality, token_files, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-EDGE = [None, "", "   \n\t ", "one", "Two  words", "a\x0bb\x0cc", "é漢字 🙂 ß", "x " * 9000]
+EDGE = [None, "", "   \n\t ", "one", "Two  words", "a\x0bb\x0cc", "é漢字 🙂 ß", "x " * 9000, "a <|endoftext|> b<|endoftext|>"]
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, score double, kept boolean, n_tokens int"
 
 
@@ -426,7 +427,37 @@ def test_bpe_transducer_is_merging(codec):
     for _ in range(1500):
         piece = b"".join(rng.choice(tokens) for _ in range(rng.randint(1, 4)))[:60]
         want = [codec.machine.ranks[piece]] if piece in codec.machine.ranks else bpe.merge_by_rank(piece, codec.machine.ranks)
-        assert codec.machine.encode(piece) == want and codec.machine.encode(piece, recurs=False) == want
+        assert codec.machine.encode(piece) == want
+        assert list(codec.machine.tokens(piece, portion=rng.randint(1, 9))) == want or piece in codec.machine.ranks
+
+
+def test_bpe_long_pieces_are_linear_and_settle_early(codec):
+    rng = random.Random(7)
+    piece = "".join(rng.choice("aetinos") for _ in range(300_000)).encode()
+    before, given, began = codec.machine.bytes_read, 0, time.perf_counter()
+    for i, token in enumerate(codec.machine.tokens(piece, portion=512)):
+        given += len(codec.machine.bytes_of[token])
+    assert given == len(piece) and codec.machine.bytes_read - before == len(piece) and time.perf_counter() - began < 20
+    lead = codec.machine.tokens(piece[:2000], portion=1)
+    read = iter(lead)
+    assert next(read) == codec.machine.encode(piece[:2000])[0]
+
+
+def test_bpe_every_byte_goes_through_transitions(reference, codec, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(bpe, "MAX_STATES", 300)  # states are forgotten all the time
+    own = bpe.Codec(codec.machine.ranks, public_tokenizers.PATTERN)
+    texts = [t for t in doc_texts() if t][:60]
+    for t in [*texts, "x".join(texts)[:3000].replace(" ", "")]:
+        assert own.encode(t).tolist() == reference.encode_ordinary(t)
+    assert len(own.machine.states) <= 700
+    whole = bpe.Codec(codec.machine.ranks, public_tokenizers.PATTERN)
+    whole.splitter.encode_many(pa.array(texts))
+    distinct = {p for t in texts for p in whole.find(t)}
+    assert whole.machine.bytes_read == sum(len(p.encode()) for p in distinct if p.encode() not in whole.machine.ranks)
+    with pytest.raises(ValueError, match="lacks"):
+        bpe.Transducer({b"a": 0})
 
 
 def test_bpe_encodes_as_tiktoken_does(codec, reference):
@@ -458,9 +489,8 @@ def test_token_files(spark, docs, rows, none):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(MODEL)
-    tok.encode_special_tokens = True
     path = token_files.token_path(spark)
-    token_files.write_tokens(docs, path, MODEL, public_tokenizers.PATTERN, files=3)
+    token_files.write_tokens(docs, path, MODEL, files=3)
     out = token_files.with_crc32(token_files.read_tokens(spark, path)).orderBy("start").collect()
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in out) == Counter((i, (*tok.encode(t or "", add_special_tokens=False).ids, 2)) for i, t, *_ in rows)
     at, last = 0, -1
@@ -471,7 +501,7 @@ def test_token_files(spark, docs, rows, none):
     plan = token_files.read_tokens(spark, path).select("doc_id", "start", "n_tokens")._jdf.queryExecution().toString()
     assert "ids" not in re.findall(r"ReadSchema: (\S+)", plan)[0]
     path = token_files.token_path(spark)
-    token_files.write_tokens(none, path, MODEL, public_tokenizers.PATTERN)
+    token_files.write_tokens(none, path, MODEL)
     assert token_files.read_tokens(spark, path).count() == 0
 
 
@@ -481,7 +511,7 @@ def test_token_files_layout(spark, docs):
     import pyarrow.parquet as pq
 
     path = token_files.token_path(spark)
-    token_files.write_tokens(docs, path, MODEL, public_tokenizers.PATTERN, files=1)
+    token_files.write_tokens(docs, path, MODEL, files=1)
     meta = pq.ParquetFile(next(f for f in glob.glob(f"{path.removeprefix('file://')}/part-*"))).metadata
     column = {meta.row_group(0).column(i).path_in_schema: meta.row_group(0).column(i) for i in range(meta.num_columns)}
     assert any("DICTIONARY" in e for e in column["ids.list.element"].encodings) and "DELTA_BINARY_PACKED" in column["n_tokens"].encodings
