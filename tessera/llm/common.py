@@ -15,7 +15,7 @@ from ..operators.graph import shared_path as shared_dir
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
-__all__ = ["ascii_lower", "byte_texts", "flag_texts", "fold_of", "hash_share", "held", "lean", "map_arrow", "require", "shared_dir", "slices", "stored", "table", "trim"]
+__all__ = ["ascii_lower", "byte_texts", "flag_texts", "fold_of", "fresh", "hash_share", "held", "lean", "map_arrow", "require", "shared_dir", "slices", "stored", "table", "trim"]
 try:
     _libc = ctypes.CDLL("libc.so.6")
 except OSError:  # another C library; memory is then given back when the worker ends
@@ -121,6 +121,17 @@ def hash_share(*columns: str) -> Column:
     return F.xxhash64(*columns) / F.lit(float(1 << 64)) + 0.5
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

@@ -3,9 +3,10 @@
 Every text becomes the set of its word shingles' 64-bit hashes; its sketch is the K smallest. Texts with equal sets
 form a class and go on as one. Two sets that reach the threshold share at least t retained values (see ``agreed``), so
 they share one of the m - t + 1 rarest of their m retained values: inverted lists of just those generate candidates.
-Lists of up to COLD members yield their pairs, which the estimate from the union's sketch filters; members of longer
-lists are tied to one pivot a list. The connected groups of all this are the candidate families: within them, and only
-there, full sets are compared, in blocks, and links go out as spanning stars, never as pairs.
+Lists of up to COLD members yield their pairs. Members of a longer list meet its pivot, and those that the pivot doesn't
+resemble meet all others of about their size, sketch against sketch in blocks. Whatever meets has to pass the estimate
+from the union's sketch. The connected groups of what passes are the candidate families: within them, and only there,
+full sets are compared, in blocks, and links go out as spanning stars, never as pairs.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -22,16 +24,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import byte_texts, map_arrow, require, stored
+from .common import byte_texts, fresh, map_arrow, require, stored
 
 WORDS = 5
 PERCENT = 80
-#: Retained values a sketch; a list's members up to which all its pairs are candidates; full sets a block.
+#: Retained values a sketch; a list's members up to which all its pairs are candidates; full sets, and sketches, a block.
 K = 64
 COLD = 64
 BLOCK = 256
-#: Standard deviations that the estimate, and the number of shared values, may fall below what the threshold implies.
-SIGMAS = 4.5
+SKETCH_BLOCK = 1024
+#: The chance that the estimate, or the number of shared values, of a pair just at the threshold falls below its bound.
+MISS = 1e-6
 _COLUMNS = 8192
 
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -61,46 +64,66 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(acc.view(np.int64))
 
 
+@cache
+def least_shared(n: int, percent: int = PERCENT) -> int:
+    """The largest number that fewer of n samples reach with a chance of MISS at most, if each is shared with the
+    threshold's chance. (Samples are drawn without replacement, which only narrows this.)"""
+    share, below, at = percent / 100, 0.0, 0
+    while at <= n:
+        below += math.comb(n, at) * share**at * (1 - share) ** (n - at)
+        if below > MISS:
+            break
+        at += 1
+    return at
+
+
 def agreed(n: int, k: int = K, percent: int = PERCENT) -> int:
     """How many retained values a set of n surely shares with any set that reaches the threshold.
 
     Where the partner's sketch holds its whole set (n at most the threshold's share of k) this is exact; else retained
-    values are a sample, and the number is SIGMAS standard deviations below its mean.
+    values are a sample, and the number is its least_shared.
     """
-    m, share = min(n, k), percent / 100
-    if n <= k * share:
-        return max(1, math.ceil(share * n))
-    return max(1, math.floor(share * m - SIGMAS * math.sqrt(share * (1 - share) * m)))
+    if n * 100 <= k * percent:
+        return max(1, -(-n * percent // 100))
+    return max(1, least_shared(min(n, k), percent))
+
+
+def _digest(members: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest() if members.size else None
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, digest (of the full set; null if empty) and sketch (the K smallest, ascending)."""
+    """doc_id, n_shingles, digest (of the full set; null if empty), sketch (the K smallest, ascending) and mark (of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, words) for t in byte_texts(batch)]
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if s.size else None for s in sets]
             low = [s[:K] for s in sets]
             offsets = np.zeros(len(low) + 1, dtype=np.int32)
             np.cumsum([len(s) for s in low], out=offsets[1:])
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(low)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), lists],
-                ["doc_id", "n_shingles", "digest", "sketch"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), lists, batch.column("mark")],
+                ["doc_id", "n_shingles", "digest", "sketch", "mark"],
             )
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", mark_of("text").alias("mark"))
+    return map_arrow(rows, run, "doc_id bigint, n_shingles bigint, digest binary, sketch array<bigint>, mark string")
+
+
+def mark_of(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))
 
 
 def full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """node (the doc_id) and its full set as bytes."""
+    """digest and members (as bytes) of the full set of every text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, words).tobytes() for t in byte_texts(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["node", "members"])
+            sets = [s for t in byte_texts(batch) if (s := shingle_set(t, words)).size]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_digest, sets), pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "members"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "node bigint, members binary")
+    return map_arrow(docs.select("text"), run, "digest binary, members binary")
 
 
 def _prefix_length(n: Column, k: int, percent: int) -> Column:
@@ -114,36 +137,107 @@ def rare_entries(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Values that a single sketch holds are the rarest; they need no row, only their number counts.
     """
-    values = classes.select(F.col("rep").alias("node"), F.explode("sketch").alias("value"))
+    values = classes.select("node", F.explode("sketch").alias("value"))
     df = values.groupBy("value").agg(F.max("value").alias("v"), F.count(F.lit(1)).alias("df")).filter("df > 1").select("v", "df")
     held = values.join(df, F.col("value") == F.col("v")).groupBy("node").agg(F.collect_list(F.struct("df", "value")).alias("held"))
-    sized = held.join(classes.select("rep", "n"), F.col("node") == F.col("rep"))
+    sized = held.join(classes.select(F.col("node").alias("of"), "n"), F.col("node") == F.col("of"))
     alone = F.least("n", F.lit(K)) - F.size("held")
     rest = F.greatest(_prefix_length(F.col("n"), K, percent) - alone, F.lit(0)).cast("int")
     return sized.select("node", F.explode(F.slice(F.array_sort("held"), F.lit(1), rest)).alias("e")).select("e.value", "e.df", "node")
 
 
-def _similar_estimate(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose estimate from the union's sketch, and whose sizes, leave the threshold possible."""
-    side = lambda x: classes.select(F.col("rep").alias(f"{x}_id"), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_s"))
+def _reach(n: Column, sketch: Column) -> Column:
+    """Up to which value a sketch knows its set; null: all of it."""
+    return F.when(n > K, F.element_at(sketch, -1))
+
+
+def similar_estimate(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose estimate from the union's sketch, and whose sizes, leave the threshold possible.
+
+    The union's sketch is all that both sketches know: values up to where the shorter-reaching one ends.
+    """
+    side = lambda x: classes.select(F.col("node").alias(f"{x}_id"), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_s"), _reach(F.col("n"), F.col("sketch")).alias(f"{x}_r"))
     both = pairs.join(side("a"), F.col("a") == F.col("a_id")).join(side("b"), F.col("b") == F.col("b_id"))
     both = both.filter(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
-    union = F.slice(F.array_sort(F.array_union("a_s", "b_s")), 1, K)
-    both = both.withColumn("u", union).withColumn("shared", F.size(F.array_intersect(F.array_intersect("u", "a_s"), F.col("b_s"))))
-    share = percent / 100
-    least = F.lit(share) * F.size("u") - F.lit(SIGMAS * math.sqrt(share * (1 - share))) * F.sqrt(F.size("u"))
-    return both.filter(F.col("shared") >= least).select("a", "b")
+    both = both.withColumn("reach", F.least("a_r", "b_r")).withColumn("shared", F.size(F.array_intersect("a_s", "b_s")))
+    known = lambda x: F.when(F.col("reach").isNull(), F.size(f"{x}_s")).otherwise(F.size(F.filter(f"{x}_s", lambda v: v <= F.col("reach"))))
+    union = (known("a") + known("b") - F.col("shared")).cast("int")
+    least = F.array(*[F.lit(least_shared(i, percent)) for i in range(1, 2 * K + 1)])
+    return both.filter(F.col("shared") >= F.element_at(least, union)).select("a", "b")
+
+
+def _estimate_block(percent: int):
+    """Spanning stars of the pairs of a block's left (0) and right (1) rows that pass the estimate of similar_estimate."""
+    least = np.array([0, *[least_shared(i, percent) for i in range(1, 2 * K + 1)]])
+    far = np.iinfo(np.int64).max
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["side"] == 0].drop_duplicates("node"), rows[rows["side"] == 1].drop_duplicates("node")
+        if left.empty or right.empty:
+            return pd.DataFrame({"a": [], "b": []}).astype("int64")
+        ls, rs = [np.asarray(x) for x in left["sketch"]], [np.asarray(x) for x in right["sketch"]]
+        ln, rn = left["n"].to_numpy(), right["n"].to_numpy()
+        reach = lambda sets, n: np.array([s[-1] if m > K else far for s, m in zip(sets, n, strict=True)])
+        lr, rr = reach(ls, ln), reach(rs, rn)
+        shared = common_counts(ls, rs)
+        # of each set, how much of it is known up to where the other one's knowledge ends
+        of_left = np.array([np.searchsorted(s, np.minimum(rr, r), "right") for s, r in zip(ls, lr, strict=True)])
+        of_right = np.array([np.searchsorted(s, np.minimum(lr, r), "right") for s, r in zip(rs, rr, strict=True)]).T
+        union = of_left + of_right - shared
+        near = np.minimum.outer(ln, rn) * 100 >= np.maximum.outer(ln, rn) * percent
+        lid, rid = left["node"].to_numpy(), right["node"].to_numpy()
+        return local_stars(near & (shared >= least[np.minimum(union, 2 * K)]) & (lid[:, None] != rid[None, :]), lid, rid)
+
+    return run
+
+
+def dealt(lefts: DataFrame, rights: DataFrame, group: list[str], size: int, columns: list[str]) -> DataFrame:
+    """All blocks of ``size`` left by ``size`` right rows of each group: side (0 and 1), ``columns`` and block, their key.
+
+    The key is one number, so that the blocks of a hot group go to different tasks.
+    """
+    both = lefts.select(*group, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(rights.select(*group, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    blocks = lambda c: F.ceil(F.sum(c) / size).cast("int")
+    # the keys as aggregates: the join's sides get exchanges of their own, in which a hot group is split
+    counts = both.groupBy(*group).agg(*[F.max(g).alias(f"of_{g}") for g in group], blocks("l").alias("lefts"), blocks("r").alias("rights")).drop(*group)
+    counts = counts.filter((F.col("lefts") > 0) & (F.col("rights") > 0))
+    same = lambda df: df.join(counts, [F.col(g) == F.col(f"of_{g}") for g in group])
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = same(lefts).withColumn("i", part("lefts")).withColumn("j", every("rights")).withColumn("side", F.lit(0))
+    right = same(rights).withColumn("j", part("rights")).withColumn("i", every("lefts")).withColumn("side", F.lit(1))
+    out = left.select(*group, "i", "j", "side", *columns).unionByName(right.select(*group, "i", "j", "side", *columns))
+    return out.select(F.xxhash64(*group, "i", "j").alias("block"), "side", *columns)
 
 
 def candidate_edges(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b: pairs that pass the estimate, or spanning stars of such pairs."""
     entries = stored(rare_entries(classes, percent), "entries")
     cold = entries.filter(F.col("df") <= COLD).groupBy("value").agg(F.array_sort(F.collect_list("node")).alias("l")).filter(F.size("l") > 1)
     pairs = F.expr("flatten(transform(l, (x, i) -> transform(slice(l, i + 2, size(l)), y -> named_struct('a', x, 'b', y))))")
-    pairs = cold.select(F.explode(pairs).alias("p")).select("p.a", "p.b").filter("a != b").distinct()
+    pairs = cold.select(F.explode(pairs).alias("p")).select("p.a", "p.b").filter("a != b")
     hot = entries.filter(F.col("df") > COLD)
     pivots = hot.groupBy("value").agg(F.max("value").alias("v"), F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("node"))).alias("p")).select("v", F.col("p.node").alias("b"))
-    tied = hot.join(pivots, F.col("value") == F.col("v")).select(F.col("node").alias("a"), "b").filter("a != b").distinct()
-    return _similar_estimate(pairs, classes, percent).unionByName(tied)
+    ties = stored(hot.join(pivots, F.col("value") == F.col("v")).select(F.col("node").alias("a"), "b").filter("a != b").distinct(), "ties")
+    tied = stored(similar_estimate(ties, classes, percent), "tied")
+    return similar_estimate(pairs.distinct(), classes, percent).unionByName(tied).unionByName(_left_by_pivots(ties, tied, classes, percent))
+
+
+def _left_by_pivots(ties: DataFrame, tied: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b: what passes the estimate between those that didn't with a pivot and all that share a value with it.
+
+    Only sets of about one size meet: sizes fall into classes as wide as the threshold allows, and a class meets its
+    neighbours.
+    """
+    width = math.log(100 / percent) if percent < 100 else 1.0
+    left = ties.join(tied.select(F.col("a").alias("ta"), F.col("b").alias("tb")), (F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), "left_anti")
+    about = classes.select(F.col("node").alias("of"), "n", "sketch", F.floor(F.log("n") / width).cast("int").alias("own"))
+    known = lambda df: df.join(about, F.col("a") == F.col("of")).select(F.col("b").alias("pivot"), F.col("a").alias("node"), "n", "sketch", "own")
+    lefts = stored(known(left).withColumnRenamed("own", "kind"), "left")
+    open_ = lefts.groupBy("pivot").agg(F.max("pivot").alias("p")).select("p")
+    rights = known(ties.join(open_, F.col("b") == F.col("p"), "left_semi")).withColumn("kind", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1))).drop("own")
+    blocks = dealt(lefts, rights, ["pivot", "kind"], SKETCH_BLOCK, ["node", "n", "sketch"])
+    return blocks.groupBy("block").applyInPandas(_estimate_block(percent), "a bigint, b bigint")
 
 
 def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -187,7 +281,7 @@ def local_stars(linked: np.ndarray, lid: np.ndarray, rid: np.ndarray) -> pd.Data
 
 
 def _verify(percent: int):
-    """Links between the left and right rows of a group; side 2 is on both."""
+    """Links between the left (0) and right (1) rows of a block; side 2 is on both."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left, right = rows[rows["side"] != 1], rows[rows["side"] != 0]
@@ -202,37 +296,26 @@ def _verify(percent: int):
     return run
 
 
-def _block(n: Column) -> Column:
-    return F.pmod(F.xxhash64("node"), n).cast("int")
-
-
 def verified_links(families: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b: spanning links among the nodes of each family, by comparing their full sets.
 
-    ``families`` has node and component. A family of up to BLOCK nodes is one group. Of a larger one, all are first
-    compared with its pivot, block by block; those that it doesn't link to are compared with the whole family in
-    blocks of BLOCK by BLOCK.
+    ``families`` has node, component and the set's digest, ``sets`` digest and members. A family of up to BLOCK nodes is one block. Of a
+    larger one, all are first compared with its pivot, block by block; those that it doesn't link to are compared with
+    the whole family in blocks of BLOCK by BLOCK.
     """
     sizes = families.groupBy("component").agg(F.max("component").alias("family"), F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("p"))).alias("least"))
     sizes = sizes.select("family", "size", F.col("least.p").alias("pivot"))
-    member = families.join(sizes, F.col("component") == F.col("family")).select(F.col("node").alias("m_node"), "family", "size", "pivot")
-    full = stored(sets.join(member, F.col("node") == F.col("m_node")).select("node", "members", "family", "size", "pivot"), "sets")
-    keys, zero, schema = ["family", "i", "j"], F.lit(0), "a bigint, b bigint"
-    columns = [*keys, "side", "node", "members"]
-    small = full.filter(F.col("size") <= BLOCK).withColumn("i", zero).withColumn("j", zero).withColumn("side", F.lit(2))
-    large = full.filter(F.col("size") > BLOCK).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    first = large.withColumn("i", _block(F.col("blocks"))).withColumn("j", F.lit(-1)).withColumn("side", F.lit(0))
-    pivot = large.filter("node = pivot").withColumn("i", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumn("j", F.lit(-1)).withColumn("side", F.lit(1))
-    rows = small.select(columns).unionByName(first.select(columns)).unionByName(pivot.select(columns))
-    links = stored(rows.groupBy(*keys).applyInPandas(_verify(percent), schema), "links")
+    member = families.join(sizes, F.col("component") == F.col("family")).select("node", F.col("digest").alias("of"), "family", "size", "pivot")
+    full = stored(sets.join(member, F.col("digest") == F.col("of")).select("node", "members", "family", "size", "pivot"), "sets")
+    schema, columns = "a bigint, b bigint", ["node", "members"]
+    small = full.filter(F.col("size") <= BLOCK).select(F.xxhash64("family", F.lit(0), F.lit(-1)).alias("block"), F.lit(2).alias("side"), *columns)
+    large = full.filter(F.col("size") > BLOCK)
+    rows = small.unionByName(dealt(large.filter("node != pivot"), large.filter("node = pivot"), ["family"], BLOCK, columns))
+    links = stored(rows.groupBy("block").applyInPandas(_verify(percent), schema), "links")
     # of a star around a pivot every member has the least one as its b; who is tied to the pivot's group is settled
     ends = links.select(F.col("a").alias("t")).unionByName(links.select(F.col("b").alias("t"))).distinct()
-    left_over = large.join(ends, F.col("node") == F.col("t"), "left_anti").filter("node != pivot").select("node", "members", "family", "blocks")
-    counts = left_over.groupBy("family").agg(F.max("family").alias("f"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("lefts")).select("f", "lefts")
-    lefts = left_over.join(counts, F.col("family") == F.col("f"))
-    lefts = lefts.withColumn("i", _block(F.col("lefts"))).withColumn("j", F.explode(F.sequence(zero, F.col("blocks") - 1))).withColumn("side", zero)
-    rights = large.join(counts, F.col("family") == F.col("f")).withColumn("j", _block(F.col("blocks"))).withColumn("i", F.explode(F.sequence(zero, F.col("lefts") - 1))).withColumn("side", F.lit(1))
-    rest = lefts.select(columns).unionByName(rights.select(columns)).groupBy(*keys).applyInPandas(_verify(percent), schema)
+    left_over = large.join(ends, F.col("node") == F.col("t"), "left_anti").filter("node != pivot")
+    rest = dealt(left_over, large, ["family"], BLOCK, columns).groupBy("block").applyInPandas(_verify(percent), schema)
     return links.unionByName(rest)
 
 
@@ -244,6 +327,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     wherever their texts are equal; where they differ, each row follows its own text. Equal sets are one class however
     often they occur. An empty table gives an empty result; further columns are ignored.
     """
+    return judged(docs, words, percent).drop("mark")
+
+
+def judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """near_duplicates and the mark of the row's text."""
     require(docs, "doc_id", "text")
     if not 0 < percent <= 100 or words < 1:
         raise ValueError("percent must be in 1..100 and words positive")
@@ -252,29 +340,33 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = rows.filter("digest is not null and doc_id is not null").groupBy("digest").agg(
         F.max("digest").alias("class"), F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
-    classes = stored(classes.drop("digest"), "classes")
+    # a class is a node; its number is written once, so it stays what it is
+    classes = stored(classes.drop("digest").withColumn("node", F.monotonically_increasing_id()), "classes")
     families = stored(connected_components(candidate_edges(classes, percent)), "families")
-    wanted = families.select(F.col("node").alias("w"))
-    sets = full_sets(docs.join(wanted, F.col("doc_id") == F.col("w"), "left_semi"), words)
-    comps = connected_components(verified_links(families, sets, percent))
-    about = classes.select("class", "rep").join(comps, F.col("rep") == F.col("node"), "left")
-    about = about.groupBy("class").agg(F.max("class").alias("k"), F.min(F.coalesce("component", "rep")).alias("component")).drop("class")
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    about = classes.select(F.col("node").alias("of"), "rep", F.col("class").alias("digest"))
+    wanted = stored(families.join(about, F.col("node") == F.col("of")).select("node", "component", "rep", "digest"), "wanted")
+    texts = docs.join(wanted.select(F.col("rep").alias("w")).distinct(), F.col("doc_id").cast("bigint") == F.col("w"), "left_semi")
+    sets = full_sets(texts, words).groupBy("digest").agg(F.first("members").alias("members"))  # repeated rows once
+    comps = connected_components(verified_links(wanted, sets, percent))
+    least = comps.join(classes.select(F.col("node").alias("of"), "rep"), F.col("node") == F.col("of")).groupBy("component").agg(F.max("component").alias("c"), F.min("rep").alias("least")).drop("component")
+    linked = comps.join(least, F.col("component") == F.col("c")).select(F.col("node").alias("of"), "least")
+    about = classes.select("class", "rep", "node").join(linked, F.col("node") == F.col("of"), "left")
+    about = about.groupBy("class").agg(F.max("class").alias("k"), F.min(F.coalesce("least", "rep")).alias("component")).drop("class")
+    out = rows.select("doc_id", "n_shingles", "mark", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
     out = out.join(about, F.col("digest") == F.col("k"), "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "mark")
 
 
 def keep_representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, with all their columns, that near_duplicates keeps: one of each group.
 
-    Of rows that repeat both id and text one stays; an id goes if none of its rows is kept. Rows with a null id link
-    with nothing, and stay. Texts meet only the ids that go, usually far fewer than those that stay.
+    Of rows that repeat both id and text one stays. Rows with a null id link with nothing, and stay. Texts meet only
+    the ids that go, usually far fewer than those that stay. Columns of any name pass unchanged.
     """
-    verdict = near_duplicates(docs, words, percent).filter("doc_id is not null").groupBy("doc_id").agg(F.count_if("kept").alias("n"))
-    verdict = verdict.filter("n <> 1").select(F.col("doc_id").cast("bigint").alias("k"), "n")
-    settled = stored(verdict, "not-once")
-    gone, more = settled.select("k"), settled.filter("n > 1").select("k")
-    key = F.col("doc_id").cast("bigint") == F.col("k")
-    repeated = docs.join(more, key, "left_semi").withColumn("__h", F.md5(F.coalesce(F.col("text"), F.lit("")))).dropDuplicates(["doc_id", "__h"]).drop("__h")
-    return docs.join(gone, key, "left_anti").unionByName(repeated)
+    verdict = judged(docs, words, percent).filter("doc_id is not null").groupBy("doc_id", "mark").agg(F.count_if("kept").alias("n"))
+    key, mark, n = fresh(docs, "key", "mark", "n")
+    settled = stored(verdict.filter("n <> 1").select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.col("n").alias(n)), "not-once")
+    same = (F.col("doc_id").cast("bigint") == F.col(key)) & (mark_of("text") == F.col(mark))
+    again = docs.join(settled.filter(F.col(n) > 1), same, "left_semi").withColumn(mark, mark_of("text")).dropDuplicates(["doc_id", mark]).drop(mark)
+    return docs.join(settled, same, "left_anti").unionByName(again)

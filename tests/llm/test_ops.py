@@ -367,11 +367,62 @@ def plain_set(text, k):
     return {tuple(ws[i : i + k]) for i in range(max(1, len(ws) - k + 1))} if ws else set()
 
 
+def test_minhash_recall_at_the_threshold(spark):
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(40_000)]
+    rows, pairs = [], set()
+    for i in range(1500):  # pairs of 40 to 300 words, of a similarity as little above the threshold as may be
+        a = [rng.choice(vocab) for _ in range(rng.randint(40, 300))]
+        b = list(a)
+        for _ in range(40):
+            at = rng.randrange(len(b))
+            c = [*b[:at], rng.choice(vocab), *b[at + 1 :]]
+            if 100 * len(plain_set(" ".join(a), 2) & plain_set(" ".join(c), 2)) < 80 * len(plain_set(" ".join(a), 2) | plain_set(" ".join(c), 2)):
+                break
+            b = c
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        pairs.add(2 * i)
+    out = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 2).collect()}
+    found = sum(out[i] == out[i + 1] == i for i in pairs)
+    assert found >= 0.999 * len(pairs)
+
+
+def test_minhash_bounds_are_quantiles():
+    for n in (1, 10, 51, 64, 128):
+        g = minhash_dedup.least_shared(n)
+        tail = lambda m, n=n: sum(math.comb(n, i) * 0.8**i * 0.2 ** (n - i) for i in range(m))
+        assert tail(g) <= minhash_dedup.MISS < tail(g + 1)
+    assert minhash_dedup.agreed(10) == 8 and minhash_dedup.agreed(51) == 41 and minhash_dedup.agreed(64) == minhash_dedup.least_shared(64)
+
+
+def test_minhash_common_passages_make_no_families(spark):
+    """Texts that share most of a sketch but are not alike, near copies among them: long lists, and the way past pivots."""
+    rng = random.Random(12)
+    common = [f"c{i}" for i in range(80)]
+    rows = [(i, " ".join(common + [f"u{i}x{j}" for j in range(90)])) for i in range(150)]
+    rows += [(1000 + i, " ".join(common + [f"u{i}x{j}" for j in range(87)])) for i in range(0, 150, 10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(df, 2).collect()}
+    assert got == {i: i % 1000 for i, _ in rows}
+    classes = minhash_dedup.sketches(df, 2).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch")
+    assert minhash_dedup.candidate_edges(classes).distinct().count() < 60
+
+
+def test_minhash_repeated_ids_and_clashing_columns(spark):
+    a, near, other = [" ".join(f"w{i}" for i in r) for r in (range(100), range(1, 100), range(200, 300))]
+    df = spark.createDataFrame([(0, near, 1, 2, 3), (1, a, 1, 2, 3), (1, other, 1, 2, 3), (1, other, 1, 2, 3)], "doc_id bigint, text string, k int, key int, __h int")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(df, 2).collect())
+    assert got == [(0, 98, 0, True), (1, 99, 0, False), (1, 99, 1, True), (1, 99, 1, True)]
+    kept = minhash_dedup.keep_representatives(df.withColumn("mark", F.lit(1)), 2)
+    assert kept.columns == [*df.columns, "mark"] and sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(0, near), (1, other)]
+
+
 @pytest.mark.parametrize(("k", "hot"), [(2, False), (5, False), (2, True)])
 def test_minhash(docs, rows, monkeypatch, k, hot):
     if hot:  # long lists and large families
         monkeypatch.setattr(minhash_dedup, "COLD", 3)
         monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+        monkeypatch.setattr(minhash_dedup, "SKETCH_BLOCK", 8)
     keyed = [r for r in rows if r[0] is not None]
     ids = sorted({r[0] for r in keyed})
     sets = {i: plain_set(t, k) for i, t, *_ in keyed}
