@@ -1,17 +1,18 @@
 """Language identification by a blended-spectrum string kernel.
 
 The kernel of two texts is the number of character n-grams (n = 1 to 3) that both hold, over the geometric mean of how
-many each holds. Characters are folded to a fixed alphabet: the letters most frequent in the landmarks, one class for
-any other letter, one for a run of all else. Landmarks are a bounded, hashed choice of learning texts; a document's
+many each holds. Letters are lower-cased, whatever their script, and a run of all else is one character; n-grams are
+hashed into a fixed number of codes for each n. Landmarks are a bounded, hashed choice of learning texts; a document's
 kernel row against them is one matrix product of presence vectors, normalised, and mapped through the inverse root of
 the landmarks' own kernel (Nystroem). One kernel ridge regression per language, one-versus-rest, gives the scores.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,66 +21,63 @@ from pyspark.sql import functions as F
 
 from .common import flag_texts, fold_of, hash_share, map_arrow, require
 
-#: Classes of the folded alphabet: 0 is a run of non-letters, 1 any other letter, 2.. the frequent letters.
-ALPHABET = 64
-SIZE = ALPHABET + ALPHABET**2 + ALPHABET**3
-#: Bounds of the fit: landmarks a language, learning rows a language, rows the sample may hold in all.
+#: Codes of 1-, 2- and 3-grams, as powers of two.
+BITS = (12, 14, 17)
+SIZE = sum(1 << b for b in BITS)
+#: Bounds of the fit: languages (the most frequent ones), landmarks and learning rows in all, and of each language at most.
+LANGUAGES = 2_000
+MARKS = 512
+SAMPLE = 8_000
 LANDMARKS = 24
 FIT_ROWS = 400
-MAX_LANGUAGES = 200
 RIDGE = 1e-2
-BLOCK = 512
+#: Entries of a block's presence matrix.
+BLOCK = 1 << 24
 UNKNOWN = "und"
 
 
-def fold_table(texts: list[str]) -> dict[str, int]:
-    """The frequent letters of ``texts``, lower-cased, in order of frequency and code."""
-    counts = Counter()
-    for t in texts:
-        counts.update(t.lower())
-    letters = sorted((c for c in counts if c.isalpha()), key=lambda c: (-counts[c], c))[: ALPHABET - 2]
-    return {c: i + 2 for i, c in enumerate(letters)}
+class Letters:
+    """Text to numbers: 0 for a run of non-letters, else the lower-cased letter's code point. LOW of them by a table."""
 
+    LOW = 0x600
 
-class Folder:
-    """Text to classes: code points up to 0x2FF by a table, others by a remembered look-up."""
-
-    LOW = 0x300
-
-    def __init__(self, table: dict[str, int]) -> None:
-        self.table = table
-        self.low = np.array([self._class(chr(i)) for i in range(self.LOW)], dtype=np.int32)
+    def __init__(self) -> None:
+        self.low = np.array([self._letter(i) for i in range(self.LOW)], dtype=np.uint32)
         self.high: dict[int, int] = {}
 
-    def _class(self, c: str) -> int:
-        low = c.lower()
-        return self.table.get(low, 1 if c.isalpha() else 0) if len(low) == 1 else int(c.isalpha())
+    @staticmethod
+    def _letter(point: int) -> int:
+        c = chr(point)
+        return ord(c.lower()[0]) if c.isalpha() else 0
 
-    def classes(self, text: str) -> np.ndarray:
+    def of(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        if points.size and points.max() >= self.LOW:
-            out = self.low[np.minimum(points, self.LOW - 1)]
-            for p in np.unique(points[points >= self.LOW]).tolist():
+        out = self.low[np.minimum(points, self.LOW - 1)]
+        far = np.flatnonzero(points >= self.LOW)
+        if far.size:
+            found, at = np.unique(points[far], return_inverse=True)
+            for p in found.tolist():
                 if p not in self.high:
-                    self.high[p] = self._class(chr(p))
-                out[points == p] = self.high[p]
-        else:
-            out = self.low[points]
+                    self.high[p] = self._letter(p)
+            out[far] = np.array([self.high[p] for p in found.tolist()], dtype=np.uint32)[at]
         gap = out == 0
         again = np.flatnonzero(gap[1:] & gap[:-1])
-        if again.size:
-            out = np.delete(out, again + 1)
-        return out
+        return np.delete(out, again + 1) if again.size else out
+
 
+_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
-def ngrams(classes: np.ndarray, seen: np.ndarray) -> np.ndarray:
+
+def ngrams(letters: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Codes of the distinct 1-, 2- and 3-grams, ascending. ``seen`` is an all-false work array of SIZE."""
-    if not classes.size:
+    if not letters.size:
         return np.empty(0, np.int64)
-    two = classes[:-1] * ALPHABET + classes[1:]
-    seen[classes] = True
-    seen[two + ALPHABET] = True
-    seen[two[:-1] * ALPHABET + classes[2:] + (ALPHABET + ALPHABET**2)] = True
+    key, base = letters.astype(np.uint64), 0
+    for n, bits in enumerate(BITS):
+        if n:
+            key = (key[:-1] << np.uint64(21)) | letters[n:]  # a code point has 21 bits, so three of them fit
+        seen[(key * _ODD[n] >> np.uint64(64 - bits)) + np.uint64(base)] = True
+        base += 1 << bits
     found = np.flatnonzero(seen)
     seen[found] = False
     return found
@@ -90,53 +88,64 @@ class LanguageModel:
     """``column``: n-gram code to column of the landmarks' presence matrix, or -1."""
 
     labels: list[str]
-    table: dict[str, int]
     column: np.ndarray
     presence: np.ndarray
     sizes: np.ndarray
     weights: np.ndarray
 
+    def rows(self) -> int:
+        """Texts of a block."""
+        return max(16, BLOCK // max(1, self.presence.shape[1]))
+
     def kernel(self, grams: list[np.ndarray]) -> np.ndarray:
         """Normalised kernel rows against all landmarks: one matrix product a block."""
-        rows = np.zeros((len(grams), self.presence.shape[1]), dtype=np.float32)
-        for i, g in enumerate(grams):
-            c = self.column[g]
-            rows[i, c[c >= 0]] = 1.0
-        common = rows @ self.presence.T
-        n = np.array([max(1, len(g)) for g in grams], dtype=np.float64)
-        return common / np.sqrt(n[:, None] * self.sizes[None, :])
+        parts = []
+        for lo in range(0, len(grams), self.rows()):
+            some = grams[lo : lo + self.rows()]
+            rows = np.zeros((len(some), self.presence.shape[1]), dtype=np.float32)
+            for i, g in enumerate(some):
+                c = self.column[g]
+                rows[i, c[c >= 0]] = 1.0
+            n = np.array([max(1, len(g)) for g in some], dtype=np.float64)
+            parts.append((rows @ self.presence.T) / np.sqrt(n[:, None] * self.sizes[None, :]))
+        return np.concatenate(parts)
 
     def scores(self, grams: list[np.ndarray]) -> np.ndarray:
-        """Pseudo-probabilities of the languages: the regressions' values, sharpened and normalised."""
+        """Pseudo-probabilities of the languages: the regressions' values, sharpened (more so among many) and normalised."""
         k = self.kernel(grams)
         value = np.hstack([k, np.ones((len(k), 1))]) @ self.weights
-        value = np.exp((value - value.max(1, keepdims=True)) * 4.0)
+        value = np.exp((value - value.max(1, keepdims=True)) * (4.0 + math.log(max(4, len(self.labels)) / 4)))
         return value / value.sum(1, keepdims=True)
 
 
-def fit_language(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """Fits on rows in the given order: the first ``landmarks`` of each language are landmarks, all are regressed on."""
+def fit_language(grams: list[np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
+    """Fits on rows' n-grams in the given order: the first ``landmarks`` of each language are landmarks (fewer if there
+    are MARKS of them in all), all are regressed on."""
     labels = sorted(set(langs))
-    order = {lang: [i for i, x in enumerate(langs) if x == lang] for lang in labels}
-    marks = [i for lang in labels for i in order[lang][:landmarks]]
-    table = fold_table([texts[i] for i in marks])
-    folder, seen = Folder(table), np.zeros(SIZE, dtype=bool)
-    grams = [ngrams(folder.classes(t), seen) for t in texts]
-    used = np.unique(np.concatenate([grams[i] for i in marks])) if marks else np.empty(0, np.int64)
+    order: dict[str, list[int]] = {lang: [] for lang in labels}
+    for i, x in enumerate(langs):
+        order[x].append(i)
+    each = max(1, min(landmarks, MARKS // len(labels)))
+    often = sorted(labels, key=lambda x: (-len(order[x]), x))[:MARKS]
+    marks = [i for lang in sorted(often) for i in order[lang][:each]]
+    used = np.unique(np.concatenate([grams[i] for i in marks]))
     column = np.full(SIZE, -1, dtype=np.int32)
     column[used] = np.arange(len(used))
     presence = np.zeros((len(marks), len(used)), dtype=np.float32)
     for row, i in enumerate(marks):
         presence[row, column[grams[i]]] = 1.0
     sizes = np.array([max(1, len(grams[i])) for i in marks], dtype=np.float64)
-    model = LanguageModel(labels, table, column, presence, sizes, np.zeros((len(marks) + 1, len(labels))))
+    model = LanguageModel(labels, column, presence, sizes, np.zeros((len(marks) + 1, len(labels))))
     among = model.kernel([grams[i] for i in marks])
     value, vector = np.linalg.eigh((among + among.T) / 2)
     keep = value > 1e-6 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])  # Nystroem: features are kernel rows times this
     feats = model.kernel(grams) @ root
-    target = np.array([[1.0 if x == lang else -1.0 for lang in labels] for x in langs])
-    share = np.array([1.0 / max(1, len(order[x])) for x in langs])[:, None] * len(langs) / len(labels)
+    number = {x: i for i, x in enumerate(labels)}
+    at = np.array([number[x] for x in langs])
+    target = np.full((len(langs), len(labels)), -1.0)
+    target[np.arange(len(langs)), at] = 1.0
+    share = (1.0 / np.bincount(at))[at][:, None] * len(langs) / len(labels)
     mean, goal = (feats * share).sum(0) / share.sum(), (target * share).sum(0) / share.sum()
     centred = feats - mean
     beta = np.linalg.solve((centred * share).T @ centred + ridge * len(langs) * np.eye(centred.shape[1]), (centred * share).T @ (target - goal))
@@ -147,33 +156,34 @@ def fit_language(texts: list[str], langs: list[str], landmarks: int = LANDMARKS,
 def learn(docs: DataFrame, landmarks: int = LANDMARKS, fit_rows: int = FIT_ROWS) -> LanguageModel | None:
     """Learns from rows with text and lang whose crc32(doc_id) mod 3 is not 1; None if there are none.
 
-    A bounded sample is enough: of every language the FIT_ROWS rows with the smallest hash of their id, found by an
-    aggregation with partial results (no window, no sort). More than MAX_LANGUAGES languages are refused, as the
-    sample would not be bounded.
+    A bounded sample is enough: of every language the distinct rows with the smallest hashes, FIT_ROWS at most, and
+    fewer where there are so many languages that SAMPLE rows would not do. Of more than LANGUAGES languages the most
+    frequent ones are learnt. Only n-gram codes come to the driver, at most SIZE of a row, however long its text.
     """
     known = docs.filter("doc_id is not null and text is not null and lang is not null").filter(F.coalesce(fold_of(F.col("doc_id"), 3) != 1, F.lit(True)))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    known = known.select("lang", "text", hash_share("doc_id", "text").alias("u"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("u").alias("d")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not counts:
         return None
-    keyed = known.select("doc_id", "lang", hash_share("doc_id").alias("u"))
-    sizes = {r["lang"]: r["n"] for r in counts}
+    each = max(4, min(fit_rows, SAMPLE // len(counts)))
     # rows are even in u, so twice the expected share surely holds enough of them; the rest is cut on the driver
-    share = {lang: min(1.0, (2 * fit_rows + 200) / n) for lang, n in sizes.items()}
-    limit = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
-    ids = keyed.filter(F.col("u") < limit[F.col("lang")]).select("doc_id", "lang", "u").collect()
-    chosen: dict[str, list[tuple[float, int]]] = {}
-    for r in ids:
-        chosen.setdefault(r["lang"], []).append((r["u"], r["doc_id"]))
-    wanted = [(lang, u, i) for lang in sorted(chosen) for u, i in sorted(set(chosen[lang]))[:fit_rows]]
-    cut = {lang: max(u for x, u, _ in wanted if x == lang) for lang in chosen}
-    most = F.create_map(*[F.lit(x) for kv in cut.items() for x in kv])
-    u = hash_share("doc_id")
-    rows = known.filter(u <= most[F.col("lang")]).select("doc_id", "lang", "text", u.alias("u")).collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], r["u"], r["doc_id"], r["text"]))
-    rows = [r for r in rows if any(c.isalpha() for c in r["text"])]
-    return fit_language([r["text"] for r in rows], [r["lang"] for r in rows], landmarks) if rows else None
+    cuts = [(r["lang"], min(1.0, (2 * each + 200) / max(1, r["d"]))) for r in counts]
+    below = lambda cuts: known.join(F.broadcast(docs.sparkSession.createDataFrame(cuts, "l string, cut double")), F.col("lang") == F.col("l")).filter("u <= cut")
+    chosen: dict[str, list[float]] = {}
+    for r in below(cuts).select("lang", "u").distinct().collect():
+        chosen.setdefault(r["lang"], []).append(r["u"])
+    cuts = [(lang, sorted(us)[:each][-1]) for lang, us in sorted(chosen.items())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, seen = Letters(), np.zeros(SIZE, dtype=bool)
+        for batch in batches:
+            of = [letters.of(t) for t in batch.column("text").to_pylist()]
+            grams = pa.array([ngrams(x, seen).astype(np.int32) if x.any() else None for x in of], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("u"), grams], ["lang", "u", "grams"])
+
+    rows = map_arrow(below(cuts).select("lang", "u", "text").dropDuplicates(["lang", "u"]), run, "lang string, u double, grams array<int>")
+    rows = rows.filter("grams is not null").toPandas().sort_values(["lang", "u"])
+    return fit_language([np.asarray(g) for g in rows["grams"]], rows["lang"].tolist(), landmarks) if len(rows) else None
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
@@ -194,16 +204,16 @@ def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
 
 
 def predict(model: LanguageModel | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """Language and score of each text, BLOCK texts a matrix product."""
+    """Language and score of each text, a block of texts a matrix product."""
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
     if model is None:
         return langs, scores
-    seen, folder = np.zeros(SIZE, dtype=bool), Folder(model.table)
-    for lo in range(0, len(texts), BLOCK):
+    seen, letters, block = np.zeros(SIZE, dtype=bool), _letters(), model.rows()
+    for lo in range(0, len(texts), block):
         at, grams = [], []
-        for i in range(lo, min(lo + BLOCK, len(texts))):
+        for i in range(lo, min(lo + block, len(texts))):
             if texts[i]:
-                c = folder.classes(texts[i])
+                c = letters.of(texts[i])
                 if c.any():
                     at.append(i)
                     grams.append(ngrams(c, seen))
@@ -214,6 +224,11 @@ def predict(model: LanguageModel | None, texts: list[str | None]) -> tuple[list[
     return langs, scores
 
 
+@cache
+def _letters() -> Letters:
+    return Letters()
+
+
 def keep_identified(docs: DataFrame, least: float) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose language is identified with at least that score.
 

@@ -247,6 +247,31 @@ def test_quality_box_is_of_all_rows(spark, monkeypatch):
     assert np.array_equal(quality._box(stats), [every.min(0), every.max(0)])
 
 
+def test_quality_scores_are_path_lengths(spark):
+    """Scores and verdicts of the query's forest against a walk down every tree, and its leaves against the rows in them."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["plain", "words", "of", "a", "text", "#*!" if i % 5 == 0 else "end"]) + str(rng.randrange(900)) for _ in range(40))) for i in range(200)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(0, 200, 2)], "doc_id bigint, quality int")
+    stats = quality.rule_stats(docs)
+    model = quality.fit_quality(stats, labels)
+    c = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n
+    rows = stats.toPandas()
+    x = quality.features(rows)
+    want = []
+    for row in x:
+        total = 0.0
+        for feature, split, left, path in model.forest.forest:
+            at, depth = 0, 0
+            while feature[at] >= 0:
+                at, depth = left[at] + int(row[feature[at]] >= split[at]), depth + 1
+            assert any(math.isclose(path[at], depth + c(n)) for n in range(model.forest.rows + 1))
+            total += path[at]
+        want.append(2 ** (-total / len(model.forest.forest) / c(min(model.forest.rows, 80))))
+    got = {r["doc_id"]: r for r in quality.quality_rules(docs, labels).collect()}
+    for i, w in zip(rows["doc_id"], want, strict=True):
+        assert math.isclose(got[i]["score"], w, rel_tol=1e-9) and got[i]["kept"] == (not got[i]["base_failed"] and w <= model.threshold)
+
+
 def test_quality_without_labels_or_rows(spark, docs, none):
     labels = spark.createDataFrame([(None, None, None)], "doc_id bigint, quality int, toxic int")
     out = quality.quality_rules(docs, labels)
@@ -257,19 +282,68 @@ def test_quality_without_labels_or_rows(spark, docs, none):
 # 3 ------------------------------------------------------------------------------------------------------------------
 
 
-def test_language_kernel_is_set_overlap():
-    texts = ["abc abd", "bcd bcd!!", "zzz ça", "abc"]
-    model = language_id.fit_language(texts, ["x", "y", "z", "x"], landmarks=4)
-    folder, seen = language_id.Folder(model.table), np.zeros(language_id.SIZE, bool)
-
-    def grams(t):
-        c = [int(x) for x in folder.classes(t)]
-        return {tuple(c[i : i + n]) for n in (1, 2, 3) for i in range(len(c) - n + 1)}
-
-    marks = [t for lab in model.labels for t, x in zip(texts, ["x", "y", "z", "x"], strict=True) if x == lab]
-    got = model.kernel([language_id.ngrams(folder.classes(t), seen) for t in ["abd ça!", "qq"]])
-    want = [[len(grams(t) & grams(m)) / math.sqrt(len(grams(t)) * len(grams(m))) for m in marks] for t in ["abd ça!", "qq"]]
-    assert np.allclose(got, want, atol=1e-6) and not seen.any()
+def test_language_regression_is_nystroem_kernel_ridge():
+    """Kernel, landmarks' root and one-versus-rest regression against sets and plain normal equations."""
+    texts = ["abc abd", "bcd bcd!!", "zzz ça", "abc", "zza z", "ab bd", "cdb"]
+    langs = ["x", "y", "z", "x", "z", "x", "y"]
+    letters, seen = language_id.Letters(), np.zeros(language_id.SIZE, bool)
+    grams = [language_id.ngrams(letters.of(t), seen) for t in texts]
+    model = language_id.fit_language(grams, langs, landmarks=1)
+    assert not seen.any()
+
+    def plain(t):
+        c = re.sub(r"[^a-zç]+", " ", t)
+        return {c[i : i + n] for n in (1, 2, 3) for i in range(len(c) - n + 1)}
+
+    k = lambda a, b: len(plain(a) & plain(b)) / math.sqrt(len(plain(a)) * len(plain(b)))
+    marks = ["abc abd", "bcd bcd!!", "zzz ça"]
+    new = ["abd ça!", "qq", "zz abc"]
+    got = model.kernel([language_id.ngrams(letters.of(t), seen) for t in new])
+    assert np.allclose(got, [[k(t, m) for m in marks] for t in new], atol=1e-6)
+    value, vector = np.linalg.eigh([[k(a, b) for b in marks] for a in marks])
+    feats = lambda ts: np.array([[k(t, m) for m in marks] for t in ts]) @ vector / np.sqrt(value)
+    weight = np.array([1 / langs.count(x) for x in langs]) * len(langs) / 3
+    x = feats(texts)
+    mean = weight @ x / weight.sum()
+    for j, lang in enumerate("xyz"):
+        y = np.array([1.0 if z == lang else -1.0 for z in langs])
+        goal = weight @ y / weight.sum()
+        beta = np.linalg.solve(sum(w * np.outer(v - mean, v - mean) for w, v in zip(weight, x, strict=True)) + language_id.RIDGE * len(langs) * np.eye(3), sum(w * (v - mean) * (t - goal) for w, v, t in zip(weight, x, y, strict=True)))
+        want = (feats(new) - mean) @ beta + goal
+        assert np.allclose(np.hstack([got, np.ones((3, 1))]) @ model.weights[:, j], want, atol=1e-5)
+
+
+def held_out_accuracy(spark, rows):
+    out = language_id.identify_languages(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3))
+    truth = {i: lang for i, _, lang in rows}
+    held = [(r["lang_pred"], truth[r["doc_id"]]) for r in out.filter("held_out").collect()]
+    by = Counter(lang for _, lang in held)
+    return {lang: sum(a == b for a, b in held if b == lang) / n for lang, n in by.items()}
+
+
+def test_language_many_scripts(spark):
+    rng = random.Random(19)
+    scripts = {name: [chr(c) for c in range(lo, lo + n) if chr(c).isalpha()] for name, lo, n in [("th", 0xE01, 46), ("hy", 0x561, 38), ("hi", 0x904, 54), ("ru", 0x430, 32), ("el", 0x3B1, 25), ("ko", 0xAC00, 400), ("zh", 0x4E00, 900), ("en", 0x61, 26)]}
+    rows = [(i, " ".join("".join(rng.choice(scripts[x]) for _ in range(rng.randint(2, 7))) for _ in range(25)), x) for i in range(1200) for x in [rng.choice(list(scripts))]]
+    assert min(held_out_accuracy(spark, rows).values()) >= 0.95
+
+
+def test_language_more_than_two_hundred(spark):
+    rng = random.Random(20)
+    words = {f"l{j:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 7))) for _ in range(25)] for j in range(210)}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(60)), x) for i in range(6300) for x in [f"l{i % 210:03d}"]]
+    got = held_out_accuracy(spark, rows)
+    assert len(got) == 210 and np.mean(list(got.values())) >= 0.95
+
+
+def test_language_sample_is_bounded_by_distinct_rows(spark):
+    rng = random.Random(21)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(20))
+    rows = [(5, "abc " * 40, "aa")] * 3000 + [(10 + i, text("abcdefg"), "aa") for i in range(60)] + [(900 + i, text("hijklmn"), "bb") for i in range(60)]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), fit_rows=30)
+    assert model.labels == ["aa", "bb"]
+    langs, _ = language_id.predict(model, [text("abcdefg"), text("hijklmn")])
+    assert langs == ["aa", "bb"]
 
 
 def test_language_accuracy_and_edges(spark):
@@ -604,6 +678,16 @@ def test_mixing_edges(none, docs):
         mixing.mix_sources(docs, {"s0": -1.0})
 
 
+def test_clashing_names_pass(spark):
+    doc = spark.createDataFrame([(i, f"text {i}", f"s{i % 2}", 1, 2, 3, 4, 5) for i in range(40)], "doc_id bigint, text string, source string, cdf int, __source int, u int, key int, whole int")
+    out = mixing.mix_sources(doc)
+    assert out.columns == [*doc.columns, "rate", "n_copies", "copy"] and {tuple(r)[3:8] for r in out.collect()} == {(1, 2, 3, 4, 5)}
+    page = spark.createDataFrame([(1, "http://x.net/a", 7, 8, 9, "h")], "page_id bigint, url string, __url int, by int, text int, path string")
+    got = url_filter.filter_urls(page)
+    assert got.columns == ["page_id", "url", "__url", "by", "text", "host", "path", "rule", "n_strict", "n_soft", "verdict"]
+    assert tuple(got.first()) == (1, "http://x.net/a", 7, 8, 9, "x.net", "/a", "net/", 0, 0, "block")
+
+
 def test_mixing_many_sources(docs, monkeypatch):
     want = sorted(mixing.mix_sources(docs).select("doc_id", "copy").collect(), key=str)
     monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
