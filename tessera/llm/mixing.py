@@ -14,7 +14,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import require
+from .common import fresh, require
 
 SEED = 20_240_229
 #: Without given targets a source weighs its rows to this power: large sources are thinned, small ones repeated.
@@ -68,7 +68,7 @@ def mix_sources(
 
     Documents whose number of copies is 0 go: that is the sampling asked for. Rows with a null id draw by their text's
     hash; rows that share an id draw alike. A null source is a source. An empty table gives an empty result. Added
-    columns replace columns of the same name.
+    columns replace columns of the same name (rate, n_copies, copy); columns of any other name pass unchanged.
 
     The counts need one aggregation with partial sums; rates are joined by broadcast where there are at most
     BROADCAST_SOURCES sources, else by a shuffle that adaptive execution splits where one source is hot. The only
@@ -80,19 +80,19 @@ def mix_sources(
     docs = docs.select(*names)
     table = rates(docs.select("source"), weights, size)
     few = table.select("source").limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    side = table.select(F.col("source").alias("__source"), "rate", F.col("whole").alias("__whole"), "cdf")
+    of, whole, cdf, ident, u, key = fresh(docs, "of", "whole", "cdf", "ident", "u", "key")
+    side = table.select(F.col("source").alias(of), "rate", F.col("whole").alias(whole), F.col("cdf").alias(cdf))
     side = F.broadcast(side) if few else side
     text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))) if "text" in names else F.lit("")
-    ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null-"), text))
     seeded = F.lit(str(seed))
     drawn = (
-        docs.withColumn("__ident", ident)
-        .withColumn("__u", hashed(seeded, F.col("__ident")))
-        .join(side, F.col("source").eqNullSafe(F.col("__source")))
-        .withColumn("n_copies", F.col("__whole") + F.size(F.filter("cdf", lambda c: F.col("__u") >= c)).cast("bigint"))
+        docs.withColumn(ident, F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null-"), text)))
+        .withColumn(u, hashed(seeded, F.col(ident)))
+        .join(side, F.col("source").eqNullSafe(F.col(of)))
+        .withColumn("n_copies", F.col(whole) + F.size(F.filter(cdf, lambda c: F.col(u) >= c)).cast("bigint"))
         .filter("n_copies > 0")
     )
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n_copies"))))
-    copies = copies.withColumn("__key", F.md5(F.concat_ws(":", seeded, F.col("__ident"), F.col("copy").cast("string"), F.lit("order"))))
+    copies = copies.withColumn(key, F.md5(F.concat_ws(":", seeded, F.col(ident), F.col("copy").cast("string"), F.lit("order"))))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return copies.repartition(n, "__key").sortWithinPartitions("__key").select(*names, "rate", "n_copies", "copy")
+    return copies.repartition(n, key).sortWithinPartitions(key).select(*names, "rate", "n_copies", "copy")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, require
+from .common import ascii_lower, fresh, require
 
 
 @dataclass(frozen=True)
@@ -85,12 +85,13 @@ def filter_urls(
     Narrow: rules are a bounded parameter, compiled into expressions; the automaton is built once a task.
     A null url, or one without ``://``, has empty host and path; no rule fits it and no term hits a null, so it is
     allowed unless its characters hold listed terms. Repeated rows are judged alike; an empty table gives an empty
-    result; columns of the input that have one of the added names are replaced.
+    result; columns of the input that have one of the added names are replaced, all others pass unchanged.
     """
     require(pages, url)
     spark_cols = [c for c in pages.columns if c not in ("host", "path", "rule", "n_strict", "n_soft", "verdict")]
-    base = pages.select(*spark_cols).withColumn("__url", F.col(url))
-    host, path = split_url(F.col("__url"))
+    text, by, terms = fresh(pages, "text", "by", "terms")
+    base = pages.select(F.col(url).alias(text), *spark_cols)
+    host, path = split_url(F.col(text))
     base = base.withColumn("host", host).withColumn("path", path)
     ordered = sorted(rules, key=lambda r: (-len(r.pattern), r.pattern))
     if len(ordered) > 10_000:
@@ -109,10 +110,7 @@ def filter_urls(
             found = [term_hits(a, u) if u else (0, 0) for u in urls]
             yield pd.DataFrame(found, columns=["n_strict", "n_soft"])
 
-    base = base.withColumn("rule", rule).withColumn("__by", by_rule)
-    base = base.withColumn("__hits", hits(ascii_lower(F.col("__url"))))
-    own = F.when((F.col("__hits.n_strict") >= 1) | (F.col("__hits.n_soft") >= soft_limit), F.lit("block")).otherwise(F.lit("allow"))
-    return base.select(
-        *spark_cols, "host", "path", "rule", F.col("__hits.n_strict").alias("n_strict"), F.col("__hits.n_soft").alias("n_soft"),
-        F.coalesce(F.col("__by"), own).alias("verdict"),
-    )
+    base = base.withColumn("rule", rule).withColumn(by, by_rule).withColumn(terms, hits(ascii_lower(F.col(text))))
+    n_strict, n_soft = F.col(terms)["n_strict"], F.col(terms)["n_soft"]
+    own = F.when((n_strict >= 1) | (n_soft >= soft_limit), F.lit("block")).otherwise(F.lit("allow"))
+    return base.select(*spark_cols, "host", "path", "rule", n_strict.alias("n_strict"), n_soft.alias("n_soft"), F.coalesce(F.col(by), own).alias("verdict"))
