@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +54,17 @@ def homes_and_visits(unit: np.ndarray, centroids: np.ndarray, threshold: float)
 
 def usable(values: pa.Array) -> np.ndarray:
     """Rows of an array column that are vectors: not null, no null or non-finite component, not all zero."""
-    rows = values.to_pylist()
-    return np.array([v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v) for v in rows], dtype=bool)
+    flat, starts, size = _flat(values)
+    row = np.repeat(np.arange(len(size)), size)
+    bad = np.bincount(row, weights=~np.isfinite(flat), minlength=len(size))
+    return (bad == 0) & (np.bincount(row, weights=flat != 0, minlength=len(size)) > 0)
+
+
+def _flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All components as doubles (null: not a number), and where each row's begin and how many they are (null: none)."""
+    flat = values.flatten().cast(pa.float64())
+    size = pc.fill_null(pc.list_value_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return flat.to_numpy(zero_copy_only=False), np.cumsum(size) - size, size
 
 
 def _prepared(vectors: DataFrame) -> DataFrame:
@@ -63,11 +73,12 @@ def _prepared(vectors: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column("embedding")
-            ok = usable(col) & np.array(batch.column("label").is_valid())
-            rows = [np.array(v, dtype="<f8").tobytes() if good else None for v, good in zip(col.to_pylist(), ok, strict=True)]
-            dims = [len(r) // 8 if r is not None else None for r in rows]
+            ok = usable(col) & batch.column("label").is_valid().to_numpy(zero_copy_only=False)
+            flat, starts, size = _flat(col)
+            data = flat.astype("<f8").tobytes()
+            rows = [data[8 * a : 8 * (a + n)] if good else None for a, n, good in zip(starts.tolist(), size.tolist(), ok.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("vec_id"), batch.column("label"), pa.array(dims, pa.int32()), pa.array(rows, pa.binary())], ["vec_id", "label", "dim", "vec"]
+                [batch.column("vec_id"), batch.column("label"), pa.array(size, pa.int32(), mask=~ok), pa.array(rows, pa.binary())], ["vec_id", "label", "dim", "vec"]
             )
 
     return vectors.select(F.col("vec_id").cast("bigint"), F.col("label").cast("bigint"), "embedding").mapInArrow(run, "vec_id bigint, label bigint, dim int, vec binary")

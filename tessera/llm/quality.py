@@ -208,10 +208,11 @@ def _scored(stats: DataFrame, forest: IsolationForest) -> DataFrame:
 
 
 def _sample(rows: DataFrame) -> pd.DataFrame:
-    """About FIT_ROWS rows by the hash of their id, in its order."""
-    u = hash_share("doc_id")
+    """About FIT_ROWS rows by their hash, in its order; of equal rows one."""
+    u = hash_share("doc_id", *STAT_COLUMNS)
     n = max(1, rows.count())
-    return rows.filter(u <= FIT_ROWS / n).select(u.alias("u"), *STAT_COLUMNS).toPandas().sort_values(["u", *STAT_COLUMNS]).drop(columns="u")
+    some = rows.select(u.alias("u"), *STAT_COLUMNS).filter(F.col("u") <= FIT_ROWS / n).dropDuplicates(["u"])
+    return some.toPandas().sort_values(["u", *STAT_COLUMNS]).drop(columns="u")
 
 
 def _box(stats: DataFrame) -> np.ndarray:
@@ -230,15 +231,16 @@ def _box(stats: DataFrame) -> np.ndarray:
 
 
 def fit_quality(stats: DataFrame, labels: DataFrame) -> QualityModel:
-    """Forest from about FIT_ROWS clean rows (those with the smallest hash of their id) in the box of all rows that have
+    """Forest from about FIT_ROWS distinct clean rows (those with the smallest hashes) in the box of all rows that have
     MIN_WORDS words; threshold from all labelled ones.
 
     Rows with quality 1 are clean, with 0 not; an id that is labelled both ways counts as not clean. The threshold
     is the score with the best balance of kept clean and rejected other rows among those that lose at most CLEAN_LOSS
     of the clean rows; it is read off a histogram of BINS bins, whatever the number of labels.
     """
-    kind = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    known = with_base(stats).join(kind, "doc_id").filter(~F.col("base_failed"))
+    # its key is an aggregate, so that the join gets exchanges of its own, in which an id of very many rows is split
+    kind = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("doc_id").alias("of"), F.min("quality").alias("quality")).drop("doc_id")
+    known = with_base(stats).join(kind, F.col("doc_id") == F.col("of")).drop("of").filter(~F.col("base_failed"))
     known = stored(known, "known")  # counts only
     clean = _sample(known.filter("quality = 1"))
     if len(clean) < 2:
