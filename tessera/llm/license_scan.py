@@ -1,22 +1,25 @@
 """Licence scans by a positional rare-token index.
 
-Templates and key phrases are word sequences. The index holds, for every template word of high inverse document
-frequency (over the templates), its postings (template, position). A file looks up its own rare licence words; each
-occurrence at word p that a posting places at q of a template proposes that the template starts at p - q. Proposals
-that enough rare words agree on are intersected with the template by relative position, and count only if the
-template's mandatory phrases stand, word for word, where the alignment puts them.
+Templates are licence texts, notices and phrases, as word sequences. The index holds postings (template, position) of each
+template's words of highest inverse document frequency, counted over the whole corpus. A file looks up its own rare licence
+words: an occurrence at word p that a posting places at q proposes that the template starts at p - q. Where enough
+different rare words propose starts within a window (words may be missing or put in), the region is intersected with the
+template in order, and counts if enough of it is there and its mandatory phrases stand word for word.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from . import license_texts
 from .common import byte_texts, map_arrow, require
 
 #: Bytes that separate words (all ASCII but digits and letters) become spaces, A-Z become a-z.
@@ -40,56 +43,40 @@ class Template:
     phrase: bool = False
 
 
-#: The base phrases and their labels.
-PHRASES = (
-    Template("mit", "under the mit license", phrase=True),
-    Template("apache-2", "apache license version 2", phrase=True),
-    Template("cc-by-nc", "cc by nc", phrase=True),
-)
-#: Openings of widely used notices.
-NOTICES = (
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ("free of charge to any person obtaining a copy",)),
-    Template("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", ("you may not use this file except in compliance with the license",)),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license",)),
-    Template("gpl", "released under the gnu general public license", ("gnu general public license",)),
-    Template("lgpl", "under the terms of the gnu lesser general public license", ("gnu lesser general public license",)),
-    Template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
-    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0 international",)),
-    Template("cc-by-sa", "licensed under a creative commons attribution sharealike license", ("creative commons attribution sharealike",)),
-    Template("cc-by-nc", "licensed under a creative commons attribution noncommercial license", ("creative commons attribution noncommercial",)),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
-    Template("proprietary", "all rights reserved", phrase=True),
-)
+PHRASES = tuple(Template(label, text, phrase=True) for label, text in license_texts.PHRASES)
+NOTICES = tuple(Template(label, text, mandatory) for label, text, mandatory in license_texts.TEXTS)
+#: Rare words of a template that are looked up; different ones that must agree on a start; how far the starts may lie
+#: apart, in words and as a share of the template; the share of a template that must be there.
+RARE_WORDS = 12
+AGREE = 4
+SLACK_WORDS, SLACK_SHARE = 6, 0.15
+LEAST = 0.7
 
 
 @dataclass
 class RareIndex:
-    """Postings of the rare words of templates; small and bounded by the templates."""
+    """Postings of the rare words of templates; small and bounded by the templates. ``idf``: of their words, in the corpus."""
 
     templates: Sequence[Template]
-    max_share: float = 0.34
-    agree: int = 3
-    least: float = 0.6
+    idf: Mapping[bytes, float] = field(default_factory=dict)
     postings: dict[bytes, list[tuple[int, int]]] = field(init=False)
 
     def __post_init__(self) -> None:
         self.seqs = [words_of(t.text.encode()) for t in self.templates]
         self.key = [[words_of(m.encode()) for m in t.mandatory] for t in self.templates]
-        n = len(self.seqs)
-        df = Counter(w for s in self.seqs for w in set(s))
-        self.idf = {w: math.log((n + 1) / c) for w, c in df.items()}
+        self.places: list[dict[bytes, list[int]]] = []
+        self.need: list[int] = []
         self.postings = defaultdict(list)
         for t, seq in enumerate(self.seqs):
-            # the rarest words of a template; for a phrase one word is enough, as all of it is verified
-            ranked = sorted(range(len(seq)), key=lambda q: (-self.idf[seq[q]], -len(seq[q]), q))
-            if self.templates[t].phrase:
-                picks = ranked[:1]
-            else:
-                picks = [q for q in ranked if df[seq[q]] <= max(1, self.max_share * n)][: max(8, self.agree)]
-            for q in picks:
-                self.postings[seq[q]].append((t, q))
+            places: dict[bytes, list[int]] = defaultdict(list)
+            for q, w in enumerate(seq):
+                places[w].append(q)
+            self.places.append(dict(places))
+            ranked = sorted(places, key=lambda w: (-self.idf.get(w, 0.0), -len(w), places[w][0]))
+            rare = ranked[: 1 if self.templates[t].phrase else RARE_WORDS]  # of a phrase all is verified
+            self.need.append(min(AGREE, len(rare)))
+            for w in rare:
+                self.postings[w] += [(t, q) for q in places[w]]
         self.postings = dict(self.postings)
         self.rare = frozenset(self.postings)
 
@@ -97,32 +84,94 @@ class RareIndex:
         """(label, is a phrase, start, words, share of template words in place), in order of start."""
         if not self.rare.intersection(words):
             return []
-        votes: Counter[tuple[int, int]] = Counter()
+        found: dict[int, list[tuple[int, int, bytes]]] = defaultdict(list)
         for p, w in enumerate(words):
             if w in self.rare:
                 for t, q in self.postings[w]:
-                    votes[t, p - q] += 1
+                    found[t].append((p - q, p, w))
         out = []
-        for (t, start), n in votes.items():
+        for t, proposals in found.items():
             tpl, seq = self.templates[t], self.seqs[t]
             if tpl.phrase:
-                if start >= 0 and words[start : start + len(seq)] == seq:
-                    out.append((tpl.label, True, start, len(seq), 1.0))
-                continue
-            if n < min(self.agree, sum(1 for v in self.postings.values() for x in v if x[0] == t)):
-                continue
-            lo, hi = max(0, start), min(len(words), start + len(seq))
-            share = sum(words[i] == seq[i - start] for i in range(lo, hi)) / len(seq)
-            if share >= self.least and all(_stands(k, words, lo, hi) for k in self.key[t]):
-                out.append((tpl.label, False, lo, hi - lo, share))
+                out += [(tpl.label, True, d, len(seq), 1.0) for d in sorted({d for d, _, _ in proposals}) if d >= 0 and words[d : d + len(seq)] == seq]
+            elif len({w for _, _, w in proposals}) >= self.need[t]:
+                out += self._aligned(t, sorted(proposals), words)
         return sorted(out, key=lambda x: (x[2], x[0], x[1]))
 
+    def _aligned(self, t: int, proposals: list[tuple[int, int, bytes]], words: list[bytes]) -> Iterator[tuple[str, bool, int, int, float]]:
+        """Places of a template where proposals agree; of those that overlap the fullest one."""
+        seq, slack = self.seqs[t], SLACK_WORDS + int(SLACK_SHARE * len(self.seqs[t]))
+        regions: list[tuple[int, int]] = []
+        inside: Counter[bytes] = Counter()
+        lo = 0
+        for hi, (d, _, w) in enumerate(proposals):
+            inside[w] += 1
+            while proposals[lo][0] < d - slack:
+                inside[proposals[lo][2]] -= 1
+                inside += Counter()  # drops zeros
+                lo += 1
+            if len(inside) >= self.need[t]:
+                region = max(0, proposals[lo][0] - slack), min(len(words), d + len(seq) + slack)
+                if not regions or region[0] > regions[-1][0] + slack:
+                    regions.append(region)
+                else:
+                    regions[-1] = regions[-1][0], region[1]
+        hits = []
+        for begin, end in regions:
+            if all(_stands(k, words, begin, end) for k in self.key[t]) and (at := self._in_order(t, words, begin, end)):
+                share = len(at) / len(seq)
+                if share >= LEAST:
+                    hits.append((share, at[0], at[-1] + 1))
+        taken: list[tuple[int, int]] = []
+        for share, begin, end in sorted(hits, key=lambda h: (-h[0], h[1])):
+            if all(end <= a or begin >= b for a, b in taken):
+                taken.append((begin, end))
+                yield self.templates[t].label, False, begin, end - begin, share
+
+    def _in_order(self, t: int, words: list[bytes], begin: int, end: int) -> list[int]:
+        """Places of the longest sequence of the template's words that the region holds in their order."""
+        places, tails, at, back, last = self.places[t], [], [], {}, []
+        for p in range(begin, end):
+            for q in reversed(places.get(words[p], ())):
+                i = bisect_left(tails, q)
+                back[p, q] = last[i - 1] if i else None
+                if i == len(tails):
+                    tails.append(q)
+                    last.append((p, q))
+                else:
+                    tails[i], last[i] = q, (p, q)
+        step = last[-1] if last else None
+        while step:
+            at.append(step[0])
+            step = back[step]
+        return at[::-1]
+
 
 def _stands(phrase: list[bytes], words: list[bytes], lo: int, hi: int) -> bool:
     k = len(phrase)
     return any(words[i] == phrase[0] and words[i : i + k] == phrase for i in range(lo, hi - k + 1))
 
 
+def word_idf(docs: DataFrame, words: Sequence[bytes]) -> dict[bytes, float]:
+    """Inverse document frequency, over all whole texts, of the given words: log of (texts + 1) / (texts with it + 1).
+
+    One narrow pass with counts summed in tasks; a row a word comes to the driver.
+    """
+    wanted = frozenset(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: Counter[bytes] = Counter()
+        for batch in batches:
+            n[b""] += batch.num_rows
+            for text in byte_texts(batch):
+                n.update(wanted.intersection(words_of(text)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+
+    rows = map_arrow(docs.select("text"), run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    n = {bytes(r["word"]): r["n"] for r in rows}
+    return {w: math.log((n.get(b"", 0) + 1) / (n.get(w, 0) + 1)) for w in wanted}
+
+
 SCHEMA = "doc_id bigint, n_words bigint, hits array<struct<label:string,base:boolean,start:bigint,n_words:bigint,share:double>>"
 _HIT = pa.struct([("label", pa.string()), ("base", pa.bool_()), ("start", pa.int64()), ("n_words", pa.int64()), ("share", pa.float64())])
 
@@ -130,16 +179,16 @@ _HIT = pa.struct([("label", pa.string()), ("base", pa.bool_()), ("start", pa.int
 def scan_licenses(docs: DataFrame, phrases: Sequence[Template] = PHRASES, notices: Sequence[Template] = NOTICES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words and every hit (label, base phrase or not, start word, words, share).
 
-    A narrow map over whole texts: no shuffle, and the index is a bounded parameter. Null and empty texts have no
+    Two narrow passes over whole texts: frequencies of the templates' words (a row a word is summed), then the scan; the
+    index is bounded by the templates. Null and empty texts have no
     words and no hits. Repeated rows, null ids and ties are kept as they are; an empty table gives an empty result.
     Other columns of ``docs`` are not read.
     """
     require(docs, "doc_id", "text")
-    templates = (*phrases, *notices)
-    n_base = len(phrases)
+    idf = word_idf(docs, [w for t in (*phrases, *notices) for w in words_of(t.text.encode())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, more = RareIndex(templates[:n_base]), RareIndex(templates[n_base:])
+        base, more = RareIndex(phrases, idf), RareIndex(notices, idf)
         for batch in batches:
             counts, hits = [], []
             for text in byte_texts(batch):

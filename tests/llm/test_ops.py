@@ -718,6 +718,52 @@ def test_licenses(spark, none):
     assert license_scan.scan_licenses(none).count() == 0
 
 
+def test_licenses_with_words_put_in_left_out_and_changed(spark):
+    """Every licence text, with a tenth of its words changed, is found where it stands, and not without its key phrase."""
+    rng = random.Random(6)
+    rows, want = [], {}
+    for t in license_scan.NOTICES:
+        seq, keys = t.text.split(), [k.split() for k in t.mandatory]
+        plain = [w.decode() for w in license_scan.words_of(t.text.encode())]
+        key = {i + j for k in keys for i in range(len(plain)) if plain[i : i + len(k)] == k for j in range(len(k))}
+        for kind in ("same", "in", "out", "changed", "one"):
+            body, n = [], max(1, len(plain) // 10)
+            at = set(rng.sample([i for i in range(1, len(plain)) if i not in key] or [], min(n if kind != "one" else 1, len(plain) - len(key) - 1))) if len(plain) > 6 else set()
+            for i, w in enumerate(plain):
+                if i in at and kind in ("in", "one"):
+                    body.append("really")
+                if i in at and kind == "changed":
+                    body.append("other")
+                elif not (i in at and kind == "out"):
+                    body.append(w)
+            lead = [f"lead{rng.randrange(99)}" for _ in range(rng.randrange(60))]
+            want[len(rows)] = t.label, len(lead)
+            rows.append((len(rows), " ".join([*lead, *body, "and", "so", "on"])))
+        gone = " ".join(w for i, w in enumerate(plain) if i not in key)
+        want[len(rows)] = None, t.label
+        rows.append((len(rows), gone))
+        assert seq
+    for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect():
+        label, at = want[r["doc_id"]]
+        hits = {(h["label"], h["start"]) for h in r["hits"] if not h["base"]}
+        if label is None:
+            assert at not in {h for h, _ in hits}, rows[r["doc_id"]]
+        else:
+            assert any(h == label and abs(s - at) <= 2 for h, s in hits), (label, at, hits, rows[r["doc_id"]])
+        assert all(0 <= h["share"] <= 1 for h in r["hits"])
+
+
+def test_license_frequencies_and_order(spark):
+    docs = spark.createDataFrame([(1, "a b b"), (2, "b"), (3, None)], "doc_id bigint, text string")
+    assert license_scan.word_idf(docs, [b"a", b"b", b"c"]) == {b"a": math.log(4 / 2), b"b": math.log(4 / 3), b"c": math.log(4)}
+    index = license_scan.RareIndex([license_scan.Template("x", "a b c d e f", ())])
+    words = [w.encode() for w in "z a z b d c e z f a".split()]
+    assert index._in_order(0, words, 0, len(words)) in ([1, 3, 4, 6, 8], [1, 3, 5, 6, 8])
+    long = license_scan.words_of(b"software " * 300_000)
+    began = time.perf_counter()
+    assert license_scan.RareIndex(license_scan.NOTICES).scan(long) == [] and time.perf_counter() - began < 20
+
+
 def test_bpe_cut_table_survives_collisions_and_overflow(codec, reference, monkeypatch):
     import pyarrow as pa
 
