@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import small
+
 
 def vote_outcomes(votes: DataFrame, record: str, vote: str) -> DataFrame:
     """record, outcome: agreement can only add a refusal, and clearing never certifies."""
@@ -21,11 +23,11 @@ def active_waivers(waivers: DataFrame, on: Column, expires: str) -> DataFrame:
 def attribute(observations: DataFrame, bands: DataFrame, record: str, value: str) -> DataFrame:
     """record, candidates, verdict: which bands [lower, upper] an observed divergence fits.
 
-    ``bands`` (fault, lower, upper) is a small dimension table; a null upper bound can never be exceeded. No value is
+    ``bands`` has fault, lower and upper; a null upper bound can never be exceeded. No value is
     NO_FAULT_OBSERVED, no fitting band UNEXPLAINED, one ATTRIBUTED, more AMBIGUOUS.
     """
     fits = (F.abs(F.col(value)) >= F.col("lower")) & (F.col("upper").isNull() | (F.abs(F.col(value)) <= F.col("upper")))
-    out = observations.join(F.broadcast(bands), fits, "left").groupBy(record).agg(F.sort_array(F.collect_list("fault")).alias("candidates"), F.max(value).alias("__v"))
+    out = observations.join(small(bands), fits, "left").groupBy(record).agg(F.sort_array(F.collect_list("fault")).alias("candidates"), F.max(value).alias("__v"))
     n = F.size("candidates")
     verdict = F.when(F.col("__v").isNull(), "NO_FAULT_OBSERVED").when(n == 0, "UNEXPLAINED").when(n == 1, "ATTRIBUTED").otherwise("AMBIGUOUS")
     return out.select(record, F.array_join("candidates", ",").alias("candidates"), verdict.alias("verdict"))

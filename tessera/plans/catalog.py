@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,25 +11,8 @@ from ..operators import contracts, evidence, gates, graph, journal, lookup, netw
 from ..sources import text
 from ..streaming import windows
 from . import cascade
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return text.read_table(spark, f"{d}/{name}.parquet")
-
+from .registry import QUERIES, SQL, Query, query
+from .registry import table as _t
 
 PRICE = gates.Bounds(1000.0, 20000.0)
 _BEST_SQL = "b AS (SELECT l_partkey, min(l_extendedprice) AS best, count(*) AS n FROM lineitem GROUP BY l_partkey)"
@@ -613,3 +594,8 @@ def evidence_facets(spark: SparkSession, d: str) -> DataFrame:
 def residue_map(spark: SparkSession, d: str) -> DataFrame:
     r = _t(spark, d, "nation").select("n_nationkey", "n_regionkey", F.col("n_nationkey").alias("low"), (F.col("n_nationkey") + 3).alias("high"))
     return lookup.ranges_to_rows(r, "low", "high", "n_regionkey").select("n_nationkey", "position", "mapped")
+
+
+from . import judgements, records, trajectories  # noqa: E402, F401  they register their queries
+
+__all__ = ["QUERIES", "SQL", "Query", "query"]
