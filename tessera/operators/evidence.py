@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import cumulative
 from .sizes import small
 
 
@@ -39,7 +40,7 @@ def conformal(rows: DataFrame, group: str, predicted: str, observed: str, spread
     The quantile has finite-sample rank ceil((n + 1)(1 - alpha)), at most n. Groups with fewer than ``least`` rows
     don't count for the worst; without any it is 1.
     """
-    from .stats import conformal_rank, order_statistic
+    from .stats import conformal_rank, median, order_statistic
 
     scored = rows.filter(F.col(predicted).isNotNull() & F.col(observed).isNotNull()).withColumn("score", F.abs(F.col(observed) - F.col(predicted)) / (F.col(spread) + floor))
     n = scored.count()
@@ -48,8 +49,8 @@ def conformal(rows: DataFrame, group: str, predicted: str, observed: str, spread
     q = order_statistic(scored, "score", conformal_rank(n, alpha) - 1)
     by = scored.groupBy(group).agg(F.count(F.lit(1)).alias("c"), F.avg((F.col("score") <= q).cast("double")).alias("share"), F.sum((F.col("score") <= q).cast("bigint")).alias("inside"))
     out = by.agg(F.sum("c").alias("n"), (F.sum("inside") / F.sum("c")).alias("marginal"), F.coalesce(F.min(F.when(F.col("c") >= least, F.col("share"))), F.lit(1.0)).alias("worst_group"))
-    half = scored.agg(F.median((F.col(spread) + floor) * q).alias("median_half_width"))
-    return out.crossJoin(half).select("n", F.lit(q).alias("quantile"), "marginal", "worst_group", "median_half_width")  # one row each
+    half = median(scored, (F.col(spread) + floor) * q)
+    return out.select("n", F.lit(q).alias("quantile"), "marginal", "worst_group", F.lit(half).alias("median_half_width"))
 
 
 def leave_one_out(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -87,9 +88,14 @@ def admit(candidates: DataFrame, known: DataFrame, key: str, content: str, order
 
 
 def cost_quotes(rows: DataFrame, group: str, charge: str, configured: float) -> DataFrame:
-    """group, quote: the larger of the configured cost and the ceil(0.9 n)-th positive charge."""
-    w = Window.partitionBy(group)
-    ranked = rows.filter(F.col(charge) > 0).withColumn("__r", F.row_number().over(w.orderBy(charge))).withColumn("__n", F.count(F.lit(1)).over(w))
-    at = ranked.filter(F.col("__r") == F.ceil(F.col("__n") * F.lit(9) / F.lit(10)))
-    quotes = at.groupBy(group).agg(F.max(charge).alias("__q"))
-    return rows.select(group).distinct().join(quotes, group, "left").select(group, F.greatest(F.lit(float(configured)), F.coalesce("__q", F.lit(float(configured)))).alias("quote"))
+    """group, quote: the larger of the configured cost and the ceil(0.9 n)-th positive charge.
+
+    Charges are counted by value; ranks come from the counts, in ranges where a group is large.
+    """
+    counts = rows.filter(F.col(charge) > 0).groupBy(group, F.col(charge).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    before = cumulative(counts, "v", ["n"], [group])
+    total = before.groupBy(group).agg(F.max(group).alias("__g"), F.ceil(F.sum("n") * F.lit(9) / F.lit(10)).alias("__r")).drop(group)
+    at = before.join(total, F.col(group).eqNullSafe(F.col("__g"))).filter((F.col("before_n") < F.col("__r")) & (F.col("before_n") + F.col("n") >= F.col("__r")))
+    quotes = at.groupBy(group).agg(F.max("v").alias("__q"))
+    least = F.lit(float(configured))
+    return rows.select(group).distinct().join(quotes, group, "left").select(group, F.greatest(least, F.coalesce("__q", least)).alias("quote"))

@@ -97,15 +97,21 @@ def decisions(gated: DataFrame, key: str, stage: str, kind: str = "PARENT", warn
     return rows.withColumn("reason_code", F.when((F.col("outcome") == "PASS") & F.col("reason_code").isin(list(warns)), F.concat_ws("_", F.lit(stage), F.lit("PASS"))).otherwise(F.col("reason_code")) if warns else F.col("reason_code"))
 
 
-def digest(decided: DataFrame, max_buckets: int = 256) -> DataFrame:
-    """entity_kind, outcome, reason_code, n: the largest buckets (ties by key); totals in total_n are exact regardless.
+def digest(decided: DataFrame, max_buckets: int = 256, sample: int = 5) -> DataFrame:
+    """entity_kind, outcome, reason_code, n, sample_ids: the largest buckets (ties by key), with total_n and untracked_n.
 
-    The order of buckets is by rows, then key, which doesn't depend on scan order.
+    Totals of (entity_kind, outcome) are exact whatever is cut off; untracked_n is what buckets beyond the cap hold of
+    them, and a kind and outcome all of whose buckets are cut has one row without a reason. sample_ids holds up to
+    ``sample`` ids of a bucket: the least of each of as many hash classes, so it comes from one aggregate.
     """
-    buckets = decided.groupBy("entity_kind", "outcome", "reason_code").agg(F.count(F.lit(1)).alias("n"))
+    part = F.pmod(F.conv(F.substring(F.md5("entity_id"), 1, 4), 16, 10).cast("int"), F.lit(sample))
+    ids = F.array_sort(F.array_compact(F.array(*[F.min(F.when(part == i, F.col("entity_id"))) for i in range(sample)])))
+    buckets = decided.groupBy("entity_kind", "outcome", "reason_code").agg(F.count(F.lit(1)).alias("n"), ids.alias("sample_ids"))
     totals = decided.groupBy("entity_kind", "outcome").agg(F.count(F.lit(1)).alias("total_n"))
     kept = buckets.orderBy(F.desc("n"), "entity_kind", "outcome", "reason_code").limit(max_buckets)
-    return kept.join(totals, ["entity_kind", "outcome"])
+    held = kept.groupBy("entity_kind", "outcome").agg(F.sum("n").alias("__h"))
+    totals = totals.join(held, ["entity_kind", "outcome"], "left").withColumn("untracked_n", F.col("total_n") - F.coalesce("__h", F.lit(0))).drop("__h")
+    return totals.join(kept, ["entity_kind", "outcome"], "left").select("entity_kind", "outcome", "reason_code", F.coalesce("n", F.lit(0)).alias("n"), "sample_ids", "total_n", "untracked_n")
 
 
 def orphans(parents: DataFrame, evidence: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .gates import finite
+from .ranks import cumulative
 from .sizes import small
 from .stats import wilson
 
@@ -327,8 +328,6 @@ def branch_rule(df: DataFrame, value: str, good: Column) -> DataFrame:
 
     Counted by value, then read off cumulative counts.
     """
-    from .stats import cumulative
-
     by = df.filter(finite(F.col(value))).groupBy(F.col(value).cast("double").alias("v")).agg(F.count_if(good).alias("g"), F.count_if(~good).alias("b"))
     total = by.agg(F.sum("b").alias("tb"), (F.sum("g") + F.sum("b")).alias("n"))
     cuts = cumulative(by, "v", ["g", "b"]).crossJoin(F.broadcast(total))  # one row

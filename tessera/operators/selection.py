@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def tie_key(seed: str, key: Column) -> Column:
     """sha256 of seed, a NUL and the id, in hex."""
@@ -30,17 +32,16 @@ def hash_budget(df: DataFrame, key: str, budget: int, seed: str) -> DataFrame:
 def round_robin(df: DataFrame, key: str, group: str, cap: int, budget: int, seed: str) -> DataFrame:
     """Every row with basket_rank in its group, global_rank, selected and reason.
 
-    Up to ``cap`` of a group, then the ``budget`` first by (rank in group, tie, id). A hot group is sorted in one task,
-    spilling; only the top-N of the rest is global.
+    Up to ``cap`` of a group, then the ``budget`` first by (rank in group, tie, id). A hot group is ranked in ranges; only
+    the top-N of the rest is global.
     """
     keyed = df.withColumn("tie_break_key", tie_key(seed, F.col(key)))
-    within = Window.partitionBy(group).orderBy("tie_break_key", key)
-    ranked = keyed.withColumn("basket_rank", (F.row_number().over(within) - 1).cast("bigint"))
+    numbered = ranked(keyed, [group], ["tie_break_key", key], "basket_rank").withColumn("basket_rank", F.col("basket_rank") - 1)
     capped = F.col("basket_rank") < cap
     order = ["basket_rank", "tie_break_key", key]
-    top = ranked.filter(capped).select(*order).orderBy(*order).limit(budget)
+    top = numbered.filter(capped).select(*order).orderBy(*order).limit(budget)
     top = top.select(F.col(key).alias("__k"), (F.row_number().over(Window.orderBy(*order)) - 1).cast("bigint").alias("global_rank"))
-    out = ranked.join(top, F.col(key) == F.col("__k"), "left").drop("__k")
+    out = numbered.join(top, F.col(key) == F.col("__k"), "left").drop("__k")
     chosen = F.col("global_rank").isNotNull()
     reason = F.when(chosen, "SELECTED").when(~capped, "NOT_SELECTED_SCAFFOLD_CAP").otherwise("NOT_SELECTED_BUDGET")
     return out.withColumn("selected", chosen).withColumn("reason_code", reason)
@@ -48,10 +49,10 @@ def round_robin(df: DataFrame, key: str, group: str, cap: int, budget: int, seed
 
 def carve_batches(df: DataFrame, key: str, seen_at: str, lane: str, size: int, prefix: str = "", flush: bool = False) -> DataFrame:
     """key, lane, batch_id, position: full batches of ``size`` per lane, oldest first; the rest only with ``flush``."""
-    order = Window.partitionBy(lane).orderBy(seen_at, key)
-    ranked = df.select(key, lane, (F.row_number().over(order) - 1).alias("n"), F.count(F.lit(1)).over(Window.partitionBy(lane)).alias("total"))
+    rows = ranked(df.select(key, lane, seen_at), [lane], [seen_at, key], "n").withColumn("n", F.col("n") - 1)
+    total = rows.groupBy(lane).agg(F.max(lane).alias("__l"), F.count(F.lit(1)).alias("total")).drop(lane)
     full = F.floor(F.col("total") / size) * size
-    kept = ranked if flush else ranked.filter(F.col("n") < full)
+    kept = rows if flush else rows.join(total, F.col(lane).eqNullSafe(F.col("__l"))).filter(F.col("n") < full)
     number = F.floor(F.col("n") / size).cast("int")
     return kept.select(key, lane, F.format_string(f"{prefix}batch_%04d", number).alias("batch_id"), (F.col("n") % size).cast("bigint").alias("position"))
 
@@ -71,12 +72,38 @@ def expected_improvement(mean: Column, spread: Column, best: float) -> Column:
     return F.greatest(d, F.lit(0.0)) + F.when(spread > 0, spread * (phi - z * normal_cdf(-z))).otherwise(0.0)
 
 
+#: W. J. Cody's rational approximations of the error function (1969), to double precision.
+_ERF = ((3.16112374387056560e00, 1.13864154151050156e02, 3.77485237685302021e02, 3.20937758913846947e03, 1.85777706184603153e-1), (2.36012909523441209e01, 2.44024637934444173e02, 1.28261652607737228e03, 2.84423683343917062e03))
+_ERFC = (
+    (5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e01, 2.98635138197400131e02, 8.81952221241769090e02, 1.71204761263407058e03, 2.05107837782607147e03, 1.23033935479799725e03, 2.15311535474403846e-8),
+    (1.57449261107098347e01, 1.17693950891312499e02, 5.37181101862009858e02, 1.62138957456669019e03, 3.29079923573345963e03, 4.36261909014324716e03, 3.43936767414372164e03, 1.23033935480374942e03),
+)
+_FAR = (
+    (3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4, 1.63153871373020978e-2),
+    (2.56852019228982242e00, 1.87295284992346047e00, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3),
+)
+
+
+def erfc(x: Column) -> Column:
+    """The complementary error function to about 1e-15, as an expression: three ranges of |x|."""
+    y, square = F.abs(x), x * x
+
+    def ratio(t: Column, top: tuple, bottom: tuple) -> Column:
+        a, b = F.lit(top[-1]) * t, t
+        for p, q in zip(top[:-2], bottom[:-1], strict=True):
+            a, b = (a + p) * t, (b + q) * t
+        return (a + top[-2]) / (b + bottom[-1])
+
+    near = 1 - x * ratio(square, *_ERF)
+    middle = F.exp(-square) * ratio(y, *_ERFC)
+    inverse = 1 / square
+    far = F.exp(-square) / y * (1 / math.sqrt(math.pi) - inverse * ratio(inverse, *_FAR))
+    tail = F.when(y <= 4, middle).otherwise(far)
+    return F.when(y <= 0.46875, near).when(x < 0, 2 - tail).otherwise(tail)
+
+
 def normal_cdf(x: Column) -> Column:
-    """Phi by Abramowitz and Stegun 26.2.17 (error below 7.5e-8)."""
-    t = 1 / (1 + 0.2316419 * F.abs(x))
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    tail = F.exp(-x * x / 2) / math.sqrt(2 * math.pi) * poly
-    return F.when(x >= 0, 1 - tail).otherwise(tail)
+    return erfc(-x / math.sqrt(2)) / 2
 
 
 def top_per_group(df: DataFrame, group: str, order: Sequence[Column], k: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import ranked
+
 
 def moving_average(df: DataFrame, series: str, order: list[str], value: str, width: int) -> DataFrame:
     """Means of full windows only: the first width - 1 rows of a series have none."""
@@ -14,10 +16,16 @@ def moving_average(df: DataFrame, series: str, order: list[str], value: str, wid
     return df.withColumn("moving_average", F.when(n >= width, mean))
 
 
+def _numbered(df: DataFrame, series: str, order: list[str]) -> DataFrame:
+    """Rows with __i, their number in the series, and __n, its length; long series are ranked in ranges."""
+    rows = ranked(df, [series], order, "__i")
+    total = rows.groupBy(series).agg(F.max(series).alias("__s"), F.count(F.lit(1)).alias("__n")).drop(series)
+    return rows.join(total, F.col(series).eqNullSafe(F.col("__s"))).drop("__s")
+
+
 def drift(df: DataFrame, series: str, order: list[str], value: str) -> DataFrame:
     """series, n, head_mean, tail_mean, drift (tail - head), fluctuation: the tail is the final third of a series."""
-    w = Window.partitionBy(series)
-    rows = df.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    rows = _numbered(df.select(series, *order, value), series, order).withColumn("__i", F.col("__i") - 1)
     tail = F.col("__i") >= F.col("__n") - F.floor(F.col("__n") / 3)
     out = rows.groupBy(series).agg(
         F.max("__n").alias("n"), F.avg(F.when(~tail, F.col(value))).alias("head_mean"), F.avg(F.when(tail, F.col(value))).alias("tail_mean"), F.stddev_samp(F.when(tail, F.col(value))).alias("fluctuation")
@@ -59,10 +67,10 @@ def adjacent_overlap(hist: DataFrame, series: str, flag_below: float = 0.10) ->
 
 def prefix_means(df: DataFrame, series: str, order: list[str], value: str, parts: int) -> DataFrame:
     """series, part, n, mean over the first part/parts of each series: how an estimate settles as data grow."""
-    w = Window.partitionBy(series)
-    rows = df.withColumn("__i", F.row_number().over(w.orderBy(*order))).withColumn("__n", F.count(F.lit(1)).over(w))
-    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(parts)))).filter(F.col("__i") * parts <= F.col("part") * F.col("__n"))
-    return rows.groupBy(series, "part").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+    rows = _numbered(df.select(series, *order, value), series, order).withColumn("part", F.ceil(F.col("__i") * parts / F.col("__n")).cast("int"))
+    cells = rows.groupBy(series, "part").agg(F.count(F.lit(1)).alias("n"), F.count(value).alias("c"), F.sum(value).alias("s"))
+    whole = cells.select(series, "n", "c", "s", F.explode(F.sequence(F.col("part"), F.lit(parts))).alias("part"))  # a cell counts for itself and all after it
+    return whole.groupBy(series, "part").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("c")).alias("mean"))
 
 
 def repeats(df: DataFrame, repeat: str, bound: str, unbound: str, error: str) -> DataFrame:

@@ -5,36 +5,12 @@ from __future__ import annotations
 import math
 from bisect import bisect_right
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-Z95 = 1.959963984540054
-
-
-def spread_buckets(df: DataFrame, value: str, buckets: int = 64) -> Column:
-    """Bucket number of a value by approximate quantiles (a bounded table): equal values share a bucket, order is kept."""
-    cuts = sorted(set(df.approxQuantile(value, [i / buckets for i in range(1, buckets)], 0.002))) if buckets > 1 else []
-    cuts = [c for c in cuts if c == c]
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col(value)))
-
+from .ranks import cumulative
 
-def cumulative(df: DataFrame, value: str, counts: list[str], buckets: int = 64) -> DataFrame:
-    """Adds before_<c>: the sum of c over all rows of smaller value; rows must be distinct in ``value``.
-
-    Two levels: windows run inside value ranges, and one small window over the ranges' totals.
-    """
-    with_bucket = df.withColumn("__b", spread_buckets(df, value, buckets))
-    totals = with_bucket.groupBy("__b").agg(*[F.sum(c).alias(c) for c in counts])
-    order = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
-    offsets = totals.select(F.col("__b").alias("__k"), *[F.coalesce(F.sum(c).over(order), F.lit(0)).alias(f"__o_{c}") for c in counts])
-    inside = Window.partitionBy("__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    out = with_bucket
-    for c in counts:
-        out = out.withColumn(f"__i_{c}", F.coalesce(F.sum(c).over(inside), F.lit(0)))
-    out = out.join(F.broadcast(offsets), F.col("__b") == F.col("__k"))
-    return out.select(*df.columns, *[(F.col(f"__o_{c}") + F.col(f"__i_{c}")).alias(f"before_{c}") for c in counts])
+Z95 = 1.959963984540054
 
 
 def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
@@ -125,19 +101,42 @@ def spearman(df: DataFrame, x: str, y: str, least: int = 10) -> DataFrame:
     return out.withColumn("low", F.tanh(z - 1.96 * se)).withColumn("high", F.tanh(z + 1.96 * se))
 
 
+def _counted(df: DataFrame, value: Column) -> DataFrame:
+    """v, n, before_n: counts of the finite values, and how many are smaller."""
+    counts = df.filter(value.isNotNull() & ~F.isnan(value)).groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    return cumulative(counts, "v", ["n"])
+
+
+def _at(counted: DataFrame, index: int) -> float | None:
+    hit = counted.filter((F.col("before_n") <= index) & (F.col("before_n") + F.col("n") > index)).select("v").first()
+    return None if hit is None else hit[0]
+
+
 def order_statistic(df: DataFrame, value: str, index: int, ascending: bool = True) -> float | None:
     """The value at a 0-based rank among finite ones: counted by value, then read off the cumulative counts."""
     v = F.col(value).cast("double")
-    counts = df.filter(v.isNotNull() & ~F.isnan(v)).groupBy((v if ascending else -v).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    hit = cumulative(counts, "v", ["n"]).filter((F.col("before_n") <= index) & (F.col("before_n") + F.col("n") > index)).select("v").first()
-    return None if hit is None else (hit[0] if ascending else -hit[0])
+    found = _at(_counted(df, v if ascending else -v), index)
+    return found if found is None or ascending else -found
+
+
+def median(df: DataFrame, value: Column) -> float | None:
+    """The exact median of finite values, the mean of the middle two of an even number: two look-ups in one table of counts."""
+    counted = _counted(df, value.cast("double"))
+    n = counted.agg(F.sum("n")).first()[0]
+    if not n:
+        return None
+    return (_at(counted, (n - 1) // 2) + _at(counted, n // 2)) / 2
 
 
 def percentile_threshold(df: DataFrame, value: str, keep: float, lower_is_stronger: bool) -> float | None:
-    """The score that keeps the best share: best first, at rank ceil(keep * n) - 1."""
+    """The score that keeps the best share: best first, at rank ceil(keep * n) - 1. The scores are counted once."""
     v = F.col(value).cast("double")
-    n = df.filter(v.isNotNull() & ~F.isnan(v)).count()
-    return order_statistic(df, value, min(n - 1, max(0, math.ceil(keep * n) - 1)), lower_is_stronger) if n else None
+    counted = _counted(df, v if lower_is_stronger else -v)
+    n = counted.agg(F.sum("n")).first()[0]
+    if not n:
+        return None
+    found = _at(counted, min(n - 1, max(0, math.ceil(keep * n) - 1)))
+    return found if lower_is_stronger else -found
 
 
 def percentile_of(panel: DataFrame, population: DataFrame, value: str) -> DataFrame:
@@ -152,20 +151,28 @@ def percentile_of(panel: DataFrame, population: DataFrame, value: str) -> DataFr
 def enrichment(df: DataFrame, score: str, key: str, active: Column, fractions: list[float]) -> DataFrame:
     """fraction, k, hits, base_rate, factor and the hits' Wilson interval, for the top round(f * n) rows by score.
 
-    Ties of the score go by key. Ranks come from a range-partitioned window; the fractions are a bounded list.
+    Ties of the score go by key. Scores are counted, not sorted; only the ties at a cut are ranked by key, in ranges.
     """
+    spark = df.sparkSession
     known = df.filter(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col(key).alias("k"), active.alias("a"))
-    counts = known.groupBy((-F.col("s")).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    before = cumulative(counts, "v", ["n"]).select("v", "before_n")
-    ties = Window.partitionBy("s").orderBy("k")
-    rows = known.withColumn("t", F.row_number().over(ties)).join(before, -F.col("s") == F.col("v")).select((F.col("before_n") + F.col("t")).alias("rank"), "a")
-    total = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("a").alias("actives"))
-    wanted = F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction")
-    cut = total.select("n", "actives", wanted).withColumn("k", F.greatest(F.lit(1), F.bround(F.col("n") * F.col("fraction"))).cast("bigint"))
-    hits = rows.filter("a").join(F.broadcast(cut), F.col("rank") <= F.col("k")).groupBy("fraction").agg(F.count(F.lit(1)).alias("hits"))
-    out = cut.join(hits, "fraction", "left").withColumn("hits", F.coalesce("hits", F.lit(0))).withColumn("base_rate", F.col("actives") / F.col("n"))
+    by = known.groupBy((-F.col("s")).alias("v")).agg(F.count(F.lit(1)).alias("n"), F.count_if("a").alias("a"))
+    before = cumulative(by, "v", ["n", "a"])
+    n, actives = before.agg(F.sum("n"), F.sum("a")).first()
+    rows = []
+    for f in fractions if n else []:
+        k = max(1, round(n * f))
+        edge = before.filter((F.col("before_n") < k) & (F.col("before_n") + F.col("n") >= k)).first()
+        hits, left = edge["before_a"], k - edge["before_n"]
+        if left == edge["n"]:
+            hits += edge["a"]
+        else:
+            ties = known.filter(F.col("s") == -edge["v"]).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if("a").alias("a"))
+            hits += cumulative(ties, "k", ["n"]).filter(F.col("before_n") < left).agg(F.coalesce(F.sum("a"), F.lit(0))).first()[0]
+        rows.append((float(f), n, k, hits, actives / n))
+    out = spark.createDataFrame(rows, "fraction double, n bigint, k bigint, hits bigint, base_rate double")
     low, high = wilson(F.col("hits"), F.col("k"))
-    return out.withColumn("factor", F.when(F.col("actives") > 0, F.col("hits") / F.col("k") / F.col("base_rate"))).withColumn("low", low).withColumn("high", high).select("fraction", "n", "k", "hits", "base_rate", "factor", "low", "high")
+    factor = F.when(F.col("base_rate") > 0, F.col("hits") / F.col("k") / F.col("base_rate"))
+    return out.withColumn("factor", factor).withColumn("low", low).withColumn("high", high).select("fraction", "n", "k", "hits", "base_rate", "factor", "low", "high")
 
 
 def conformal_rank(n: int, alpha: float) -> int:

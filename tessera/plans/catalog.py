@@ -27,9 +27,21 @@ def _gated(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_GATED_SQL}, d AS (SELECT CASE WHEN reason_code = 'PRICE_PASS' THEN 'PASS' ELSE 'REJECT' END AS outcome, reason_code FROM g), t AS (SELECT outcome, count(*) AS total_n FROM d GROUP BY outcome) SELECT 'PARENT' AS entity_kind, d.outcome, reason_code, count(*) AS n, any_value(total_n) AS total_n FROM d JOIN t USING (outcome) GROUP BY ALL")
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return gates.digest(gates.decisions(_gated(spark, d), "p_partkey", "price"))
+    out = gates.digest(gates.decisions(_gated(spark, d), "p_partkey", "price"))
+    return out.select("entity_kind", "outcome", "reason_code", "n", "total_n")
 
 
+_CLASS = "('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 4))::INT % 3"
+
+
+@query(f"""{_GATED_SQL}, d AS (SELECT CASE WHEN reason_code = 'PRICE_PASS' THEN 'PASS' ELSE 'REJECT' END AS outcome, reason_code, CAST(p_partkey AS VARCHAR) AS id, {_CLASS} AS c FROM g),
+    q AS (SELECT outcome, reason_code, sum(n)::BIGINT AS n, list_sort(list(i)) AS sample_ids FROM (SELECT outcome, reason_code, c, count(*) AS n, min(id) AS i FROM d GROUP BY ALL) GROUP BY ALL),
+    k AS (SELECT * FROM q ORDER BY n DESC, outcome, reason_code LIMIT 1), t AS (SELECT outcome, count(*) AS total_n FROM d GROUP BY outcome)
+    SELECT 'PARENT' AS entity_kind, t.outcome, reason_code, coalesce(n, 0) AS n, array_to_string(sample_ids, ',') AS sample_ids, total_n, total_n - coalesce(n, 0) AS untracked_n FROM t LEFT JOIN k ON k.outcome = t.outcome""")
+def decision_digest(spark: SparkSession, d: str) -> DataFrame:
+    out = gates.digest(gates.decisions(_gated(spark, d), "p_partkey", "price"), max_buckets=1, sample=3)
+    return out.withColumn("sample_ids", F.array_join("sample_ids", ","))
+
 @query(f"{_GATED_SQL} SELECT p_partkey, best, reason_code, reason_code = 'PRICE_PASS' AS passed FROM g")
 def numeric_gate(spark: SparkSession, d: str) -> DataFrame:
     return _gated(spark, d).select("p_partkey", "best", "reason_code", "passed")
@@ -280,9 +292,10 @@ def histogram_overlap(spark: SparkSession, d: str) -> DataFrame:
     return series.adjacent_overlap(series.histogram(_t(spark, d, "events"), "event_type", "value", 0.0, 10.0, 10), "event_type")
 
 
-@query(f"WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, part, count(*) AS n, avg(value) AS mean FROM r, (SELECT CAST(unnest(range(1, 6)) AS INT) AS part) WHERE i * 5 <= part * n GROUP BY event_type, part")
+@query(f"WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, part, count(*) AS n, round(sum(value), 2) AS total FROM r, (SELECT CAST(unnest(range(1, 6)) AS INT) AS part) WHERE i * 5 <= part * n GROUP BY event_type, part")
 def time_convergence(spark: SparkSession, d: str) -> DataFrame:
-    return series.prefix_means(_t(spark, d, "events"), "event_type", ["ts", "event_id"], "value", 5)
+    out = series.prefix_means(_t(spark, d, "events"), "event_type", ["ts", "event_id"], "value", 5)
+    return out.select("event_type", "part", "n", F.round(F.col("mean") * F.col("n"), 2).alias("total"))
 
 
 @query("WITH p AS (SELECT l_linenumber AS r, avg(l_extendedprice) - avg(l_quantity) AS d, avg(l_tax) AS e FROM lineitem GROUP BY 1) SELECT count(*) AS n, avg(d) AS mean, stddev_samp(d) / sqrt(count(*)) AS stderr, sqrt(sum(e * e) / count(*)) AS pooled_error FROM p")
@@ -489,11 +502,12 @@ def graph_cycle_rank(spark: SparkSession, d: str) -> DataFrame:
     return network.cycle_rank(e, graph.connected_components(e))
 
 
-@query("""WITH z AS (SELECT p_partkey, (p_retailprice - 1500.0) AS d, p_size * 10.0 AS s FROM part), y AS (SELECT *, abs(d) / s AS z, 1 / (1 + 0.2316419 * abs(d) / s) AS t FROM z)
-    SELECT p_partkey, greatest(d, 0) + s * exp(-z * z / 2) / sqrt(2 * pi()) * (1 - z * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))) AS improvement FROM y""")
+@query("""WITH z AS (SELECT p_partkey, p_retailprice - 1500.0::DOUBLE AS d, p_size * 10.0::DOUBLE AS s FROM part), y AS (SELECT *, abs(d) / s AS z, least(abs(d) / s, 9.0::DOUBLE) AS u FROM z),
+    t AS (SELECT *, 0.5 - list_sum(list_transform(range(0, 2001), lambda i: (CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-((u * i / 2000) ** 2) / 2))) * u / 6000 / sqrt(2 * pi()) AS tail FROM y)
+    SELECT p_partkey, round(greatest(d, 0) + s * (exp(-z * z / 2) / sqrt(2 * pi()) - z * tail), 5) AS improvement FROM t""")
 def expected_improvement(spark: SparkSession, d: str) -> DataFrame:
     ei = selection.expected_improvement(F.col("p_retailprice"), F.col("p_size") * 10.0, 1500.0)
-    return _t(spark, d, "part").select("p_partkey", ei.alias("improvement"))
+    return _t(spark, d, "part").select("p_partkey", F.round(ei, 5).alias("improvement"))
 
 
 @query("SELECT window_start AS start, event_type, count(*) AS n, sum(value) AS total FROM (SELECT date_trunc('hour', ts) AS window_start, event_type, value FROM events) GROUP BY ALL")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import scalar
-from tessera.operators import contracts, evidence, gates, graph, journal, lookup, network, planning, policy, selection, series, similarity, stats
+from tessera.operators import contracts, evidence, gates, graph, journal, judgement, lookup, network, planning, policy, ranks, records, selection, series, similarity, sizes, stats, trajectory
 from tessera.plans import cascade
 from tessera.sources import artifacts, text
 from tessera.streaming import windows
@@ -62,7 +62,9 @@ def test_status_gate_and_decisions(spark):
     assert [r["passed"] for r in lax.orderBy("k").collect()] == [True, False, True, True]
     d = gates.decisions(lax, "k", "m", warns=["DERIVED_METRIC_UNSCORABLE_ACCEPTED"])
     assert d.count() == 6 and d.filter("outcome = 'WARN'").count() == 2 and d.filter("outcome = 'REJECT'").count() == 1
-    assert gates.digest(d, max_buckets=1).first()["total_n"] == 3
+    assert {r["outcome"]: (r["n"], r["total_n"], r["untracked_n"]) for r in gates.digest(d, max_buckets=1).collect()} == {"PASS": (2, 3, 1), "WARN": (0, 2, 2), "REJECT": (0, 1, 1)}
+    whole = gates.digest(d, sample=2).collect()
+    assert all(0 < len(r["sample_ids"]) <= 2 and r["untracked_n"] == 0 for r in whole) and sum(r["n"] for r in whole) == 6
 
 
 def test_decision_join_fails_closed(spark):
@@ -321,3 +323,98 @@ def test_facets_and_ranges(spark):
     assert lookup.facets(df, "body", {"role": ["y"]}).count() == 1
     with pytest.raises(Exception, match="range too long"):
         lookup.ranges_to_rows(spark.createDataFrame([(1, 9, 0)], "a int, b int, s int"), "a", "b", "s", limit=5).collect()
+
+
+def test_normal_distribution_to_double_precision(spark):
+    xs = [i / 17 for i in range(-150, 151)] + [0.0, 1e-9, 0.46875, 4.0, -4.0, 8.0]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", selection.erfc(F.col("x")).alias("e"), selection.normal_cdf(F.col("x")).alias("p")).collect()
+    assert all(math.isclose(r["e"], math.erfc(r["x"]), rel_tol=1e-12) and math.isclose(r["p"], 0.5 * math.erfc(-r["x"] / math.sqrt(2)), rel_tol=1e-12) for r in got)
+
+
+def test_ranges_rank_as_one_sort_does(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(40), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, v int, i int").repartition(5)
+    sizes = ranks.RANGE_ROWS
+    for size in (sizes, 70):
+        monkeypatch.setattr(ranks, "RANGE_ROWS", size)
+        got = {r["i"]: r["n"] for r in ranks.ranked(df, ["g"], ["v", "i"], "n").collect()}
+        for g in ("a", "b", None):
+            for n, (_, i) in enumerate(sorted((v, i) for h, v, i in rows if h == g), 1):
+                assert got[i] == n
+        counts = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("c"))
+        for r in ranks.cumulative(counts, "v", ["c"], ["g"]).collect():
+            assert r["before_c"] == sum(h == r["g"] and v < r["v"] for h, v, _ in rows)
+        assert stats.median(df, F.col("v")) == sorted(v for _, v, _ in rows)[449] / 2 + sorted(v for _, v, _ in rows)[450] / 2
+        top = stats.enrichment(df, "v", "i", F.col("i") % 3 == 0, [0.01, 0.1, 1.0]).orderBy("fraction").collect()
+        order = sorted(rows, key=lambda r: (-r[1], r[2]))
+        assert [r["hits"] for r in top] == [sum(i % 3 == 0 for _, _, i in order[: r["k"]]) for r in top]
+
+
+def test_rigid_fit_and_contacts(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    points = rng.standard_normal((12, 3)) * 5
+    turn, _ = np.linalg.qr(rng.standard_normal((3, 3)))
+    turn *= np.sign(np.linalg.det(turn))
+    moved = points @ turn + [1.0, -2.0, 3.0]
+    rotation, shift = trajectory.rigid_fit(moved, points)
+    assert np.allclose(moved @ rotation + shift, points) and math.isclose(np.linalg.det(rotation), 1.0)
+    rows = [(f, a, *map(float, (moved if f else points)[a])) for f in (0, 1) for a in range(12)] + [(2, 0, 0.0, 0.0, 0.0)]
+    frames = spark.createDataFrame(rows, "frame bigint, atom bigint, x double, y double, z double")
+    reference = pd.DataFrame({"atom": range(12), "x": points[:, 0], "y": points[:, 1], "z": points[:, 2]})
+    got = {r["frame"]: (r["n"], r["rmsd"]) for r in trajectory.fitted_rmsd(frames, reference, "frame", "atom").collect()}
+    assert got[0][1] < 1e-9 and got[1][1] < 1e-9 and got[2] == (1, None)
+    a, b = frames.filter("atom < 5"), frames.filter("atom >= 5")
+    near = {(r["frame"], r["ligand_atom"], r["receptor_atom"]) for r in trajectory.contacts(a, b, "frame", "atom", 6.0).collect()}
+    xyz = {(f, i): np.array(p) for f, i, *p in rows}
+    assert near == {(f, i, j) for f, i in xyz for g, j in xyz if f == g and i < 5 <= j and np.linalg.norm(xyz[f, i] - xyz[g, j]) < 6}
+    angles = spark.range(1).select(
+        trajectory.angle(*[[F.lit(float(x)) for x in p] for p in ((1, 0, 0), (0, 0, 0), (0, 2, 0))]).alias("a"),
+        trajectory.dihedral(*[[F.lit(float(x)) for x in p] for p in ((1, 0, 0), (0, 0, 0), (0, 0, 1), (0, 1, 1))]).alias("d"),
+        trajectory.angle(*[[F.lit(0.0)] * 3] * 3).alias("none"),
+    ).first()
+    assert math.isclose(angles["a"], 90) and math.isclose(abs(angles["d"]), 90) and angles["none"] is None
+
+
+def test_judgements_fail_closed(spark):
+    taxonomy = spark.createDataFrame([("F_A", "WRONG_SUBJECT")], "code string, consequence string")
+    odd = spark.createDataFrame([("F_X", True, True)], "code string, fired boolean, evaluable boolean")
+    with pytest.raises(Exception, match="unknown fault"):
+        judgement.partition_observations(odd, taxonomy, []).collect()
+    panel = spark.createDataFrame([("p", True), ("q", False)], "k string, a boolean")
+    none = spark.createDataFrame([], "k string, tier string")
+    absent = judgement.gate_calibration(panel, none, panel.filter("k = 'q'"), "k", "a", 0.9).first()
+    assert absent["recall"] is None and absent["refusal"] == "PANEL_NOT_SCREENED" and not absent["admissible"]
+    assert judgement.gate_calibration(panel, none, panel, "k", "a", 0.9).first()["admissible"]
+    with pytest.raises(ValueError):
+        judgement.gate_calibration(panel, none, panel, "k", "a", 0.0)
+    gaps = spark.createDataFrame([("m", "one", 1, 2), ("m", "two", 1, 2), ("n", "one", 1, 2)], "m string, stage string, hits int, trials int")
+    with pytest.raises(Exception, match="lacks counts"):
+        judgement.generator_audit(gaps, "m", ["one", "two"]).collect()
+    with pytest.raises(Exception, match="directions disagree"):
+        judgement.one_direction(spark.createDataFrame([("UP",), ("DOWN",)], "d string"), "d").collect()
+    few = spark.createDataFrame([(1, "a", "refuse", True), (2, "a", "clear", False)], "r int, seat string, vote string, truth boolean")
+    ruling = judgement.council_ruling(few, "r", "seat", "vote", "truth", 10).first()
+    assert ruling["refusal"] == "TOO_FEW_LABELS" and ruling["effective_votes"] == 1 and not ruling["qualified"]
+    with pytest.raises(Exception, match="unknown status"):
+        trajectory.worst_status(spark.createDataFrame([(1, "odd")], "k int, s string"), "k", "s", ["ok", "bad"]).collect()
+
+
+def test_small_sides_are_looked_at(spark):
+    df = spark.range(10)
+    plan = lambda side: spark.range(5).join(side, "id")._jdf.queryExecution().logical().toString()
+    assert "ResolvedHint" in plan(sizes.small(df, 10)) or "UnresolvedHint" in plan(sizes.small(df, 10)) or "broadcast" in plan(sizes.small(df, 10)).lower()
+    assert "broadcast" not in plan(sizes.small(df, 9)).lower() and "Hint" not in plan(sizes.small(df, 9))
+
+
+def test_versions_and_edits(spark):
+    rows = [("a", 1, None, "v1"), ("a", 2, "v1", "v2"), ("a", 3, "v1", "v3"), ("a", 4, "v2", "v4"), ("b", 1, "x", "y")]
+    got = {r["k"]: tuple(r)[1:] for r in records.heads(spark.createDataFrame(rows, "k string, s int, e string, r string"), "k", "s", "e", "r").collect()}
+    assert got == {"a": ("v4", 3, 1), "b": (None, 0, 1)}
+    sets = records.edit_sets(spark.range(1), "id", [("a", "1"), ("a", "2"), ("b", "1")], 3).collect()
+    assert sorted(r["edits"] for r in sets) == ["", "a=1", "a=1,b=1", "a=2", "a=2,b=1", "b=1"]
+    with pytest.raises(ValueError):
+        records.edit_sets(spark.range(1), "id", [("f", str(i)) for i in range(17)], 2)
