@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from tessera.functions import scalar
 from tessera.operators import contracts, evidence, gates, graph, journal, judgement, lookup, network, planning, policy, ranks, records, selection, series, similarity, sizes, stats, trajectory
 from tessera.plans import cascade
-from tessera.sources import artifacts, text
+from tessera.sources import artifacts, formats, text
 from tessera.streaming import windows
 
 
@@ -418,3 +418,55 @@ def test_versions_and_edits(spark):
     assert sorted(r["edits"] for r in sets) == ["", "a=1", "a=1,b=1", "a=2", "a=2,b=1", "b=1"]
     with pytest.raises(ValueError):
         records.edit_sets(spark.range(1), "id", [("f", str(i)) for i in range(17)], 2)
+
+
+def workbook(rows, sheet="Data"):
+    """A small workbook with shared strings, numbers, inline strings and gaps."""
+    import io
+    import zipfile
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    shared, body = [], []
+    for i, row in enumerate(rows, 1):
+        cells = []
+        for j, v in enumerate(row):
+            at = f'{chr(65 + j)}{i}'
+            if isinstance(v, str) and j % 2:
+                cells.append(f'<c r="{at}" t="inlineStr"><is><t>{v}</t></is></c>')
+            elif isinstance(v, str):
+                shared.append(v)
+                cells.append(f'<c r="{at}" t="s"><v>{len(shared) - 1}</v></c>')
+            elif v is not None:
+                cells.append(f'<c r="{at}"><v>{v}</v></c>')
+        body.append(f'<row r="{i}">{"".join(cells)}</row>')
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="{sheet}" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}>{''.join(f'<si><t>{s}</t></si>' for s in shared)}</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{''.join(body)}</sheetData></worksheet>")
+    return out.getvalue()
+
+
+def test_further_formats(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(workbook([["id", "smiles", "mw"], ["m1", "CCO", 46.07], ["m2", None, 18], [None, "C"]]))
+    got = sorted((r["row"], r["id"], r["mw"], r["smiles"]) for r in formats.spreadsheet(spark, str(tmp_path / "a.xlsx"), ["id", "mw", "smiles"]).collect())
+    assert got == [(1, "m1", "46.07", "CCO"), (2, "m2", "18", None), (3, None, None, "C")]
+    with pytest.raises(Exception, match="no columns"):
+        formats.spreadsheet(spark, str(tmp_path / "a.xlsx"), ["nope"]).collect()
+    with pytest.raises(ValueError, match="no sheet"):
+        formats.sheet_rows(workbook([["a"]]), "Other")
+    (tmp_path / "b.mol2").write_text("# made by hand\n@<TRIPOS>MOLECULE\nbenzene\n 6 6 0\nSMALL\n@<TRIPOS>ATOM\n1 C\n@<TRIPOS>MOLECULE\nodd\nno counts\n@<TRIPOS>MOLECULE\nwater\n3 2\nSMALL\n")
+    good, bad = formats.mol2(spark, str(tmp_path / "b.mol2"))
+    assert sorted((r["name"], r["n_atoms"], r["n_bonds"], r["kind"]) for r in good.collect()) == [("benzene", 6, 6, "SMALL"), ("water", 3, 2, "SMALL")] and bad.count() == 1
+    (tmp_path / "c.fepout").write_text("#NEW FEP WINDOW\nFepEnergy: 10 1.5 2.5 3 4 0.5 0.25 300.1 -0.1\nother\nFepEnergy: 20 1 x 3 4 0.5 0.25 300 0\n")
+    rows = formats.namd_energies(spark, str(tmp_path / "c.fepout")).orderBy("step").collect()
+    assert [(r["step"], r["elec_new"], r["net"]) for r in rows] == [(10, 2.5, -0.1), (20, None, 0.0)]
+    assert formats.format_of("x.CSV.gz") == "delimited" and formats.format_of("a.b.sdf") == "sdf"
+    with pytest.raises(ValueError):
+        formats.format_of("noext")
+    assert formats.provider_catalogue(spark, [{"provider": "p", "kinds": {"b", "a"}}]).first()["kinds"] == ["a", "b"]
+    parents = spark.createDataFrame([("p", "C"), ("q", "N"), ("q", "O")], "k string, s string")
+    with pytest.raises(Exception, match="not one parent"):
+        formats.registered_parents(parents, "k", "s").collect()
+    assert formats.registered_parents(parents.filter("k = 'p'"), "k", "s").count() == 1
