@@ -361,12 +361,17 @@ def judged(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def keep_representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, with all their columns, that near_duplicates keeps: one of each group.
 
-    Of rows that repeat both id and text one stays. Rows with a null id link with nothing, and stay. Texts meet only
-    the ids that go, usually far fewer than those that stay. Columns of any name pass unchanged.
+    Of rows that repeat both id and text one stays. Rows with a null id link with nothing, and stay. Texts are shuffled
+    once, to meet the ids that go, usually far fewer than those that stay. Columns of any name pass unchanged.
     """
     verdict = judged(docs, words, percent).filter("doc_id is not null").groupBy("doc_id", "mark").agg(F.count_if("kept").alias("n"))
     key, mark, n = fresh(docs, "key", "mark", "n")
     settled = stored(verdict.filter("n <> 1").select(F.col("doc_id").alias(key), F.col("mark").alias(mark), F.col("n").alias(n)), "not-once")
     same = (F.col("doc_id").cast("bigint") == F.col(key)) & (mark_of("text") == F.col(mark))
-    again = docs.join(settled.filter(F.col(n) > 1), same, "left_semi").withColumn(mark, mark_of("text")).dropDuplicates(["doc_id", mark]).drop(mark)
-    return docs.join(settled, same, "left_anti").unionByName(again)
+    # what goes grows with the input: texts and it meet by a shuffle at every size
+    kept = docs.join(settled.hint("merge"), same, "left_anti")
+    more = settled.filter(F.col(n) > 1)
+    if more.isEmpty():
+        return kept
+    again = docs.join(more.hint("merge"), same, "left_semi").withColumn(mark, mark_of("text")).dropDuplicates(["doc_id", mark]).drop(mark)
+    return kept.unionByName(again)
