@@ -2,7 +2,8 @@
 
 A vector is at home in the cell of its nearest centroid. So that no link across a border is lost, it also visits every
 cell in which a vector within the threshold's angle of it may be at home: those whose bisecting plane is no farther
-than the sine of that angle. Home rows of a cell are compared with all rows of the cell, in blocks of BLOCK by BLOCK.
+than the sine of that angle. Cells that are too large are cut again, by centroids of their own, as long as that saves
+comparisons. Home rows of a cell are compared with all rows of the cell, in blocks of BLOCK by BLOCK.
 """
 
 from __future__ import annotations
@@ -22,11 +23,18 @@ from .common import hash_share, require, stored
 
 THRESHOLD = 0.93
 BLOCK = 1024
-#: Rows of the largest label a cell; most cells; rows the centroids are fitted on.
+#: Rows of the largest label a cell; cells of the first cut; rows that centroids are fitted on.
 CELL_ROWS = 4096
 MAX_CELLS = 1024
 FIT_ROWS = 20_000
 ROUNDS = 12
+#: Home rows above which a cell is cut again, and into how many cells at a time; rows that a task assigns; cuts after
+#: each other; the share of comparisons that a cut may leave.
+SPLIT_ROWS = 32_768
+SPLIT_CELLS = 64
+CHUNK = 8_192
+CUTS = 8
+WORTH = 0.7
 
 
 def spherical_kmeans(x: np.ndarray, k: int, seed: int = 11) -> np.ndarray:
@@ -122,6 +130,76 @@ def _compare(threshold: float):
     return run
 
 
+_CELL = ["label", "dim", "cell"]
+_PLACED = "rep bigint, n bigint, label bigint, dim int, vec binary, cell bigint, at_home boolean"
+
+
+def _sizes(placed: DataFrame) -> DataFrame:
+    """k_label, k_dim, k_cell, n_home, n_all of every cell with home rows; keys as aggregates, so that joins can split hot cells."""
+    sizes = placed.groupBy(*_CELL).agg(*[F.max(c).alias(f"k_{c}") for c in _CELL], F.sum(F.col("at_home").cast("bigint")).alias("n_home"), F.count(F.lit(1)).alias("n_all"))
+    return sizes.drop(*_CELL).filter("n_home > 0")
+
+
+def _of(sizes: DataFrame):
+    return [F.col(c) == F.col(f"k_{c}") for c in _CELL]
+
+
+def cut_large_cells(placed: DataFrame, threshold: float) -> DataFrame:
+    """The placed rows, with cells of more than SPLIT_ROWS home rows cut again and again where that saves comparisons.
+
+    Centroids of a cell come from about FIT_ROWS of its home rows; all its rows are assigned in chunks, each beside the
+    centroids. A row stays at home in one cell, and visits every new cell that its reach touches. Cells without clusters
+    are left as they are: every row would visit every part.
+    """
+    done = None
+    for _ in range(CUTS):
+        sizes = stored(_sizes(placed), "sizes")
+        large = sizes.filter(F.col("n_home") > SPLIT_ROWS)
+        if large.isEmpty():
+            break
+        rows = placed.join(large, _of(large))
+        few = rows.filter(F.col("at_home") & (F.xxhash64("rep", F.lit(7)) / F.lit(float(1 << 64)) + 0.5 <= FIT_ROWS / F.col("n_home")))
+
+        def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            k = min(SPLIT_CELLS, math.ceil(int(part["n_home"].iloc[0]) / CELL_ROWS), len(part))
+            return pd.DataFrame({"c_label": [key[0]], "c_dim": [key[1]], "c_cell": [key[2]], "centroids": [spherical_kmeans(_matrix(part.sort_values("rep")["vec"]), max(2, k)).astype("<f8").tobytes()]})
+
+        centroids = stored(few.select(*_CELL, "rep", "vec", "n_home").groupBy(*_CELL).applyInPandas(fit, "c_label bigint, c_dim int, c_cell bigint, centroids binary"), "centroids")
+        chunk = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n_all") / CHUNK))
+        dealt = rows.select(*_CELL, "rep", "n", "vec", "at_home", chunk.alias("chunk"))
+        beside = centroids.join(large, (F.col("c_label") == F.col("k_label")) & (F.col("c_dim") == F.col("k_dim")) & (F.col("c_cell") == F.col("k_cell")))
+        beside = beside.select(F.col("c_label").alias("label"), F.col("c_dim").alias("dim"), F.col("c_cell").alias("cell"), "centroids", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n_all") / CHUNK) - 1)).alias("chunk"))
+
+        def assign(key: tuple, part: pd.DataFrame, with_: pd.DataFrame) -> pd.DataFrame:
+            if part.empty or with_.empty:
+                return pd.DataFrame({c: [] for c in ("rep", "n", "label", "dim", "vec", "cell", "at_home", "part")})
+            c = np.frombuffer(with_["centroids"].iloc[0], "<f8").reshape(-1, int(key[1]))
+            home, visits = homes_and_visits(_matrix(part["vec"]), c, threshold)
+            at, cell = np.nonzero(visits)
+            out = part.iloc[at][["rep", "n", "label", "dim", "vec", "cell"]].reset_index(drop=True)
+            out["at_home"] = part["at_home"].to_numpy()[at] & (home[at] == cell)
+            out["part"] = cell
+            return out
+
+        keys = [*_CELL, "chunk"]
+        parts = dealt.groupBy(*keys).cogroup(beside.groupBy(*keys)).applyInPandas(assign, _PLACED + ", part int")
+        parts = stored(parts.withColumn("new", F.xxhash64("cell", "part")), "parts")
+        work = parts.groupBy(*_CELL, "new").agg((F.sum(F.col("at_home").cast("double")) * F.count(F.lit(1))).alias("w")).groupBy(*_CELL).agg(*[F.max(c).alias(f"w_{c}") for c in _CELL], F.sum("w").alias("after")).drop(*_CELL)
+        better = large.join(work, [F.col(f"k_{c}") == F.col(f"w_{c}") for c in _CELL]).filter(F.col("after") <= WORTH * F.col("n_home") * F.col("n_all"))
+        better = stored(better.select(*[F.col(f"k_{c}").alias(f"b_{c}") for c in _CELL]), "better")
+        same = [F.col(c) == F.col(f"b_{c}") for c in _CELL]
+        left = placed.join(better, same, "left_anti")
+        if better.isEmpty():
+            break
+        gone = large.select(*[F.col(f"k_{c}").alias(f"b_{c}") for c in _CELL]).join(better.withColumnsRenamed({f"b_{c}": f"g_{c}" for c in _CELL}), [F.col(f"b_{c}") == F.col(f"g_{c}") for c in _CELL], "left_anti")
+        stuck = left.join(gone, same, "left_semi")  # large, but not worth a cut: settled as they are
+        settled = stored(stuck.select(*placed.columns), "settled")
+        done = settled if done is None else done.unionByName(settled)
+        cut = parts.join(better, same, "left_semi").select("rep", "n", "label", "dim", "vec", F.col("new").alias("cell"), "at_home")
+        placed = stored(left.join(gone, same, "left_anti").select(*placed.columns).unionByName(cut), "cells")
+    return placed if done is None else placed.unionByName(done)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row.
 
@@ -130,8 +208,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     kept). Equal vectors of a label are compared once, as a class, and counted as often as they occur. An empty table
     gives an empty result; further columns are ignored.
 
-    Centroids are fitted on about FIT_ROWS classes; every class is assigned. Blocks bound a task at 2 * BLOCK
-    vectors; links go out as counts and spanning stars, never as pairs.
+    Centroids are fitted on about FIT_ROWS classes; every class is assigned, and large cells are cut again. Blocks bound
+    a task at 2 * BLOCK vectors; links go out as counts and spanning stars, never as pairs.
     """
     require(vectors, "vec_id", "embedding", "label")
     spark = vectors.sparkSession
@@ -165,19 +243,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         return pd.DataFrame({"home": home, "cells": cells})
 
     placed = classes.withColumn("c", cells_of("vec")).select("rep", "n", "label", "dim", "vec", "c.home", F.explode("c.cells").alias("cell"))
-    placed = stored(placed.withColumn("at_home", F.col("home") == F.col("cell")), "cells")
-    group = ["label", "dim", "cell"]
-    sizes = placed.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n_all"), F.sum(F.col("at_home").cast("bigint")).alias("n_home"),
-        F.max("label").alias("k_label"), F.max("dim").alias("k_dim"), F.max("cell").alias("k_cell"),
-    ).filter("n_home > 0").select("k_label", "k_dim", "k_cell", F.ceil(F.col("n_home") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("n_all") / BLOCK).cast("int").alias("rights"))
+    placed = placed.select("rep", "n", "label", "dim", "vec", F.col("cell").cast("bigint").alias("cell"), (F.col("home") == F.col("cell")).alias("at_home"))
+    placed = cut_large_cells(stored(placed, "cells"), threshold)
+    sizes = _sizes(placed).select("k_label", "k_dim", "k_cell", F.ceil(F.col("n_home") / BLOCK).cast("int").alias("lefts"), F.ceil(F.col("n_all") / BLOCK).cast("int").alias("rights"))
     sized = placed.join(sizes, (F.col("label") == F.col("k_label")) & (F.col("dim") == F.col("k_dim")) & (F.col("cell") == F.col("k_cell")))
     part = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     columns = ["label", "dim", "cell", "i", "j", "side", "rep", "n", "vec"]
     left = sized.filter("at_home").withColumn("i", part("lefts")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("rights") - 1))).withColumn("side", F.lit(0))
     right = sized.withColumn("j", part("rights")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))).withColumn("side", F.lit(1))
     both = left.select(columns).unionByName(right.select(columns))
-    found = stored(both.groupBy("label", "dim", "cell", "i", "j").applyInPandas(_compare(threshold), "rep bigint, links bigint, root bigint"), "links")
+    both = both.withColumn("block", F.xxhash64("label", "dim", "cell", "i", "j"))  # one key, so that a hot cell's blocks go to different tasks
+    found = stored(both.groupBy("block").applyInPandas(_compare(threshold), "rep bigint, links bigint, root bigint"), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     about = classes.select("class", "rep", "n").join(links.withColumnRenamed("rep", "l_rep"), F.col("rep") == F.col("l_rep"), "left")

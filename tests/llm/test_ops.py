@@ -411,11 +411,14 @@ def components(n, links):
     return [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("small", [False, True])
+@pytest.mark.parametrize("small", [0, 1, 2, 3])
 def test_embeddings(spark, monkeypatch, small):
     if small:  # several cells, several blocks
         monkeypatch.setattr(embedding_dedup, "CELL_ROWS", 40)
         monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    if small > 1:  # cells are cut again, whether it saves work or not, or only where it does
+        for name, value in (("SPLIT_ROWS", 8), ("SPLIT_CELLS", 3), ("CHUNK", 16), ("CUTS", 3), ("WORTH", 99.0 if small == 2 else 0.9), ("CELL_ROWS", 6)):
+            monkeypatch.setattr(embedding_dedup, name, value)
     rng = np.random.default_rng(4)
     vecs = [rng.standard_normal(8).tolist() for _ in range(80)]
     for _ in range(150):
