@@ -58,18 +58,19 @@ def nearest(queries: DataFrame, references: DataFrame, key: str, vector: str, k:
 
     def best(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         q, r = rows[rows["__side"] == 0], rows[rows["__side"] == 1].sort_values("__id")
-        out = {"id": [], "neighbour": [], "similarity": []}
-        if len(q) and len(r):
-            sims = _unit(q["__v"]) @ _unit(r["__v"]).T
-            ids = r["__id"].to_numpy()
-            for i, me in enumerate(q["__id"].tolist()):
-                s = np.where(ids == me, -np.inf, sims[i]) if exclude_self else sims[i]
-                for j in np.argsort(-s, kind="stable")[:k]:
-                    if np.isfinite(s[j]):
-                        out["id"].append(me)
-                        out["neighbour"].append(ids[j])
-                        out["similarity"].append(s[j])
-        return pd.DataFrame(out).astype({"id": "int64", "neighbour": "int64", "similarity": "float64"})
+        if not len(q) or not len(r):
+            return pd.DataFrame({"id": [], "neighbour": [], "similarity": []}).astype({"id": "int64", "neighbour": "int64", "similarity": "float64"})
+        sims, me, ids = _unit(q["__v"]) @ _unit(r["__v"]).T, q["__id"].to_numpy(), r["__id"].to_numpy()
+        if exclude_self:
+            sims[me[:, None] == ids[None, :]] = -np.inf
+        # all that reach a row's k-th best, ties included; then the k best of them, ties to the least id
+        least = np.partition(sims, len(ids) - k, axis=1)[:, len(ids) - k] if k < len(ids) else np.full(len(me), -np.inf)
+        i, j = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
+        order = np.lexsort((ids[j], -sims[i, j], i))
+        i, j = i[order], j[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        i, j = i[place < k], j[place < k]
+        return pd.DataFrame({"id": me[i], "neighbour": ids[j], "similarity": sims[i, j]})
 
     found = asked.unionByName(dealt).groupBy("__q", "__b").applyInPandas(best, "id bigint, neighbour bigint, similarity double")
     ordered = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "neighbour"))), 1, k)
@@ -93,16 +94,18 @@ def leader_clusters(df: DataFrame, key: str, vector: str, threshold: float, grou
     def assign(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(key)
         x, ids = _unit(rows[vector]), rows[key].to_numpy()
-        leaders, counts, out = np.empty((0, x.shape[1])), [], []
+        leaders, counts, out = np.empty((64, x.shape[1])), [], []  # grows by doubling
         who: list[int] = []
         for i, me in enumerate(ids.tolist()):
-            s = leaders @ x[i] if len(leaders) else np.empty(0)
+            s = leaders[: len(who)] @ x[i]
             j = int(s.argmax()) if len(s) else -1
             if j >= 0 and s[j] >= threshold:
                 counts[j] += 1
                 out.append((me, who[j], float(s[j]), counts[j]))
             else:
-                leaders = np.vstack([leaders, x[i]])
+                if len(who) == len(leaders):
+                    leaders = np.concatenate([leaders, np.empty_like(leaders)])
+                leaders[len(who)] = x[i]
                 who.append(me)
                 counts.append(0)
                 out.append((me, me, 1.0, 0))

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -33,17 +29,9 @@ def deduplicated(events: DataFrame, key: str, at: str, late: str = "2 hours") ->
 
 
 def running_balance(events: DataFrame, key: str, cost: str, budget: float) -> DataFrame:
-    """key, spent, remaining after each batch: state is one number a key."""
-
-    def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        spent = state.get[0] if state.exists else 0.0
-        for f in frames:
-            spent += float(f[cost].fillna(0).sum())
-        state.update((spent,))
-        yield pd.DataFrame({key: [k[0]], "spent": [spent], "remaining": [budget - spent]})
-
-    rows = events.select(F.col(key).cast("bigint"), F.col(cost).cast("double"))
-    return rows.groupBy(key).applyInPandasWithState(update, f"{key} bigint, spent double, remaining double", "spent double", "update", GroupStateTimeout.NoTimeout)
+    """key, spent, remaining of the keys that a batch changes (update mode): a sum a key is all the state."""
+    out = events.groupBy(F.col(key).cast("bigint").alias(key)).agg(F.coalesce(F.sum(F.col(cost).cast("double")), F.lit(0.0)).alias("spent"))
+    return out.withColumn("remaining", F.lit(float(budget)) - F.col("spent"))
 
 
 def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
