@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import scalar
-from tessera.operators import contracts, evidence, gates, graph, journal, judgement, lookup, network, planning, policy, ranks, records, selection, series, similarity, sizes, stats, trajectory
+from tessera.operators import acquisition, contracts, evidence, gates, graph, journal, judgement, lookup, network, planning, policy, ranks, records, selection, series, similarity, sizes, stats, trajectory
 from tessera.plans import cascade
 from tessera.sources import artifacts, formats, text
 from tessera.streaming import windows
@@ -470,3 +470,58 @@ def test_further_formats(spark, tmp_path):
     with pytest.raises(Exception, match="not one parent"):
         formats.registered_parents(parents, "k", "s").collect()
     assert formats.registered_parents(parents.filter("k = 'p'"), "k", "s").count() == 1
+
+
+def test_batch_is_the_step_by_step_greedy_one(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["a", "b", "c", "d", "e", "f", None]), rng.randrange(20) / 4, rng.randrange(1, 9) / 4) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, s string, m double, w double")
+    seen = spark.createDataFrame([("a",), ("b",)], "s string")
+    kappa, penalty, budget, explore = 1.0, 2.0, 20, 0.15
+    got = [(r["k"], r["reason"]) for r in acquisition.acquire(df, seen, "k", "s", "m", "w", budget, kappa, explore, penalty).orderBy("rank").collect()]
+    best = {}
+    for k, s, _, w in sorted(rows, key=lambda r: (-r[3], r[0])):
+        if s and s not in ("a", "b"):
+            best.setdefault(s, (k, w))
+    want = [(k, "unseen_scaffold") for k, _ in list(best.values())[: int(budget * explore)]]
+    by = {r[0]: r for r in rows}
+    taken = {by[k][1] for k, _ in want}
+    left = [r for r in rows if r[0] not in {k for k, _ in want}]
+    while left and len(want) < budget:
+        score = lambda r: r[2] + kappa * r[3] - (kappa * r[3] + penalty if r[1] in taken and r[1] else 0)
+        pick = min(left, key=lambda r: (-score(r), r[0]))
+        want.append((pick[0], "diversity" if pick[1] and pick[1] in taken else "potency"))
+        taken.add(pick[1])
+        left.remove(pick)
+    assert got == want
+    with pytest.raises(ValueError):
+        acquisition.acquire(df, seen, "k", "s", "m", "w", 0, 1.0, 0.1, 1.0)
+
+
+def test_spanning_forest_is_kruskals(spark):
+    rng = random.Random(8)
+    edges = [(f"n{rng.randrange(30):02d}", f"n{rng.randrange(30):02d}", rng.randrange(12) / 10) for _ in range(70)] + [("z1", "z2", 0.1)]
+    df = spark.createDataFrame(edges, "a string, b string, w double")
+    heaviest = {}
+    for a, b, w in edges:
+        if a != b:
+            heaviest[min(a, b), max(a, b)] = max(w, heaviest.get((min(a, b), max(a, b)), w))
+    forest, _ = network.spanning_network([(a, b, w) for (a, b), w in heaviest.items()], 0.0, 0)
+    got = acquisition.spanning_forest(df, "a", "b", "w").collect()
+    assert sorted((r["a"], r["b"]) for r in got) == sorted(forest)
+    assert acquisition.spanning_forest(df.limit(0), "a", "b", "w").count() == 0
+
+
+def test_funnels_and_knobs(spark):
+    stages = [acquisition.Stage("dock", 0.01, 0.35), acquisition.Stage("same", 0.02, 0.36), acquisition.Stage("end", 1.0, 0.6)]
+    tiers, refused, ok = acquisition.plan_funnel(spark, 1000, stages, 400.0, 0.02, 10, 0.05)
+    rows = tiers.orderBy("tier").collect()
+    assert ok and refused == {"same": "NOT_RESOLVABLY_BETTER"} and [r["stage"] for r in rows] == ["dock", "end"]
+    assert math.isclose(rows[-1]["molecules_out"], 10, rel_tol=1e-6) and sum(r["hours"] for r in rows) <= 400
+    even = acquisition._walk([stages[0], stages[2]], [0.1, 0.1], 1000, 0.02)[0][-1][4]
+    assert rows[-1]["retained"] >= even - 1e-9  # moving shares between tiers does not lose
+    assert not acquisition.plan_funnel(spark, 1000, stages, 5.0, 0.02, 10, 0.05)[2]
+    advice = {r["knob"]: (r["gain"], r["reason"]) for r in acquisition.advise(spark, 1000, stages, 400.0, 0.02, 10, 0.05, [("up", "end", 0.2, None, 0.0), ("tiny", "end", 0.01, None, 0.0), ("lost", "none", 0.2, None, 0.0)]).collect()}
+    assert advice["up"][0] > 0 and advice["tiny"] == (None, "BELOW_RESOLUTION") and advice["lost"] == (None, "STAGE_NOT_IN_FUNNEL")
+    with pytest.raises(ValueError):
+        acquisition.plan_funnel(spark, 5, stages, 1.0, 0.1, 10)
