@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,3 +92,30 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str) -> D
     w = Window.partitionBy(key).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b).withColumn(f"{value}_as_of", F.last("__v", ignorenulls=True).over(w))
     return both.filter("__side = 1").select(*cols, f"{value}_as_of")
+
+
+def weighted_window(df: DataFrame, series: str, order: list[str], value: str, weights: list[float]) -> DataFrame:
+    """Adds smoothed: the weighted sum of a full window around each row (an odd number of weights); its ends have none.
+
+    With the weights of a least-squares polynomial this is Savitzky-Golay smoothing.
+    """
+    if len(weights) % 2 == 0:
+        raise ValueError("an odd number of weights")
+    half, w = len(weights) // 2, Window.partitionBy(series).orderBy(*order)
+    terms = [F.lead(value, i).over(w) if i >= 0 else F.lag(value, -i).over(w) for i in range(-half, half + 1)]
+    return df.withColumn("smoothed", sum((t * F.lit(float(c)) for t, c in zip(terms, weights, strict=True)), F.lit(0.0)))
+
+
+def poisson_bootstrap(df: DataFrame, key: str, value: str, rounds: int, seed: str, most: int = 12) -> DataFrame:
+    """mean, spread of the means of ``rounds`` resamples: a row counts in each as often as a Poisson number of mean 1,
+    drawn by a hash of seed, round and key, so it does not depend on partitions. One aggregate by round, no sampling
+    with state; numbers above ``most`` (below one in 10**9) count as that."""
+    cuts, p, c = [], math.exp(-1), 0.0
+    for k in range(most):
+        c += p / math.factorial(k)
+        cuts.append(c)
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("__r").cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
+    times = sum((F.when(u >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+    rows = df.filter(F.col(value).isNotNull()).select(key, value, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("__r")).withColumn("__n", times)
+    means = rows.groupBy("__r").agg((F.sum(F.col("__n") * F.col(value)) / F.nullif(F.sum("__n"), F.lit(0))).alias("m"))
+    return means.agg(F.avg("m").alias("mean"), F.stddev_samp("m").alias("spread"))
