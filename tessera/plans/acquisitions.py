@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import acquisition, journal, lookup, network
+from ..operators import acquisition, journal, judgement, learning, lookup, network
 from .registry import query
 from .registry import table as _t
 
@@ -106,3 +106,15 @@ def knob_advice(spark: SparkSession, d: str) -> DataFrame:
 def retention_curve(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") / 25.0).alias("rho"))
     return rows.select("n_nationkey", acquisition.retained(F.col("rho"), F.lit(0.05), F.lit(0.01)).alias("retained"))
+
+
+@query()
+def surrogate_predictions(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), (F.col("p_partkey") % 100).cast("double").alias("rest"), "p_retailprice", judgement.group_fold(F.col("p_brand"), 3, "f").alias("fold"))
+    return learning.forest_cross_fit(rows, ["size", "rest"], "p_retailprice", "fold", 3).select("p_partkey", "predicted")
+
+
+@query()
+def frame_clusters(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "embeddings").filter("embedding is not null").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(4)]).na.drop()
+    return learning.frame_clusters(rows, "vec_id", [f"e{i}" for i in range(4)], [2, 4])[0]

@@ -610,6 +610,6 @@ def residue_map(spark: SparkSession, d: str) -> DataFrame:
     return lookup.ranges_to_rows(r, "low", "high", "n_regionkey").select("n_nationkey", "position", "mapped")
 
 
-from . import acquisitions, judgements, records, sources, trajectories  # noqa: E402, F401  they register their queries
+from . import acquisitions, judgements, plugins, records, sources, trajectories  # noqa: E402, F401  they register their queries
 
 __all__ = ["QUERIES", "SQL", "Query", "query"]

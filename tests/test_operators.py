@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import scalar
-from tessera.operators import acquisition, contracts, evidence, gates, graph, journal, judgement, lookup, network, planning, policy, ranks, records, selection, series, similarity, sizes, stats, trajectory
-from tessera.plans import cascade
+from tessera.operators import acquisition, contracts, evidence, gates, graph, journal, judgement, learning, lookup, network, planning, policy, ranks, records, selection, series, similarity, sizes, stats, trajectory
+from tessera.plans import cascade, plugins
 from tessera.sources import artifacts, formats, text
 from tessera.streaming import windows
 
@@ -525,3 +525,41 @@ def test_funnels_and_knobs(spark):
     assert advice["up"][0] > 0 and advice["tiny"] == (None, "BELOW_RESOLUTION") and advice["lost"] == (None, "STAGE_NOT_IN_FUNNEL")
     with pytest.raises(ValueError):
         acquisition.plan_funnel(spark, 5, stages, 1.0, 0.1, 10)
+
+
+def test_stages_keep_to_their_descriptors(spark):
+    registry = plugins.Registry()
+    gate = plugins.size_gate()
+    registry.register(gate)
+    with pytest.raises(ValueError, match="already"):
+        registry.register(gate)
+    rows = spark.createDataFrame([(1, 10), (2, 50), (3, None)], "p_partkey bigint, p_size int")
+    out = registry.run("size_gate", 1, {"parents": rows})
+    assert [r["p_partkey"] for r in out["primary"].collect()] == [1] and out["decisions"].filter("outcome = 'REJECT'").count() == 2
+    for wrong in ({}, {"parents": rows.drop("p_size")}, {"parents": rows, "more": rows}):
+        with pytest.raises(plugins.StageError):
+            registry.run("size_gate", 1, wrong)
+    with pytest.raises(plugins.StageError, match="became"):
+        registry.run("size_gate", 1, {"parents": rows.unionByName(rows)})
+    with pytest.raises(ValueError):
+        plugins.Descriptor("x", 1, "ODD", (), ())
+    bundle = plugins.ModelBundle(("a", "b"), (1.0, 2.0), 0.5)
+    assert plugins.ModelBundle.load(bundle.dump()) == bundle
+    with pytest.raises(plugins.StageError):
+        plugins.ModelBundle.load(bundle.dump().replace("2.0", "3.0"))
+    got = spark.createDataFrame([(1.0, 2.0), (None, 1.0)], "a double, b double").select(bundle.predict()().alias("p")).collect()
+    assert got[0]["p"] == 5.5 and (got[1]["p"] is None or math.isnan(got[1]["p"]))
+
+
+def test_fitted_models(spark):
+    rng = random.Random(4)
+    rows = [(i, float(i % 10), rng.random(), 3.0 * (i % 10), i % 3) for i in range(120)]
+    df = spark.createDataFrame(rows, "k int, a double, b double, y double, fold int")
+    out = learning.forest_cross_fit(df, ["a", "b"], "y", "fold", 3, trees=10)
+    error, plain = out.agg(F.avg(F.abs(F.col("predicted") - F.col("y"))), F.avg(F.abs(F.col("y") - 13.5))).first()
+    assert out.count() == 120 and error < plain / 3  # far better than the mean
+    points = spark.createDataFrame([(i, float(i % 2) * 10 + rng.random(), rng.random()) for i in range(60)], "k int, x double, y double")
+    placed, scores = learning.frame_clusters(points, "k", ["x", "y"], [2, 3])
+    got = placed.collect()
+    assert max(scores, key=scores.get) == 2 and sum(r["is_centre"] for r in got) == 2
+    assert len({(r["k"] % 2, r["cluster"]) for r in got}) == 2
