@@ -16,9 +16,19 @@ def shared_path(spark, label: str) -> str:
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: short lineage that survives lost executors."""
+    return _written(df, label)[0]
+
+
+def _written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     path = shared_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark, path: str) -> None:
+    """Deletes a folder that nothing will read again."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
@@ -36,10 +46,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Alternating star contraction: each round links every node's larger neighbours to its least one, then its smaller
     ones, until only stars are left; rounds grow with the logarithm of the longest path. Each round is written to the
-    shared folder. Rows with a null end and loops are ignored; repeated edges count once.
+    shared folder, and the one before is deleted then. Rows with a null end and loops are ignored; repeated edges count
+    once.
     """
     u, v = F.greatest(a, b), F.least(a, b)
-    stars = materialise(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(u.alias("u"), v.alias("v")).distinct(), "edges")
+    stars, path = _written(edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(u.alias("u"), v.alias("v")).distinct(), "edges")
     known = _fingerprint(stars)
     for _ in range(max_rounds):
         if not known[0]:
@@ -49,9 +60,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         large = both.filter("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = _least_neighbour(large)
         small = large.join(least, F.col("u") == F.col("n")).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = materialise(small.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        after, written = _written(small.unionByName(least.select(F.col("n").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
         now = _fingerprint(after)
-        stars, done, known = after, now == known, now
+        discard(edges.sparkSession, path)
+        stars, path, done, known = after, written, now == known, now
         if done:
             break
     else:
