@@ -384,7 +384,9 @@ def plain_url(url):
     return host, path, best and best.pattern, best.verdict if best else "block" if bad else "allow"
 
 
-def test_urls(spark):
+@pytest.mark.parametrize("compiled", [200, 0])
+def test_urls(spark, monkeypatch, compiled):
+    monkeypatch.setattr(url_filter, "COMPILED_RULES", compiled)
     urls = [None, "", "no scheme", "http://", "http://A.Example.NET/en/x?y", "https://example.net", "http://net/", "http://x.net/", "http://org/fr/", "ftp://a.org/fr/b#c", "http://example.com/de/", "http://example.com/DE/",
             "http://a.io/casino", "http://a.io/casinos", "http://a.io/win-bonus", "http://a.io/win-win", "http://a.io/éwin/bonus", "HTTP://B.IO?XXX", "a://b://c.net/", "http://xexample.net/en/", "http://a.io/payday-loan"]
     urls += urls[4:8]
