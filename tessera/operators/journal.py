@@ -105,3 +105,9 @@ def search(df: DataFrame, text: Column, needle: str, fields: dict[str, object])
     for name, value in fields.items():
         out = out.filter(F.col(name) == F.lit(value))
     return out
+
+
+def fold(rows: DataFrame, key: str, order: str, step: str, sep: str = ">") -> DataFrame:
+    """key, steps (how many) and path (their names in order, joined): what a subject went through. A key's steps are one row."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(step).cast("string").alias("s"))))
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("steps"), F.array_join(F.transform(ordered, lambda t: t["s"]), sep).alias("path"))

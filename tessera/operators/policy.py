@@ -93,3 +93,13 @@ def register(sources: DataFrame, source_id: str, identity: Column, registration:
     mapped = named.join(ids, F.col("parent_id") == F.col("pid"))
     relation = F.when(F.col(source_id) == F.col("primary_id"), "PRIMARY").otherwise("DUPLICATE")
     return parents, mapped.select(source_id, "parent_id", relation.alias("relation"))
+
+
+def survivors(kept: Sequence[DataFrame], removed: Sequence[DataFrame] = ()) -> DataFrame:
+    """Keys that every branch kept and no list removed: set operations on one-column tables, each key once."""
+    out = kept[0].distinct()
+    for other in kept[1:]:
+        out = out.intersect(other)
+    for other in removed:
+        out = out.subtract(other)
+    return out

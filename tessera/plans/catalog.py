@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar
-from ..operators import contracts, evidence, gates, graph, journal, lookup, network, policy, selection, series, similarity, stats
+from ..operators import contracts, evidence, gates, graph, journal, lookup, network, policy, scores, selection, series, similarity, stats
 from ..sources import text
 from ..streaming import windows
 from . import cascade
@@ -380,16 +380,20 @@ def scaffold_group_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_partkey, avg(l_extendedprice) FILTER (l_linenumber = 1) - avg(l_extendedprice) FILTER (l_linenumber > 1) AS delta_score, count(*) FILTER (l_linenumber > 1 AND l_extendedprice <= t) AS panel_win_count FROM (SELECT *, avg(CASE WHEN l_linenumber = 1 THEN l_extendedprice END) OVER (PARTITION BY l_partkey) AS t FROM lineitem) GROUP BY l_partkey HAVING count(*) FILTER (l_linenumber = 1) > 0 AND count(*) FILTER (l_linenumber > 1) > 0")
 def specificity_panel(spark: SparkSession, d: str) -> DataFrame:
-    rows = _t(spark, d, "lineitem").select("l_partkey", "l_linenumber", "l_extendedprice")
-    target = rows.filter("l_linenumber = 1").groupBy("l_partkey").agg(F.avg("l_extendedprice").alias("t"))
-    panel = rows.filter("l_linenumber > 1").join(target, "l_partkey")
-    return panel.groupBy("l_partkey").agg((F.max("t") - F.avg("l_extendedprice")).alias("delta_score"), F.count_if(F.col("l_extendedprice") <= F.col("t")).alias("panel_win_count"))
+    return scores.specificity(_t(spark, d, "lineitem"), "l_partkey", F.col("l_linenumber") == 1, "l_extendedprice")
 
 
 @query("SELECT p_partkey, -p_retailprice / p_size AS per_size, -p_retailprice / power(p_size, 0.3) AS per_power, 900 + 2 * p_size - p_retailprice AS residual FROM part WHERE p_size > 0")
 def normalised_score(spark: SparkSession, d: str) -> DataFrame:
-    s, n = F.col("p_retailprice"), F.col("p_size")
-    return _t(spark, d, "part").filter("p_size > 0").select("p_partkey", (-s / n).alias("per_size"), (-s / F.pow(n, F.lit(0.3))).alias("per_power"), (900 + 2 * n - s).alias("residual"))
+    m = scores.normalised(F.col("p_retailprice"), F.col("p_size"), 0.3, 900, 2)
+    return _t(spark, d, "part").filter("p_size > 0").select("p_partkey", *[c.alias(n) for n, c in m.items()])
+
+
+@query("""WITH m AS (SELECT p_partkey, unnest(['per_size', 'residual']) AS metric, unnest([CASE WHEN p_size > 10 THEN -p_retailprice / (p_size - 10) END, CASE WHEN p_size > 10 THEN 900 + 2 * (p_size - 10) - p_retailprice END]) AS value FROM part)
+    SELECT p_partkey, metric, value, CASE WHEN value IS NULL THEN 'UNSCORABLE' ELSE 'OK' END AS status FROM m""")
+def metric_rows(spark: SparkSession, d: str) -> DataFrame:
+    m = scores.normalised(F.col("p_retailprice"), F.col("p_size") - 10, 0.3, 900, 2)
+    return scores.metric_rows(_t(spark, d, "part"), "p_partkey", {n: m[n] for n in ("per_size", "residual")})
 
 
 @query("SELECT event_type AS model, sum(d) / sum(r) AS delivery, sum(u) / sum(d) AS uniqueness, sum(u) * 3600.0 / sum(s) AS per_hour, sum(u) FILTER (i >= n - t) / sum(d) FILTER (i >= n - t) - sum(u) FILTER (i < t) / sum(d) FILTER (i < t) AS trend FROM (SELECT event_type, 100 AS r, 50 + user_id % 50 AS d, 1 + user_id % 50 AS u, 1.0 + event_id % 7 AS s, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, greatest(1, count(*) OVER (PARTITION BY event_type) // 3) AS t FROM events) GROUP BY event_type")
@@ -473,8 +477,8 @@ def cost_quotes(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(*) AS n FROM ((SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R') INTERSECT (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A') EXCEPT (SELECT p_partkey FROM part WHERE p_size < 10))")
 def set_operations(spark: SparkSession, d: str) -> DataFrame:
     rows = _t(spark, d, "lineitem").select("l_partkey", "l_returnflag")
-    both = rows.filter("l_returnflag = 'R'").select("l_partkey").intersect(rows.filter("l_returnflag = 'A'").select("l_partkey"))
-    return both.subtract(_t(spark, d, "part").filter("p_size < 10").select("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
+    sets = [rows.filter(f"l_returnflag = '{f}'").select("l_partkey") for f in "RA"]
+    return policy.survivors(sets, [_t(spark, d, "part").filter("p_size < 10").select("p_partkey")]).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT p_partkey, CAST(p_retailprice AS DECIMAL(18, 6)) / 1000000000 AS molar FROM part")
@@ -518,15 +522,13 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT conv_id, count(*) AS turns, string_agg(role, '>' ORDER BY turn) AS roles, sum(length(text)) AS n_chars FROM conversations GROUP BY conv_id")
 def ordered_fold(spark: SparkSession, d: str) -> DataFrame:
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
     rows = _t(spark, d, "conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
-    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.array_join(F.transform(turns, lambda t: t["role"]), ">").alias("roles"), F.sum("n").alias("n_chars"))
+    return journal.fold(rows, "conv_id", "turn", "role").join(rows.groupBy("conv_id").agg(F.sum("n").alias("n_chars")), "conv_id").select("conv_id", F.col("steps").alias("turns"), F.col("path").alias("roles"), "n_chars")
 
 
 @query("SELECT l_partkey, count(*) FILTER (l_quantity < 10) / count(*) AS proportion, avg(l_quantity) FILTER (l_quantity < 10) AS mean_in_contact, min(l_quantity) AS low, max(l_quantity) AS high, median(l_quantity) AS mid FROM lineitem GROUP BY l_partkey")
 def contact_proportions(spark: SparkSession, d: str) -> DataFrame:
-    q, near = F.col("l_quantity"), F.col("l_quantity") < 10
-    return _t(spark, d, "lineitem").groupBy("l_partkey").agg((F.count_if(near) / F.count(F.lit(1))).alias("proportion"), F.avg(F.when(near, q)).alias("mean_in_contact"), F.min(q).alias("low"), F.max(q).alias("high"), F.median(q).alias("mid"))
+    return scores.proportions(_t(spark, d, "lineitem"), "l_partkey", "l_quantity", 10)
 
 
 @query("SELECT event_id, 100 - (row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)) AS score FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5")
