@@ -371,3 +371,53 @@ def break_even(baseline: Column, candidate: Column, development: Column, uses: C
     saved = baseline - candidate
     n = F.when(saved > 0, F.ceil(development / saved)).cast("bigint")
     return n, F.coalesce(uses >= n, F.lit(False))
+
+
+def append_sequence(journal: DataFrame, new: DataFrame, lane: str, sequence: str, order: Sequence[str]) -> DataFrame:
+    """The new rows with the numbers that follow each lane's last one, from 1 where a lane is new."""
+    from .ranks import ranked
+
+    last = journal.groupBy(lane).agg(F.max(lane).alias("__l"), F.max(sequence).alias("__m")).drop(lane)
+    rows = ranked(new, [lane], order, "__i").join(last, F.col(lane).eqNullSafe(F.col("__l")), "left")
+    return rows.withColumn(sequence, F.coalesce("__m", F.lit(0)) + F.col("__i")).drop("__i", "__l", "__m")
+
+
+def leases(claims: DataFrame, item: str, at: str, order: Sequence[str], who: str, seconds: float) -> DataFrame:
+    """Claims with held: whether the item was free, that is, its last claim that held had run out. An item's claims are
+    folded in one row, in order."""
+    steps = F.array_sort(F.collect_list(F.struct((F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("t"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(who).cast("string").alias("w"))))
+    start = F.struct(F.lit(None).cast("double").alias("until"), F.array().cast("array<struct<t:double,w:string,held:boolean>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        free = a["until"].isNull() | (x["t"] >= a["until"])
+        return F.struct(F.when(free, x["t"] + seconds).otherwise(a["until"]).alias("until"), F.concat(a["out"], F.array(F.struct(x["t"].alias("t"), x["w"].alias("w"), free.alias("held")))).alias("out"))
+
+    out = claims.groupBy(item).agg(F.aggregate(steps, start, step).alias("f")).select(item, F.explode("f.out").alias("x"))
+    return out.select(item, F.col("x.w").alias(who), F.col("x.held").alias("held"))
+
+
+def json_page(rows: DataFrame, key: str, body: str, path: str, offset: int, limit: int) -> DataFrame:
+    """key, total, position, item: one page of an array member of JSON bodies, named by its path."""
+    items = F.from_json(F.get_json_object(body, path), "array<string>")
+    found = rows.select(key, F.size(items).alias("total"), F.posexplode(F.slice(items, offset + 1, limit)).alias("p", "item"))
+    return found.select(key, "total", (F.col("p") + offset).alias("position"), "item")
+
+
+def contradictions(config: DataFrame, known: DataFrame, key: str, stage: str, low: str, high: str) -> DataFrame:
+    """key, problem: a dry run's findings in a plan: stages that don't exist, empty windows, windows without an end, and
+    stages that are configured twice."""
+    names = known.select(F.col(stage).alias("__n")).distinct()
+    twice = config.groupBy(stage).agg(F.max(stage).alias("__s"), F.count(F.lit(1)).alias("__c")).drop(stage)
+    rows = config.join(names, F.col(stage) == F.col("__n"), "left").join(twice, F.col(stage) == F.col("__s"), "left")
+    held = F.array_compact(F.array(
+        F.when(F.col("__n").isNull(), "UNKNOWN_STAGE"), F.when(F.col(low) > F.col(high), "EMPTY_WINDOW"), F.when(F.col(low).isNull() & F.col(high).isNull(), "NO_BOUND"), F.when(F.col("__c") > 1, "STAGE_TWICE"),
+    ))
+    return rows.select(key, F.explode(held).alias("problem"))
+
+
+def run_trace(decided: DataFrame, stages: Sequence[str]) -> DataFrame:
+    """stage_no, stage_id, entering, passed, rejected, warned, reasons (how many different ones) by stage of a run."""
+    number = F.create_map(*[x for i, s in enumerate(stages) for x in (F.lit(s), F.lit(i))])
+    n = lambda o: F.count_if(F.col("outcome") == o)
+    out = decided.groupBy("stage_id").agg(n("PASS").alias("passed"), n("REJECT").alias("rejected"), n("WARN").alias("warned"), F.countDistinct("reason_code").alias("reasons"))
+    return out.select(number[F.col("stage_id")].alias("stage_no"), "stage_id", (F.col("passed") + F.col("rejected")).alias("entering"), "passed", "rejected", "warned", "reasons")

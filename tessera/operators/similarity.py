@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A reference set up to so many rows is broadcast; a larger one is compared block by block.
@@ -123,3 +123,35 @@ def group_clusters(df: DataFrame, key: str, group: str) -> DataFrame:
     out = df.join(least, F.col(group) == F.col("__g"))
     name = F.concat(F.lit("cluster:sha256:"), F.sha2(F.col(group).cast("string").cast("binary"), 256))
     return out.select(key, name.alias("cluster_id"), "representative", (F.col(key) == F.col("representative")).alias("is_representative"))
+
+
+def bits_set(packed: Column) -> Column:
+    return F.aggregate(packed, F.lit(0), lambda acc, x: acc + F.bit_count(x))
+
+
+def tanimoto_neighbours(queries: DataFrame, references: DataFrame, key: str, bits: str, threshold: float, k: int) -> DataFrame:
+    """key, rank, neighbour, similarity: up to k references that reach the threshold, ties to the least id. Exact.
+
+    A similarity of t needs bit counts in the ratio t at least, so a query meets only references of the counts that this
+    leaves: an equi-join by count, then the check. Empty sets resemble nothing.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must be in (0, 1]")
+    n = bits_set(F.col(bits))
+    q = queries.select(F.col(key).alias("__q"), F.col(bits).alias("__a"), n.alias("__n")).filter("__n > 0")
+    low, high = F.ceil(F.col("__n") * threshold - 1e-9).cast("int"), F.floor(F.col("__n") / threshold + 1e-9).cast("int")
+    q = q.withColumn("__m", F.explode(F.sequence(low, high)))
+    r = references.select(F.col(key).alias("__r"), F.col(bits).alias("__b"), n.alias("__k")).filter("__k > 0")
+    near = q.join(r, F.col("__m") == F.col("__k")).withColumn("__s", tanimoto(F.col("__a"), F.col("__b"))).filter((F.col("__s") >= threshold) & (F.col("__q") != F.col("__r")))
+    w = Window.partitionBy("__q").orderBy(F.desc("__s"), "__r")
+    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("__q").alias(key), "rank", F.col("__r").alias("neighbour"), F.col("__s").alias("similarity"))
+
+
+def pair_graph(df: DataFrame, key: str, series: str, bits: str, least: float) -> DataFrame:
+    """a, b, core: unordered pairs inside a series whose shared share of bits is enough for an edge.
+
+    A series is a set of related designs, tens to hundreds; pairs below the share leave no row.
+    """
+    side = lambda p: df.select(F.col(series).alias(f"__s{p}"), F.col(key).alias(p), F.col(bits).alias(f"__{p}"))
+    pairs = side("a").join(side("b"), (F.col("__sa") == F.col("__sb")) & (F.col("a") < F.col("b")))
+    return pairs.withColumn("core", tanimoto(F.col("__a"), F.col("__b"))).filter(F.col("core") >= least).select("a", "b", "core")

@@ -368,6 +368,21 @@ def tanimoto_bits(spark: SparkSession, d: str) -> DataFrame:
     return bits.join(first, F.col("label") == F.col("l")).select("vec_id", "reference", similarity.tanimoto(F.col("bits"), F.col("r")).alias("tanimoto"))
 
 
+_BITS_SQL = "b AS (SELECT vec_id, label, list_transform(embedding, lambda x: x > 0) AS s FROM embeddings WHERE embedding IS NOT NULL), t AS (SELECT x.vec_id AS q, y.vec_id AS r, x.label AS ql, y.label AS rl, list_sum(list_transform(list_zip(x.s, y.s), lambda p: CAST(p[1] AND p[2] AS INT))) / list_sum(list_transform(list_zip(x.s, y.s), lambda p: CAST(p[1] OR p[2] AS INT))) AS s FROM b x, b y WHERE x.vec_id <> y.vec_id)"
+
+
+@query(f"WITH {_BITS_SQL} SELECT q AS vec_id, CAST(row_number() OVER (PARTITION BY q ORDER BY s DESC, r) AS INT) AS rank, r AS neighbour, s AS similarity FROM t WHERE s >= 0.5 QUALIFY rank <= 3")
+def tanimoto_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    bits = _t(spark, d, "embeddings").filter("embedding is not null").select("vec_id", similarity.sign_bits(F.col("embedding")).alias("bits"))
+    return similarity.tanimoto_neighbours(bits, bits, "vec_id", "bits", 0.5, 3)
+
+
+@query(f"WITH {_BITS_SQL} SELECT q AS a, r AS b, s AS core FROM t WHERE q < r AND ql = rl AND s >= 0.45")
+def pair_graph(spark: SparkSession, d: str) -> DataFrame:
+    bits = _t(spark, d, "embeddings").filter("embedding is not null").select("vec_id", "label", similarity.sign_bits(F.col("embedding")).alias("bits"))
+    return similarity.pair_graph(bits, "vec_id", "label", "bits", 0.45)
+
+
 @query()
 def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     return similarity.leader_clusters(_t(spark, d, "embeddings"), "vec_id", "embedding", 0.93, "label")

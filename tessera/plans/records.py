@@ -329,3 +329,46 @@ def network_faults(spark: SparkSession, d: str) -> DataFrame:
 def removal_reasons(spark: SparkSession, d: str) -> DataFrame:
     tiers = {"size": F.col("p_size") <= 40, "price": F.col("p_retailprice") < 1500, "type": F.col("p_type").contains("STANDARD")}
     return policy.lost(_t(spark, d, "part"), "p_partkey", F.lit(True), tiers).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH j AS (SELECT event_type AS l, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS s FROM events WHERE event_id % 3 = 0 AND event_type <> 'view'), m AS (SELECT l, max(s) AS m FROM j GROUP BY l)
+    SELECT event_id, coalesce(m, 0) + row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS seq FROM events LEFT JOIN m ON l = event_type WHERE event_id % 3 = 1""")
+def append_sequence(spark: SparkSession, d: str) -> DataFrame:
+    e = _t(spark, d, "events").select("event_type", "event_id")
+    empty = e.limit(0).withColumn("seq", F.lit(0).cast("bigint"))
+    journal = records.append_sequence(empty, e.filter("event_id % 3 = 0 and event_type <> 'view'"), "event_type", "seq", ["event_id"])
+    return records.append_sequence(journal, e.filter("event_id % 3 = 1"), "event_type", "seq", ["event_id"]).select("event_id", "seq")
+
+
+@query("""WITH RECURSIVE c AS (SELECT user_id AS u, event_id AS w, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    r(u, i, w, held, until) AS (SELECT u, i, w, true, t + 20000.0::DOUBLE FROM c WHERE i = 1 UNION ALL SELECT c.u, c.i, c.w, c.t >= r.until, CASE WHEN c.t >= r.until THEN c.t + 20000.0::DOUBLE ELSE r.until END FROM r JOIN c ON c.u = r.u AND c.i = r.i + 1)
+    SELECT u AS user_id, CAST(w AS VARCHAR) AS event_id, held FROM r""")
+def lease_claims(spark: SparkSession, d: str) -> DataFrame:
+    return records.leases(_t(spark, d, "events"), "user_id", "ts", ["event_id"], "event_id", 20_000.0)
+
+
+@query("""WITH b AS (SELECT l_orderkey AS k, list(l_linenumber ORDER BY l_linenumber) AS l FROM lineitem GROUP BY 1) SELECT k AS l_orderkey, CAST(len(l) AS INT) AS total, CAST(p + 1 AS INT) AS position, CAST(l[p + 2] AS VARCHAR) AS item FROM b, (VALUES (0), (1)) t(p) WHERE p + 2 <= len(l)""")
+def json_page(spark: SparkSession, d: str) -> DataFrame:
+    lists = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list("l_linenumber")).alias("items"))
+    bodies = lists.select("l_orderkey", F.to_json(F.struct(F.struct("items").alias("a"))).alias("body"))
+    return records.json_page(bodies, "l_orderkey", "body", "$.a.items", 1, 2)
+
+
+@query("""WITH c AS (SELECT s_suppkey AS k, 'n' || s_nationkey AS s, CASE WHEN s_suppkey % 5 > 0 THEN s_acctbal END AS lo, CASE WHEN s_suppkey % 3 > 0 AND s_suppkey % 5 > 0 THEN 3000.0::DOUBLE END AS hi FROM supplier), t AS (SELECT s FROM c GROUP BY s HAVING count(*) > 1)
+    SELECT k AS s_suppkey, 'UNKNOWN_STAGE' AS problem FROM c WHERE s NOT IN (SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey <> 2) UNION ALL SELECT k, 'EMPTY_WINDOW' FROM c WHERE lo > hi UNION ALL SELECT k, 'NO_BOUND' FROM c WHERE lo IS NULL AND hi IS NULL UNION ALL SELECT k, 'STAGE_TWICE' FROM c WHERE s IN (SELECT s FROM t)""")
+def plan_contradictions(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    config = _t(spark, d, "supplier").select(k, F.concat(F.lit("n"), "s_nationkey").alias("stage"), F.when(k % 5 > 0, F.col("s_acctbal")).alias("low"), F.when((k % 3 > 0) & (k % 5 > 0), F.lit(3000.0)).alias("high"))
+    known = _t(spark, d, "nation").filter("n_regionkey <> 2").select(F.concat(F.lit("n"), "n_nationkey").alias("stage"))
+    return records.contradictions(config, known, "s_suppkey", "stage", "low", "high")
+
+
+@query("""WITH d AS (SELECT 0 AS n, 'size' AS s, CASE WHEN p_size < 5 THEN 1 WHEN p_size > 45 THEN 2 ELSE 0 END AS r FROM part UNION ALL SELECT 1, 'price', CASE WHEN p_retailprice < 950 THEN 1 WHEN p_retailprice > 1500 THEN 2 ELSE 0 END FROM part)
+    SELECT n AS stage_no, s AS stage_id, count(*) AS entering, count(*) FILTER (r = 0) AS passed, count(*) FILTER (r > 0) AS rejected, CAST(0 AS BIGINT) AS warned, count(DISTINCT r) AS reasons FROM d GROUP BY n, s""")
+def run_trace(spark: SparkSession, d: str) -> DataFrame:
+    parts, rows = _t(spark, d, "part"), None
+    for name, column, bounds in (("size", "p_size", gates.Bounds(5, 45)), ("price", "p_retailprice", gates.Bounds(950, 1500))):
+        judged = parts.withColumn("reason_code", gates.verdict(F.col(column), bounds, name.upper())).withColumn("passed", F.col("reason_code") == f"{name.upper()}_PASS")
+        one = gates.decisions(judged, "p_partkey", name)
+        rows = one if rows is None else rows.unionByName(one)
+    return records.run_trace(rows, ["size", "price"])

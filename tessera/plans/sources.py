@@ -126,3 +126,20 @@ _CUTS = "list_transform(range(0, 12), lambda k: list_sum(list_transform(range(0,
     m AS (SELECT r, sum(n * v) / sum(n) AS m FROM (SELECT r, v, len(list_filter(c, lambda x: u >= x)) AS n FROM r, c) GROUP BY r) SELECT avg(m) AS mean, stddev_samp(m) AS spread FROM m""")
 def bootstrap_means(spark: SparkSession, d: str) -> DataFrame:
     return series.poisson_bootstrap(_t(spark, d, "orders"), "o_orderkey", "o_totalprice", 20, "b")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0")
+def ledger_append(spark: SparkSession, d: str) -> DataFrame:
+    path, e = graph.shared_path(spark, "ledger"), _t(spark, d, "events").select("event_id", "event_type")
+    e.filter("event_id % 2 = 0").write.json(path)
+    e.filter("event_id % 2 <> 0 and event_id % 3 = 0").write.mode("append").json(path)
+    return text.ledger(spark, path, "event_id bigint, event_type string").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("ids"))
+
+
+@query("SELECT 'CHANGED' AS fault, CAST(0 AS BIGINT) AS n, true AS sealed")
+def sealed_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    path = graph.shared_path(spark, "snapshot")
+    text.write_table(_t(spark, d, "part").repartition(3), path)
+    first = graph.materialise(artifacts.seal(spark, path), "seal")
+    faults = artifacts.changed(first, artifacts.seal(spark, path))
+    return faults.agg(F.count(F.lit(1)).alias("n")).select(F.lit("CHANGED").alias("fault"), "n", F.lit(first.count() >= 3).alias("sealed"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,3 +75,18 @@ def read_port(spark: SparkSession, artifact: Artifact, port: str, verify: bool =
     if verify and _about(df) != artifact.manifest["ports"][port]:
         raise ArtifactError(f"{port} of {artifact.id} doesn't hold what its manifest says")
     return df
+
+
+def seal(spark: SparkSession, path: str) -> DataFrame:
+    """file (its path below the folder), bytes, sha256 of every file of a snapshot."""
+    root = path.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    name = F.regexp_replace("path", "^.*" + re.escape(root.split("/")[-1]) + "/", "")
+    return files.select(name.alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def changed(sealed: DataFrame, now: DataFrame) -> DataFrame:
+    """file, fault: files of a seal that are CHANGED or MISSING, and files that were ADDED."""
+    a, b = sealed.select("file", F.col("sha256").alias("before")), now.select("file", F.col("sha256").alias("after"))
+    fault = F.when(F.col("after").isNull(), "MISSING").when(F.col("before").isNull(), "ADDED").when(F.col("before") != F.col("after"), "CHANGED")
+    return a.join(b, "file", "full").select("file", fault.alias("fault")).filter("fault is not null")
