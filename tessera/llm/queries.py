@@ -14,20 +14,24 @@ from .url_filter import RULES, SOFT_LIMIT, SOFT_TERMS, STRICT_TERMS, filter_urls
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability by the recurrent model and by the base counts; null texts are their end alone."""
     return lm_scoring.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's rule counts and verdict; null and empty texts have no words and fail the base rule."""
     out = quality.quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language; texts that are null or have no letter are ``und``."""
     out = language_id.identify_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict; null urls are allowed unless a rule fits."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return filter_urls(pages).select("page_id", "host", "path", "rule", "n_strict", "n_soft", "verdict")
 
@@ -52,6 +56,7 @@ def _op4_sql() -> str:
 
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links, group and whether it is kept; unusable vectors stand alone."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
@@ -69,6 +74,7 @@ OP5_SQL = f"""
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size, group and whether it is kept, by two-word shingles; texts without words stand alone."""
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
@@ -89,6 +95,7 @@ OP6_SQL = r"""
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of ids, and digests of the ids and of the bytes decoded from them; null texts have none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select(
@@ -100,6 +107,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies of all documents after mixing the sources to their target weights; null is a source."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "n_chars", F.round("rate", 9).alias("rate"), "n_copies", "copy", F.md5("text").alias("text_md5"))
 
@@ -120,6 +128,7 @@ def _op8_sql() -> str:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence phrases and labels; null texts have no words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = license_scan.scan_licenses(docs)
     base = F.filter("hits", lambda h: h["base"])
@@ -138,6 +147,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, read back from the token files; null texts are the end id alone."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = token_files.token_path(spark)
     token_files.write_tokens(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
