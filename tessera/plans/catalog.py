@@ -254,7 +254,9 @@ def cursor_page(spark: SparkSession, d: str) -> DataFrame:
     return journal.page(rows, ["user_id", "event_id"], {"user_id": 10, "event_id": 500}, 50)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    f(u, n, live, held) AS (SELECT u, n, ['r' || n], [['r' || n]] FROM e WHERE n = 1 UNION ALL SELECT u, n, live, list_append(held, live) FROM (SELECT e.u, e.n, CASE WHEN e.n > 2 AND e.n % 5 = 0 THEN held[e.n - 3] ELSE list_append(live, 'r' || e.n) END AS live, held FROM f JOIN e ON e.u = f.u AND e.n = f.n + 1)),
+    l AS (SELECT u, live FROM f QUALIFY row_number() OVER (PARTITION BY u ORDER BY n DESC) = 1) SELECT u AS user_id, unnest(range(len(live))) AS position, unnest(live) AS round FROM l""")
 def ledger_effective_set(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     kind = F.when((F.col("n") > 2) & (F.col("n") % 5 == 0), "rewind").otherwise("round")
@@ -515,7 +517,8 @@ def graph_size(spark: SparkSession, d: str) -> DataFrame:
     return network.cycle_rank(e, graph.connected_components(e)).select("edges", "nodes")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem WHERE l_quantity > 49), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(n, m) AS (SELECT a, b FROM u UNION SELECT r.n, u.b FROM r JOIN u ON r.m = u.a),
+    c AS (SELECT n, least(n, min(m)) AS g FROM r GROUP BY n), k AS (SELECT (SELECT count(*) FROM e) AS edges, count(*) AS nodes, count(DISTINCT g) AS components FROM c) SELECT *, edges - nodes + components AS cycles FROM k""")
 def graph_cycle_rank(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("a"), (1_000_000 + F.col("l_partkey")).alias("b"))
     return network.cycle_rank(e, graph.connected_components(e))
