@@ -56,5 +56,6 @@ def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str | Column], out:
     number = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(*order)).cast("bigint")
     if not several:
         return rows.withColumn(out, number).drop("__b")
-    rows = rows.withColumn("__i", number)
-    return _with_offsets(rows, by, {"n": F.count(F.lit(1))}, [*df.columns, "__i"]).withColumn(out, F.col("__i") + F.col("__o_n")).drop("__i", "__o_n")
+    inside = f"__i_{out}"  # unlike any name that a caller asks for
+    rows = _with_offsets(rows.withColumn(inside, number), by, {"n": F.count(F.lit(1))}, [*df.columns, inside])
+    return rows.withColumn(out, F.col(inside) + F.col("__o_n")).drop(inside, "__o_n")
