@@ -7,7 +7,7 @@ from tessera.operators import ranks
 from tessera.plans.catalog import QUERIES, SQL
 
 
-@pytest.mark.parametrize("name", ["final_third_drift", "time_convergence", "trajectory_stability"])
+@pytest.mark.parametrize("name", ["final_third_drift", "time_convergence", "trajectory_stability", "append_sequence"])
 def test_ranged_query_equals_sql(spark, duck, monkeypatch, name):  # noqa: F811
     monkeypatch.setattr(ranks, "RANGE_ROWS", 70)
     df = QUERIES[name](spark, SF)
