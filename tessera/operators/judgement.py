@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .gates import finite
+from .graph import materialise
 from .ranks import cumulative
 from .sizes import small
 from .stats import wilson
@@ -51,14 +52,16 @@ def panel_separation(scores: DataFrame, panel: DataFrame, engine: str, parent: s
 def panel_enrichment(scores: DataFrame, panel: DataFrame, engine: str, parent: str, score: str, direction: str) -> DataFrame:
     """engine, parent, percentile: the share of an engine's molecules, best pose each, that score at least as strongly.
 
-    Counted by value: each distinct value adds to the members that it doesn't exceed, which are few.
+    Each molecule's best pose is written once. Equal ones are counted, and running counts of the values, dealt into ranges
+    if they are many, are looked up by the members: no molecule is compared with a member.
     """
-    best = canonical_best(scores, engine, parent, score, direction).filter(F.col("direction") != MIXED)
-    cuts = best.join(small(panel.select(parent)), parent, "left_semi").select(F.col(engine).alias("e"), F.col(parent).alias("p"), F.col("best").alias("cut"))
-    total = best.groupBy(engine).agg(F.count(F.lit(1)).alias("n"))
-    values = best.groupBy(F.col(engine), F.col("best").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    at_least = values.join(small(cuts), (F.col(engine) == F.col("e")) & (F.col("v") <= F.col("cut"))).groupBy("e", "p").agg(F.sum("c").alias("k"))
-    return at_least.join(F.broadcast(total), F.col("e") == F.col(engine)).select(engine, F.col("p").alias(parent), (F.col("k") / F.col("n")).alias("percentile"))
+    best = materialise(canonical_best(scores, engine, parent, score, direction).filter(F.col("direction") != MIXED).select(engine, parent, "best"), "best")
+    total = best.groupBy(engine).agg(F.max(engine).alias("__t"), F.count(F.lit(1)).alias("__n")).drop(engine)
+    values = best.groupBy(engine, "best").agg(F.count(F.lit(1)).alias("c"))
+    up_to = cumulative(values, "best", ["c"], [engine]).select(F.col(engine).alias("__e"), F.col("best").alias("__v"), (F.col("before_c") + F.col("c")).alias("__k"))
+    members = best.join(small(panel.select(parent)), parent, "left_semi")
+    placed = members.join(up_to, (F.col(engine) == F.col("__e")) & (F.col("best") == F.col("__v"))).join(F.broadcast(total), F.col(engine) == F.col("__t"))  # one row an engine
+    return placed.select(engine, parent, (F.col("__k") / F.col("__n")).alias("percentile"))
 
 
 def tier_losses(panel: DataFrame, rejects: DataFrame, tiers: Sequence[str], key: str, active: str) -> DataFrame:
