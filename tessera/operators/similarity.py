@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A reference set up to so many rows is broadcast; a larger one is compared block by block.
 REFERENCE_ROWS = 50_000
 BLOCK = 4096
+#: Rows of a block that are compared at a time, and tasks that pairs of blocks are dealt over.
+STRIP = 256
+CELL_TASKS = 2000
 
 
 def sign_bits(vector: Column) -> Column:
@@ -129,22 +132,79 @@ def bits_set(packed: Column) -> Column:
     return F.aggregate(packed, F.lit(0), lambda acc, x: acc + F.bit_count(x))
 
 
+def _bits_in_blocks(df: DataFrame, key: str, bits: str, width: int, blocks: Column, by: Sequence[str] = ()) -> DataFrame:
+    """by, __b, ids, bits: rows dealt into blocks by a hash of the key, one row a block, in order of key; packed bits one
+    after another, filled up with empty bytes to the same width. Rows without bits are left out."""
+    filled = F.concat(F.col(bits), F.array_repeat(F.lit(0), F.lit(width) - F.size(bits)))
+    rows = df.filter(F.col(bits).isNotNull() & F.col(key).isNotNull()).select(*by, F.pmod(F.xxhash64(key), blocks).cast("int").alias("__b"), F.struct(F.col(key).alias("k"), F.transform(filled, lambda x: F.coalesce(x, F.lit(0)).cast("smallint")).alias("v")).alias("r"))
+    dealt = rows.groupBy(*by, "__b").agg(F.sort_array(F.collect_list("r")).alias("r"))
+    return dealt.select(*by, "__b", F.col("r.k").alias("ids"), F.flatten("r.v").alias("bits"))
+
+
+def _in_cells(sides: Sequence[DataFrame], by: Sequence[str], cells: int) -> DataFrame:
+    """ids0, bits0, ids1, bits1: two blocks that meet, in one row. ``sides`` are the blocks, with __x and __y, the cell's
+    place. Cells are dealt over tasks of their own: they are small to send and long to compare."""
+    each = [s.select(*by, "__x", "__y", F.struct("ids", "bits").alias("s0" if i == 0 else "s1")) for i, s in enumerate(sides)]
+    both = each[0].withColumn("s1", F.lit(None).cast(each[0].schema["s0"].dataType)).unionByName(each[1].withColumn("s0", F.lit(None).cast(each[1].schema["s1"].dataType)))
+    met = both.repartition(max(1, min(cells, CELL_TASKS)), *by, "__x", "__y").groupBy(*by, "__x", "__y").agg(F.first("s0.ids", True).alias("ids0"), F.first("s0.bits", True).alias("bits0"), F.first("s1.ids", True).alias("ids1"), F.first("s1.bits", True).alias("bits1"))
+    return met.filter("bits0 is not null and bits1 is not null").select("ids0", "bits0", "ids1", "bits1")
+
+
+def _shares(width: int, row) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """A cell's shares of common bits in double precision, strip by strip: the strip's rows, ids of both sides, shares.
+    Products of 0s and 1s are whole numbers, exact in single precision up to 2**24."""
+    x, y = (np.unpackbits(np.asarray(b, dtype=np.uint8).reshape(-1, width), axis=1).astype(np.float32) for b in (row.bits0, row.bits1))
+    ids0, ids1, nx, ny, t = np.asarray(row.ids0), np.asarray(row.ids1), x.sum(1), y.sum(1), np.ascontiguousarray(y.T)
+    for at in range(0, len(x), STRIP):
+        part = slice(at, at + STRIP)
+        both = x[part] @ t
+        any_ = nx[part, None] + ny[None, :]
+        any_ -= both
+        np.maximum(any_, 1, out=any_)  # two empty sets have 0
+        yield part, ids0, ids1, np.divide(both, any_, dtype=np.float64)
+
+
+def _extent(df: DataFrame, bits: str) -> tuple[int, int]:
+    """The widest packed bits, and the number of blocks."""
+    width, n = df.agg(F.max(F.size(bits)), F.count(F.lit(1))).first()
+    return width or 0, max(1, -(-n // BLOCK))
+
+
 def tanimoto_neighbours(queries: DataFrame, references: DataFrame, key: str, bits: str, threshold: float, k: int) -> DataFrame:
     """key, rank, neighbour, similarity: up to k references that reach the threshold, ties to the least id. Exact.
 
-    A similarity of t needs bit counts in the ratio t at least, so a query meets only references of the counts that this
-    leaves: an equi-join by count, then the check. Empty sets resemble nothing.
+    Every query meets every reference, block by block, by matrix products of the bits; a query keeps its k best of each
+    block, and the best of all blocks are taken last. Empty sets resemble nothing.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    n = bits_set(F.col(bits))
-    q = queries.select(F.col(key).alias("__q"), F.col(bits).alias("__a"), n.alias("__n")).filter("__n > 0")
-    low, high = F.ceil(F.col("__n") * threshold - 1e-9).cast("int"), F.floor(F.col("__n") / threshold + 1e-9).cast("int")
-    q = q.withColumn("__m", F.explode(F.sequence(low, high)))
-    r = references.select(F.col(key).alias("__r"), F.col(bits).alias("__b"), n.alias("__k")).filter("__k > 0")
-    near = q.join(r, F.col("__m") == F.col("__k")).withColumn("__s", tanimoto(F.col("__a"), F.col("__b"))).filter((F.col("__s") >= threshold) & (F.col("__q") != F.col("__r")))
-    w = Window.partitionBy("__q").orderBy(F.desc("__s"), "__r")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("__q").alias(key), "rank", F.col("__r").alias("neighbour"), F.col("__s").alias("similarity"))
+    mine = _extent(queries, bits)
+    other = mine if references is queries else _extent(references, bits)
+    width, m, n = max(mine[0], other[0]), mine[1], other[1]
+    kind = queries.schema[key].dataType.simpleString()
+    if width < 1:
+        return queries.limit(0).select(key, F.lit(0).alias("rank"), F.col(key).alias("neighbour"), F.lit(0.0).alias("similarity"))
+    q = _bits_in_blocks(queries, key, bits, width, F.lit(m)).select("*", F.col("__b").alias("__x"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("__y"))
+    r = _bits_in_blocks(references, key, bits, width, F.lit(n)).select("*", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("__x"), F.col("__b").alias("__y"))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row in (x for b in batches for x in b.itertuples(index=False)):
+            for part, ids0, ids1, s in _shares(width, row):
+                s[ids0[part, None] == ids1[None, :]] = -1
+                asked, left = ids0[part], np.arange(len(s))
+                for _ in range(min(k, s.shape[1])):  # the first of the largest has the least id
+                    j = s[left].argmax(1) if len(left) < len(s) else s.argmax(1)
+                    v = s[left, j]
+                    left, j, v = left[v >= threshold], j[v >= threshold], v[v >= threshold]
+                    if not len(left):
+                        break
+                    yield pd.DataFrame({"q": asked[left], "neighbour": ids1[j], "similarity": v})
+                    s[left, j] = -1
+
+    found = _in_cells([q, r], [], m * n).mapInPandas(best, f"q {kind}, neighbour {kind}, similarity double")
+    ordered = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("s"), "neighbour"))), 1, k)
+    top = found.groupBy("q").agg(ordered.alias("l")).select("q", F.posexplode("l").alias("p", "x"))
+    return top.select(F.col("q").alias(key), (F.col("p") + 1).alias("rank"), F.col("x.neighbour").alias("neighbour"), (-F.col("x.s")).alias("similarity"))
 
 
 def pair_graph(df: DataFrame, key: str, series: str, bits: str, least: float) -> DataFrame:
