@@ -210,8 +210,30 @@ def tanimoto_neighbours(queries: DataFrame, references: DataFrame, key: str, bit
 def pair_graph(df: DataFrame, key: str, series: str, bits: str, least: float) -> DataFrame:
     """a, b, core: unordered pairs inside a series whose shared share of bits is enough for an edge.
 
-    A series is a set of related designs, tens to hundreds; pairs below the share leave no row.
+    A series of any size is dealt into blocks, and every two of them meet in a task of their own, by matrix products of the
+    bits; pairs below the share leave no row.
     """
-    side = lambda p: df.select(F.col(series).alias(f"__s{p}"), F.col(key).alias(p), F.col(bits).alias(f"__{p}"))
-    pairs = side("a").join(side("b"), (F.col("__sa") == F.col("__sb")) & (F.col("a") < F.col("b")))
-    return pairs.withColumn("core", tanimoto(F.col("__a"), F.col("__b"))).filter(F.col("core") >= least).select("a", "b", "core")
+    width = _extent(df, bits)[0]
+    kind = df.schema[key].dataType.simpleString()
+    if width < 1:
+        return df.limit(0).select(F.col(key).alias("a"), F.col(key).alias("b"), F.lit(0.0).alias("core"))
+    sizes = df.filter(F.col(series).isNotNull()).groupBy(series).agg(F.max(series).alias("__s"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("__n")).drop(series)
+    cells = sizes.agg(F.sum(F.col("__n").cast("bigint") * (F.col("__n") + 1) / 2)).first()[0] or 1
+    blocks = _bits_in_blocks(df.join(sizes, F.col(series) == F.col("__s")), key, bits, width, F.col("__n"), ["__s", "__n"])
+    x = blocks.select("*", F.col("__b").alias("__x"), F.explode(F.sequence(F.col("__b"), F.col("__n") - 1)).alias("__y"))
+    y = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("__b"))).alias("__x"), F.col("__b").alias("__y"))
+
+    def linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for row in (x for b in batches for x in b.itertuples(index=False)):
+            itself = row.ids0[0] == row.ids1[0]  # then it has each pair twice; two blocks have no key in common
+            for part, ids0, ids1, s in _shares(width, row):
+                i, j = np.nonzero(s >= least)
+                a, b, v = ids0[part][i], ids1[j], s[i, j]
+                up = a < b
+                if itself:
+                    a, b, v = a[up], b[up], v[up]
+                else:
+                    a, b = np.where(up, a, b), np.where(up, b, a)
+                yield pd.DataFrame({"a": a, "b": b, "core": v})
+
+    return _in_cells([x, y], ["__s"], int(cells)).mapInPandas(linked, f"a {kind}, b {kind}, core double")

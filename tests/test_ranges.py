@@ -69,3 +69,19 @@ def test_bit_neighbours_block_by_block(spark, monkeypatch, block, strip):
     assert similarity.tanimoto_neighbours(df.limit(0), df.limit(0), "k", "b", 0.5, 3).count() == 0
     named = df.withColumn("k", F.col("k").cast("string"))
     assert similarity.tanimoto_neighbours(named.filter("k = '1000'"), named, "k", "b", 0.5, 2).count() == 2
+
+
+@pytest.mark.parametrize("block, strip", [(similarity.BLOCK, 256), (16, 5)])
+def test_pair_graph_block_by_block(spark, monkeypatch, block, strip):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(similarity, "STRIP", strip, raising=False)
+    rng = random.Random(9)
+    sets = packed(rng, 150, 2)
+    series = [rng.choice("aaaaab") if i % 40 else None for i in range(len(sets))] + ["lone"]
+    df = spark.createDataFrame([(1000 - 7 * i, g, v) for i, (g, v) in enumerate(zip(series, [*sets, [3, 1]], strict=True))], "k bigint, g string, b array<int>")
+    out = similarity.pair_graph(df, "k", "g", "b", 0.45)
+    rows = [(r["k"], r["g"], r["b"]) for r in df.collect()]
+    want = sorted((i, j, share(v, w)) for i, g, v in rows for j, h, w in rows if i < j and g == h and g and share(v, w) >= 0.45)
+    assert sorted(tuple(r) for r in out.collect()) == want and len(want) > 1000
+    assert "bit_count" not in out._jdf.queryExecution().executedPlan().toString()  # no expression for each pair
+    assert similarity.pair_graph(df.limit(0), "k", "g", "b", 0.45).count() == 0
